@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,9 @@ from .joins import lookup, stage
 # The window used when none is given.
 DEFAULT_WINDOW = "1 week ago"
 
+# Commits of one repo that a single task may walk (about 30 MB of shas).
+GROUP_LIMIT = 200_000
+
 _RELATIVE = re.compile(r"^\s*(\d+)\s+(second|minute|hour|day|week|month|year)s?(?:\s+ago)?\s*$")
 
 
@@ -26,20 +30,56 @@ def window_start(since: str) -> Column:
     return F.to_timestamp(F.lit(since))
 
 
+def first_parent_sizes(commits: DataFrame) -> DataFrame:
+    """``(repo, sha, parent, size)``: size counts the commits of the first-parent subtree.
+
+    Pointer doubling: after round k a commit knows its 2^k-th first-parent ancestor
+    and the number of descendants closer than 2^k, so the rounds are the logarithm of
+    the history's depth. Sums are combined before the shuffle, which keeps commits
+    with many children harmless.
+    """
+    first = F.try_element_at("parents", F.lit(1))
+    known = commits.select("repo", F.col("sha").alias("parent"))
+    base = stage(
+        commits.select("repo", "sha", first.alias("parent"))
+        .join(known.withColumn("_known", F.lit(True)), ["repo", "parent"], "left")
+        .select("repo", "sha", F.when(F.col("_known"), F.col("parent")).alias("parent")),
+        "first-parents",
+    )
+    state = base.select("repo", "sha", F.col("parent").alias("far"), F.lit(1).cast("bigint").alias("size"))
+    while not state.filter(F.col("far").isNotNull()).isEmpty():
+        gained = (
+            state.filter(F.col("far").isNotNull())
+            .groupBy("repo", F.col("far").alias("sha"))
+            .agg(F.sum("size").alias("gain"))
+        )
+        hop = state.select("repo", F.col("sha").alias("far"), F.col("far").alias("next"))
+        state = stage(
+            lookup(
+                state.join(gained, ["repo", "sha"], "left"), hop, ["repo", "far"], spread=["sha"]
+            ).select(
+                "repo", "sha", F.col("next").alias("far"),
+                (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size"),
+            ),
+            "subtree-sizes",
+        )
+    return base.join(state.select("repo", "sha", "size"), ["repo", "sha"])
+
+
 def commit_chains(commits: DataFrame) -> DataFrame:
     """Cut the history into vertex-disjoint first-parent chains.
 
     Returns ``(repo, sha, chain, pos)``: ``chain`` is the sha of the newest commit
     of the chain and ``pos`` the distance from it. Every parent passes its chain on
-    to one child only (the smallest sha among those whose first parent it is). Each
-    round doubles the distance covered, so a history of a million commits takes 20
-    rounds; finished commits leave the working set, and the open ones have distinct
-    join keys, so no round can be skewed.
+    to the one child with the largest subtree, so any first-parent path changes
+    chains at most log2(n) times. Positions come from pointer doubling: finished
+    commits leave the working set and the open ones have distinct join keys.
     """
+    sizes = first_parent_sizes(commits)
     links = (
-        commits.filter(F.size("parents") > 0)
-        .groupBy("repo", F.try_element_at("parents", F.lit(1)).alias("sha"))
-        .agg(F.min("sha").alias("next"))
+        sizes.filter(F.col("parent").isNotNull())
+        .groupBy("repo", F.col("parent").alias("sha"))
+        .agg(F.max_by("sha", F.struct("size", "sha")).alias("next"))
     )
     state = stage(
         commits.select("repo", "sha")
@@ -78,11 +118,10 @@ def commit_chains(commits: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, finished).drop("done")
 
 
-def reachable(commits: DataFrame, starts: DataFrame) -> DataFrame:
-    """``(repo, label, sha)``: each start and all its ancestors.
+def _reachable_by_chains(commits: DataFrame, starts: DataFrame) -> DataFrame:
+    """``reachable`` for histories of any size, spread over the cluster.
 
-    ``starts`` is ``(repo, label, sha)``; several labels are followed at once. Along
-    a chain everything behind the entry point is reached, so the state is one number
+    Along a chain everything behind the entry point is reached, so the state is one number
     per ``(repo, label, chain)`` and a round follows all links between chains that
     the last round newly opened. The rounds number the nesting of merges, not the
     length of the history.
@@ -159,6 +198,50 @@ def reachable(commits: DataFrame, starts: DataFrame) -> DataFrame:
     )
 
 
+def _walk_group(key: tuple, history: pd.DataFrame) -> pd.DataFrame:
+    parents = dict(zip(history.sha, history.parents))
+    found = []
+    for label in sorted({x for labels in history.labels for x in labels}):
+        todo = [s for s, labels in zip(history.sha, history.labels) if label in labels]
+        seen = set(todo)
+        while todo:
+            fresh = {p for p in parents[todo.pop()] if p in parents} - seen
+            seen |= fresh
+            todo += fresh
+        found += [(key[0], label, sha) for sha in seen]
+    return pd.DataFrame(found, columns=["repo", "label", "sha"])
+
+
+def reachable(
+    commits: DataFrame, starts: DataFrame, group_limit: int = GROUP_LIMIT
+) -> DataFrame:
+    """``(repo, label, sha)``: each start and all its ancestors.
+
+    ``starts`` is ``(repo, label, sha)``; several labels are followed at once. Repos
+    are counted first: those of at most ``group_limit`` commits are walked one group
+    per repo, larger ones by chains, so no task ever holds more than the limit.
+    """
+    labels = starts.groupBy("repo", "sha").agg(F.collect_set("label").alias("labels"))
+    counted = commits.groupBy("repo").agg((F.count(F.lit(1)) > group_limit).alias("large"))
+    rows = lookup(commits.select("repo", "sha", "parents"), counted, ["repo"], spread=["sha"])
+    small = (
+        rows.filter(~F.col("large"))
+        .join(labels, ["repo", "sha"], "left")
+        .select(
+            "repo", "sha",
+            F.coalesce("parents", F.array().cast("array<string>")).alias("parents"),
+            F.coalesce("labels", F.array().cast("array<string>")).alias("labels"),
+        )
+        .groupBy("repo")
+        .applyInPandas(_walk_group, "repo string, label string, sha string")
+    )
+    if counted.filter("large").isEmpty():
+        return small
+    return small.unionByName(
+        _reachable_by_chains(rows.filter("large").drop("large"), starts)
+    )
+
+
 def commits_since_ref(commits: DataFrame, head: DataFrame, baseline: DataFrame) -> DataFrame:
     """``(repo, sha)`` reachable from the head and not from the baseline."""
     starts = head.select("repo", F.lit("head").alias("label"), "sha").unionByName(
