@@ -75,7 +75,7 @@ def observed_endpoints(spark: SparkSession, folder: str) -> DataFrame:
     path = F.concat(
         F.lit("/v"), (F.col("l_quantity").cast("int") % 3).cast("string"),
         F.lit("/p"), (p % 150).cast("string"),
-        pick(n % 3, ["/{item_id}", "/<int:item>", "/:id"]),
+        pick(n % 3, ["/{key}", "/<int:item>", "/:id"]),
         F.when(p % 7 == 0, "/").otherwise(""),
     )
     return table(spark, folder, "lineitem").select(
@@ -404,7 +404,7 @@ def router_layers(spark: SparkSession, folder: str) -> DataFrame:
     routes = seated.select(
         app,
         *layer(
-            sid, nid, F.col("s_suppkey") + 1, "route",
+            sid, nid, F.col("s_suppkey") * 2 + 1, "route",
             path=F.concat(F.lit("/s"), F.col("s_suppkey").cast(text)),
             methods=F.array(F.lit("get")),
             handlers=F.array(F.lit("requireAuth"), F.lit("helmet"), F.lit("handle")),

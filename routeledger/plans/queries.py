@@ -557,18 +557,72 @@ def sarif_results(spark, folder):
     )
 
 
+_SARIF = (
+    "version string, runs array<struct<tool: struct<driver: struct<name: string, "
+    "rules: array<struct<id: string>>>>, results: array<struct<ruleId: string, level: string, "
+    "message: struct<text: string>, locations: array<struct<physicalLocation: struct<"
+    "artifactLocation: struct<uri: string>, region: struct<startLine: int>>>>, "
+    "properties: struct<method: string, path: string>>>>>"
+)
+
+
 @query
 def sarif_doc(spark, folder):
+    """SARIF documents read back: one row per result, or one for a document without."""
     endpoints, known = _observed(spark, folder)
-    repos = _repos(endpoints, known)
-    return report.sarif_documents(compare.match(endpoints, known), repos)
+    documents = report.sarif_documents(compare.match(endpoints, known), _repos(endpoints, known))
+    read = documents.select(
+        "repo", F.from_json("document", _SARIF).alias("d")
+    ).select("repo", "d.version", F.col("d.runs")[0].alias("run"))
+    return read.select(
+        "repo", "version",
+        F.array_join(
+            F.transform("run.tool.driver.rules", lambda r: r["id"]), ","
+        ).alias("rules"),
+        F.explode_outer("run.results").alias("r"),
+    ).select(
+        "repo", "version", "rules",
+        F.col("r.ruleId").alias("rule_id"),
+        F.col("r.message.text").alias("message"),
+        F.col("r.locations")[0]["physicalLocation"]["artifactLocation"]["uri"].alias("uri"),
+        F.col("r.locations")[0]["physicalLocation"]["region"]["startLine"].alias("start_line"),
+        F.col("r.properties.method").alias("method"),
+        F.col("r.properties.path").alias("path"),
+    )
+
+
+_LISTS = ["shadow", "missing_auth", "new"]
+_REPORT = "parsed_routes_count bigint, registered_routes_count bigint, coverage_ratio double, " + (
+    ", ".join(
+        f"{name}_endpoints array<struct<path: string, method: string, source_file: string, "
+        "line_number: int, is_new: boolean>>"
+        for name in _LISTS
+    )
+)
 
 
 @query
 def report_json(spark, folder):
+    """JSON reports read back: one row per list entry."""
     endpoints, known = _observed(spark, folder)
     matches = compare.match(endpoints, known)
-    return report.report_documents(matches, compare.posture(matches, known))
+    documents = report.report_documents(matches, compare.posture(matches, known))
+    read = documents.select("repo", F.from_json("document", _REPORT).alias("d"))
+
+    def entries_of(name: str) -> Column:
+        return F.transform(
+            f"d.{name}_endpoints", lambda e: F.struct(F.lit(name).alias("list"), e.alias("e"))
+        )
+
+    entries = F.flatten(F.array(*[entries_of(name) for name in _LISTS]))
+    return read.select(
+        "repo", "d.parsed_routes_count", "d.registered_routes_count",
+        F.round("d.coverage_ratio", 6).alias("coverage_ratio"),
+        F.explode_outer(entries).alias("x"),
+    ).select(
+        "repo", "parsed_routes_count", "registered_routes_count", "coverage_ratio", "x.list",
+        "x.e.method", "x.e.path", "x.e.source_file", "x.e.line_number", "x.e.is_new",
+    )
 
 
 # --- remediation ------------------------------------------------------------------
