@@ -8,41 +8,29 @@ from pyspark.sql import functions as F
 from .text import WORD
 
 
+# Each step uses the one before it once: a path function is often applied to the
+# result of another, and repeated references would multiply in the plan.
+_UNROOTED = r"\A(?!/)"
+_PARAMETER = rf"<(?:{WORD}+:)?({WORD}+)>|\{{({WORD}+)\}}"
+
+
 def normalize_path(path: Column) -> Column:
     """Canonical path: leading slash, no trailing slash, parameters as ``:name``."""
-    given = F.when(path.isNull() | (path == ""), F.lit("/")).otherwise(path)
-    trimmed = F.when(given == "/", given).otherwise(F.rtrim(given, F.lit("/")))
-    rooted = F.when(trimmed.startswith("/"), trimmed).otherwise(
-        F.concat(F.lit("/"), trimmed)
-    )
-    # Most paths have no parameter of either spelling: a byte search spares the regex.
-    angle = F.when(
-        rooted.contains("<"), F.regexp_replace(rooted, rf"<(?:{WORD}+:)?({WORD}+)>", ":$1")
-    ).otherwise(rooted)
-    return F.when(
-        angle.contains("{"), F.regexp_replace(angle, rf"\{{({WORD}+)\}}", ":$1")
-    ).otherwise(angle)
+    trimmed = F.rtrim(F.coalesce(path, F.lit("")), F.lit("/"))
+    rooted = F.regexp_replace(trimmed, _UNROOTED, "/")
+    return F.regexp_replace(rooted, _PARAMETER, ":$1$2")
 
 
 def path_shape(path: Column) -> Column:
     """Path with every parameter name replaced by ``{}``."""
-    normal = normalize_path(path)
-    return F.when(
-        normal.contains(":"), F.regexp_replace(normal, rf":{WORD}+", ":{}")
-    ).otherwise(normal)
+    return F.regexp_replace(normalize_path(path), rf":{WORD}+", ":{}")
 
 
 def join_router_path(prefix: Column, path: Column) -> Column:
     """Join a mount prefix and a route path the way a live router does."""
     both = F.concat(F.coalesce(prefix, F.lit("")), F.coalesce(path, F.lit("")))
-    single = F.regexp_replace(both, "/{2,}", "/")
-    rooted = F.when(single.startswith("/"), single).otherwise(
-        F.concat(F.lit("/"), single)
-    )
-    return F.when(
-        (F.length(rooted) > 1) & rooted.endswith("/"),
-        F.substring(rooted, F.lit(1), F.length(rooted) - 1),
-    ).otherwise(rooted)
+    rooted = F.regexp_replace(F.regexp_replace(both, "/{2,}", "/"), _UNROOTED, "/")
+    return F.regexp_replace(rooted, r"(?s)(?<=.)/\z", "")
 
 
 def mount_prefix(regexp_source: Column, fast_slash: Column) -> Column:

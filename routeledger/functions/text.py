@@ -28,9 +28,12 @@ def strip(text: Column) -> Column:
 
 
 def _without_last_if_empty(parts: Column) -> Column:
-    return F.when(
-        F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)
-    ).otherwise(parts)
+    return bind(
+        parts,
+        lambda p: F.when(
+            F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)
+        ).otherwise(p),
+    )
 
 
 def physical_lines(content: Column) -> Column:

@@ -115,7 +115,8 @@ def route_candidates(syntax: DataFrame, config: DataFrame | None = None) -> Data
     ).select("*", F.posexplode(decorators).alias("dec", "d")).filter(_is_route(F.col("d")))
 
     dependencies = F.col("d.dependencies")
-    dec_auth = F.coalesce(rules.expression(dependencies), F.lit(False))
+    routes = routes.withColumn("dec_auth", rules.expression(dependencies))
+    dec_auth = F.col("dec_auth")
     local = F.col("sig").isNotNull() | dec_auth | (F.size("guards") > 0)
     info = join_present(
         F.concat(
