@@ -13,7 +13,16 @@ from ..functions.paths import normalize_path
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A given table; a scan of fewer splits than cores is spread over the cores.
+
+    The small test tables are single row groups, hence single tasks. A table of many
+    splits is left alone, so nothing is shuffled at scale.
+    """
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("region", "nation") or rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores)
 
 
 def fill(template: str, **values: Column) -> Column:
