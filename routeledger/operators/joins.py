@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SALTS = 16
+BROADCAST_BYTES = 32 * 1024 * 1024
+ROW_OVERHEAD = 64
 
 
 def lookup(
@@ -16,24 +18,28 @@ def lookup(
     right: DataFrame,
     on: list[str],
     how: str = "left",
-    spread: list[str] | None = None,
-    salts: int = SALTS,
+    *,
+    spread: list[str],
+    small: bool = True,
 ) -> DataFrame:
     """Join ``left`` to ``right``, which holds at most one row per key.
 
-    ``right`` carries no broadcast hint: Catalyst broadcasts it when its measured
-    size is below the session's threshold and shuffles otherwise. For the shuffled
-    case the left rows are spread over ``salts`` buckets by a hash of ``spread``
-    (columns that vary within one key), so a key holding a third of all rows ends
-    up in many tasks; ``right`` is one row per key, so copying it is cheap.
+    ``right`` is staged and its bytes are summed: up to ``BROADCAST_BYTES`` it is
+    broadcast, so ``left`` is not shuffled at all. Beyond, or where the caller knows
+    it to be large (``small=False``), the left rows are spread over ``SALTS`` buckets
+    by a hash of ``spread`` (columns that vary within one key), so a key holding a
+    third of all rows ends up in many tasks, and both sides are sort-merged.
     """
-    if not spread:
-        return left.join(right, on, how)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int")
+    if small:
+        right = stage(right, "lookup")
+        width = F.octet_length(F.to_json(F.struct("*"))) + ROW_OVERHEAD
+        if (right.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES:
+            return left.join(F.broadcast(right), on, how)
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(SALTS)).cast("int")
     salted_left = left.withColumn("_salt", salt)
     salted_right = right.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    ).hint("merge")
     return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
 
 

@@ -56,7 +56,8 @@ def first_parent_sizes(commits: DataFrame) -> DataFrame:
         hop = state.select("repo", F.col("sha").alias("far"), F.col("far").alias("next"))
         state = stage(
             lookup(
-                state.join(gained, ["repo", "sha"], "left"), hop, ["repo", "far"], spread=["sha"]
+                state.join(gained, ["repo", "sha"], "left"), hop, ["repo", "far"], spread=["sha"],
+                small=False,
             ).select(
                 "repo", "sha", F.col("next").alias("far"),
                 (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size"),
@@ -165,6 +166,7 @@ def _reachable_by_chains(commits: DataFrame, starts: DataFrame) -> DataFrame:
                 ["repo", "from_chain"],
                 how="inner",
                 spread=["from_pos", "to_chain"],
+                small=False,
             )
             .select("*", F.explode("fs").alias("f"))
             .filter(
@@ -191,7 +193,7 @@ def _reachable_by_chains(commits: DataFrame, starts: DataFrame) -> DataFrame:
         F.collect_list(F.struct("label", "pos")).alias("bounds")
     )
     return (
-        lookup(places, bounds, ["repo", "chain"], how="inner", spread=["sha"])
+        lookup(places, bounds, ["repo", "chain"], how="inner", spread=["sha"], small=False)
         .select("repo", "sha", "pos", F.explode("bounds").alias("b"))
         .filter(F.col("pos") >= F.col("b.pos"))
         .select("repo", F.col("b.label").alias("label"), "sha")
@@ -297,13 +299,15 @@ def annotate(
     bare = endpoints.drop("is_new", "change_type", "commit", "author", "committed_at")
     path = F.concat_ws("/", F.lit(scan_root.strip("/") or None), F.col("source_file"))
     located = bare.withColumn("_path", path)
+    place = ["repo", "_path", "line_number"]
+    lines = blame.select(
+        "repo", F.col("path").alias("_path"), F.col("line").alias("line_number"),
+        F.col("sha").alias("_sha"),
+    )
+    # Blame has a row per source line; only the lines that declare an endpoint go on.
+    declared = located.select(*place).distinct()
     touched = located.join(
-        blame.select(
-            "repo", F.col("path").alias("_path"), F.col("line").alias("line_number"),
-            F.col("sha").alias("_sha"),
-        ),
-        ["repo", "_path", "line_number"],
-        "left",
+        lookup(lines, declared, place, "left_semi", spread=["_sha"]), place, "left"
     )
     # One commit may have touched a third of all lines (an import): spread by file.
     meta = commits.select("repo", F.col("sha").alias("_sha"), "author", "author_time").join(

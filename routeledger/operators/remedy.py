@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITE_SPACE, newline_lines, strip
+from .joins import lookup
 
 # The inserted texts and the distance searched for a decorator.
 FASTAPI_IMPORT = "from fastapi import Depends"
@@ -184,7 +185,9 @@ def remedy_diffs(endpoints: DataFrame, files: DataFrame) -> DataFrame:
         .agg(F.collect_list(F.struct("line_number", "method", "path", "edits")).alias("routes"))
     )
     content = files.select("repo", F.col("rel_path").alias("source_file"), "content")
-    edited = routes.join(content, _KEYS).mapInPandas(
+    # Broadcast if few files are flagged, so the content of the others is not shuffled.
+    joined = lookup(content, routes, _KEYS, "inner", spread=["source_file"])
+    edited = joined.mapInPandas(
         _diff_batches,
         "repo string, source_file string, line_number int, method string, path string, diff string",
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import join_router_path, mount_prefix, normalize_path
-from ..operators.joins import stage
+from ..operators.joins import lookup, stage
 from .config import with_rules
 
 # Internal middleware names that say nothing about the application.
@@ -71,7 +71,9 @@ def supersede(static: DataFrame, runtime: DataFrame) -> DataFrame:
     """Runtime rows replace every static JavaScript row of the same repo."""
     covered = runtime.select("repo").distinct()
     is_js = F.col("language") == "javascript"
-    kept = static.filter(is_js).join(covered, "repo", "left_anti")
+    kept = lookup(
+        static.filter(is_js), covered, ["repo"], "left_anti", spread=["source_file", "line_number"]
+    )
     return static.filter(~is_js).unionByName(kept).unionByName(runtime)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.redact import redact_frame
+from ..operators.joins import lookup
 from ..plans.scan import scan
 
 
@@ -45,7 +46,7 @@ def rescan_stream(
 
     def rescan(batch: DataFrame, batch_id: int) -> None:
         changed = batch.select("repo").distinct()
-        files = read_files().join(changed, "repo", "left_semi")
+        files = lookup(read_files(), changed, ["repo"], "left_semi", spread=["rel_path"])
         scan(files).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (

@@ -168,3 +168,15 @@ def test_inside_parens(text):
                 want = text[: i - 1]
                 break
     assert brackets.inside_parens("(" + text, 0) == want
+
+
+@pytest.mark.parametrize("limit", [32 * 1024 * 1024, 0])
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
+def test_lookup_is_the_same_on_both_paths(spark, monkeypatch, limit, how):
+    from routeledger.operators import joins
+
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", limit)
+    left = spark.range(300).selectExpr("if(id < 100, 'hot', cast(id AS string)) AS k", "id")
+    right = spark.createDataFrame([("hot", 1), ("150", 2), ("x", 3)], "k string, v int")
+    got = joins.lookup(left, right, ["k"], how, spread=["id"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, left.join(right, "k", how).collect()))
