@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, packing, sharding
+from . import decontaminate, language, licenses, lines, packing, sharding
 from .common import held_out, table
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+    return found.drop("text_hash")
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
@@ -23,6 +30,11 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(table(spark, folder, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lines.without_repeats(docs)
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     raw = language.dictionaries(language.training_rows(docs))
@@ -34,8 +46,10 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_decontamination": op4_decontamination,
     "op5_packing": op5_packing,
     "op6_license_scan": op6_license_scan,
     "op7_sharding": op7_sharding,
+    "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
 }
