@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, lines, packing, sharding
+from . import decontaminate, language, licenses, lines, packing, sharding, substrings
 from .common import held_out, table
 
 
@@ -30,6 +30,12 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(table(spark, folder, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = substrings.remove_repeats(docs)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return lines.without_repeats(docs)
@@ -50,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_license_scan": op6_license_scan,
     "op7_sharding": op7_sharding,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
 }
