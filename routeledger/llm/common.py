@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 import sys
+import tempfile
 import types
 import uuid
 from collections.abc import Callable
@@ -27,10 +28,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors reach, as the session names it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that the driver and all executors reach, as the session names it.
+
+    Only a session inside one process, as in tests, may do without the setting.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="routeledger-"))
+        folder = context.getCheckpointDir()
     return folder
 
 

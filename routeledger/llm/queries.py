@@ -7,10 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, lines, packing, sharding, substrings
+from . import (
+    decontaminate,
+    language,
+    language_model,
+    licenses,
+    lines,
+    near_duplicates,
+    packing,
+    sharding,
+    substrings,
+    topk,
+)
 from .common import held_out, table
 
 
+def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return near_duplicates.near_duplicates(docs).select("doc_id", "class_id", "n_links")
+
+
+def op2_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")
@@ -52,6 +76,9 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": op1_near_duplicates,
+    "op2_topk": op2_topk,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_decontamination": op4_decontamination,
     "op5_packing": op5_packing,
     "op6_license_scan": op6_license_scan,
