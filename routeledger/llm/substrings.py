@@ -105,7 +105,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
     ``removed`` (maximal intervals of words, end excluded). Rows are judged each, so
     repeated rows of at least ``window`` words lose everything. Null and empty texts
     have no words, texts of fewer words stay, an empty table gives no rows, and other
-    columns are ignored. A block of documents (about a quarter of a shuffle partition)
+    columns are ignored. A block of documents (about half a shuffle partition)
     is in memory at a time.
     """
     dealt, parts = blocks(docs)

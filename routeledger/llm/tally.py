@@ -26,10 +26,10 @@ REPLY = "block int, bucket int, totals binary, distinct long, sum long"
 def blocks(docs: DataFrame) -> tuple[DataFrame, int]:
     """``docs(doc_id, text)`` as ``block, doc_id, text``, and the number of blocks.
 
-    Four blocks and four buckets for each shuffle partition, so both grow with what the
+    Two blocks and two buckets for each shuffle partition, so both grow with what the
     session is set up for. Rows without an id are dealt by their text.
     """
-    n = 4 * shuffle_partitions(docs.sparkSession)
+    n = 2 * shuffle_partitions(docs.sparkSession)
     by = F.coalesce(F.xxhash64(F.col("doc_id").cast("string")), F.xxhash64("text"))
     by = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(by)
     return docs.select(
