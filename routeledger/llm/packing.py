@@ -15,6 +15,7 @@ handled in constant time; the few starts at a distance of a power of two are loo
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ SENTENCE_PENALTY = 8
 WORD_PENALTY = 64
 SEQUENCE_COST = 64
 SEGMENT_TOKENS = 1 << 20  # ids held in memory before windows are written
-CACHED_WORDS = 250_000  # words per generation of the encoder's cache
+CACHED_WORDS = 500_000  # words per generation of the encoder's cache
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -73,7 +74,7 @@ class Encoder(dict):
         super().__init__()
         self.whole = Tokenizer.from_file(path)
         self.letters = byte_letters()
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         ends = regex.compile(r"[.!?]+[\"')]*</w>")
         vocabulary = self.whole.get_vocab()
@@ -83,30 +84,31 @@ class Encoder(dict):
     def __missing__(self, word: bytes) -> bytes:
         packed = self.older.get(word)
         if packed is None:
-            packed = np.array(self.ids(word.decode()), dtype="<u4").tobytes()
+            packed = self.ids(word.decode())
         if len(self) >= CACHED_WORDS:
             self.older = dict(self)
             self.clear()
         self[word] = packed
         return packed
 
-    def ids(self, word: str) -> list[int]:
-        if not PLAIN.fullmatch(word) or "<|" in word:
-            return self.whole.encode(word, add_special_tokens=False).ids
-        found: list[int] = []
-        for piece in PIECES.findall("".join(map(str.lower, word))):
-            found += self.piece(piece)
-        return found
-
-    def piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
+    def ids(self, word: str) -> bytes:
+        plain = word.isascii() and word.isprintable() or PLAIN.fullmatch(word)
+        if not plain or "<|" in word:
+            return array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
+        word = word.lower()
+        if word.isalpha():
+            return self.piece(word)
+        return b"".join(map(self.piece, PIECES.findall(word)))
+
+    def piece(self, piece: str) -> bytes:
+        packed = self.pieces.get(piece)
+        if packed is None:
             text = piece.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.whole.model.tokenize(text)]
+            packed = array("I", [t.id for t in self.whole.model.tokenize(text)]).tobytes()
             if len(self.pieces) >= CACHED_WORDS:
                 self.pieces.clear()
-            self.pieces[piece] = ids
-        return ids
+            self.pieces[piece] = packed
+        return packed
 
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.split()))
