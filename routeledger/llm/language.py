@@ -25,6 +25,7 @@ LANGUAGES = 128  # most frequent labels that get a dictionary
 LEVEL = 5
 BLOCK_BYTES = 4 * 1024
 MIN_MARGIN = 0.004
+ROWS = 500  # rows turned into Python strings at a time
 
 # ASCII letters in lower case, other ASCII as a space; further letters stay.
 PLAIN = bytes(
@@ -121,8 +122,9 @@ def identify(docs: DataFrame, raw: dict[str, bytes]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(raw)
-        for batch in batches:
-            row = batch.column(0)
+        parts = (b.slice(n, ROWS) for b in batches for n in range(0, b.num_rows, ROWS))
+        for part in parts:
+            row = part.column(0)
             found = [model.predict(t) for t in row.field("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -33,7 +33,8 @@ SENTENCE_PENALTY = 8
 WORD_PENALTY = 64
 SEQUENCE_COST = 64
 SEGMENT_TOKENS = 1 << 20  # ids held in memory before windows are written
-CACHED_WORDS = 500_000  # words per generation of the encoder's cache
+CACHED_WORDS = 150_000  # words per generation of the encoder's cache
+CACHED_PIECES = 300_000
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -105,7 +106,7 @@ class Encoder(dict):
         if packed is None:
             text = piece.encode().decode("latin-1").translate(self.letters)
             packed = array("I", [t.id for t in self.whole.model.tokenize(text)]).tobytes()
-            if len(self.pieces) >= CACHED_WORDS:
+            if len(self.pieces) >= CACHED_PIECES:
                 self.pieces.clear()
             self.pieces[piece] = packed
         return packed

@@ -13,7 +13,7 @@ import pyarrow as pa
 U64 = np.uint64
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-SLICE_BYTES = 4 << 20  # text hashed at a time; a longer document is a slice of its own
+SLICE_BYTES = 2 << 20  # text hashed at a time; a longer document is a slice of its own
 
 
 def mix(x: np.ndarray) -> np.ndarray:

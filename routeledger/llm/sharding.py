@@ -1,8 +1,8 @@
 """Sharding by balanced label propagation: equal texts move to one shard under quotas.
 
 Documents start in a shard dealt by a hash of their id. In each round every group of
-equal texts names the shard that holds most of it, and its other members ask to move
-there. A shard admits as many rows as its quota has room for; who is admitted is read
+equal texts names the shard that holds most of it and has room, and its other members
+ask to move there. A shard admits as many rows as its quota has room for; who is admitted is read
 from a bounded table of counts by shard, strength of the pull and hash bucket, so no
 task ever ranks all rows. At the end surplus rows, those without links first, fill the
 free places, which makes the counts differ by one at most.
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, staged
 
 SHARDS = 16
-ROUNDS = 4
+ROUNDS = 6
 BUCKETS = 512  # hash buckets in which a shard's applicants are counted
 PULLS = 8  # classes of strength, by powers of two of the members already there
 
@@ -45,29 +45,37 @@ def numbered(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 def propagate(nodes: DataFrame, room: dict[int, int]) -> DataFrame:
     """One round: linked ``nodes`` with new shards; ``room`` is what each shard may admit.
 
-    Only members outside the shard that holds most of their group ask to move, so the
-    number of cut edges never grows.
+    Members ask to move to the shard that holds most of their group among those with
+    room for all of it; where none has, to the one that holds most.
     """
+    limits = F.create_map(*[F.lit(int(x)) for pair in sorted(room.items()) for x in pair])
     held = nodes.groupBy("grp", "shard").agg(F.count("*").alias("n"))
-    most = F.max(F.struct(F.col("n").alias("n"), (-F.col("shard")).alias("s")))
+    group = Window.partitionBy("grp")  # a row per shard at most
+    # A shard that can take the whole group comes before one that cannot.
+    fits = limits[F.col("shard")] >= F.sum("n").over(group) - F.col("n")
+    rank = F.struct(F.col("fits"), F.col("n").alias("n"), (-F.col("shard")).alias("s"))
     pulls = (
-        held.withColumn("best", most.over(Window.partitionBy("grp")))
+        held.withColumn("fits", fits).withColumn("best", F.max(rank).over(group))
         .withColumn("target", -F.col("best.s"))
         .filter("shard != target")
         .select(
-            "grp", "shard", "target",
+            "grp", "shard", "target", F.col("best.fits").alias("whole"),
             F.least(F.log2(F.col("best.n")).cast("int"), F.lit(PULLS - 1)).alias("pull"),
         )
     )
+    # A group that fits applies as one; of a larger one rows apply by themselves.
     asked = nodes.join(pulls, ["grp", "shard"], "left").withColumn(
-        "bucket", F.pmod(F.xxhash64("h", "uid"), F.lit(BUCKETS)).cast("int")
+        "bucket",
+        F.pmod(
+            F.when(F.col("whole"), F.xxhash64("grp")).otherwise(F.xxhash64("h", "uid")),
+            F.lit(BUCKETS),
+        ).cast("int"),
     )
     # Applicants by shard, strength and bucket: at most shards x PULLS x BUCKETS rows.
     counted = asked.filter("target is not null").groupBy("target", "pull", "bucket").agg(
         F.count("*").alias("n")
     )
     queue = Window.partitionBy("target").orderBy(F.desc("pull"), "bucket")
-    limits = F.create_map(*[F.lit(int(x)) for pair in sorted(room.items()) for x in pair])
     admitted = (
         counted.withColumn("upto", F.sum("n").over(queue))
         .filter(F.col("upto") <= limits[F.col("target")])
