@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, small_batches
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 300  # training documents per language, those with the smallest id hash
@@ -116,6 +116,7 @@ def identify(docs: DataFrame, raw: dict[str, bytes]) -> DataFrame:
     Columns of ``docs`` with the three names are replaced. Each row is judged alone, so
     repeated rows get equal results and an empty table gives none.
     """
+    small_batches(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("lang_pred", "score", "accepted")]
     slim = docs.select(F.struct(*[docs[f"`{c}`"] for c in own]).alias("row"))
     schema = slim.schema.simpleString()[len("struct<") : -1].replace("row:", "row ", 1)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import shuffle_partitions, small_batches
 from .rolling import U64, Words, mix, random_odd, slices
 from .tally import REQUEST, blocks, column, ordered, replies, request, tally
 
@@ -159,6 +159,7 @@ def score(docs: DataFrame, *, order: int = ORDER) -> DataFrame:
     ignored. The cells from which weights are learned are counts by classes of the
     estimates, so their number does not grow with the corpus.
     """
+    small_batches(docs.sparkSession)
     parts = shuffle_partitions(docs.sparkSession)
     dealt, buckets = blocks(docs)
     dealt = dealt.repartition(parts, "block")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bind
+from .common import small_batches
 
 SPAN = 3
 CUT = "text string, removed int"
@@ -88,6 +89,7 @@ def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     the same result; rows that share only the id are told apart by their text. Within
     one text a repetition is a later occurrence too. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     own = [c for c in docs.columns if c != "lines_removed"]
     rows = docs.select(
         F.struct(*[docs[f"`{c}`"] for c in own]).alias("row"),

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import small_batches, staged
 from .components import components
 from .rolling import U64, Words, mix, random_odd, slices
 
@@ -184,6 +184,7 @@ def near_duplicates(
     columns are ignored, an empty table gives no rows. A pair below the threshold never
     links; one above is missed with a probability under 1 - ``recall``.
     """
+    small_batches(docs.sparkSession)
     depth = prefix_depth(threshold, trees, LEVELS, recall)
     signed = staged(sign(docs, depth, trees), "signed")
     place = F.struct(F.col("doc_id"), F.col("text_hash"))

@@ -25,7 +25,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import per_worker
+from .common import per_worker, small_batches
 
 WIDTH = 4096
 END_ID = 2
@@ -33,8 +33,8 @@ SENTENCE_PENALTY = 8
 WORD_PENALTY = 64
 SEQUENCE_COST = 64
 SEGMENT_TOKENS = 1 << 20  # ids held in memory before windows are written
-CACHED_WORDS = 150_000  # words per generation of the encoder's cache
-CACHED_PIECES = 300_000
+CACHED_WORDS = 100_000  # words per generation of the encoder's cache
+CACHED_PIECES = 200_000
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -233,6 +233,7 @@ def pack(docs: DataFrame, *, path: str | None = None, width: int = WIDTH) -> Dat
     text of any length is cut at sentences, and inside one only if it exceeds
     ``width``. An empty table gives no rows; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

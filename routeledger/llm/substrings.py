@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
 from .rolling import U64, Words, slices
 from .tally import REQUEST, blocks, column, ordered, packed, replies, request, tally, unpacked
 
@@ -108,6 +109,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
     columns are ignored. A block of documents (about half a shuffle partition)
     is in memory at a time.
     """
+    small_batches(docs.sparkSession)
     dealt, parts = blocks(docs)
     found = repeated_windows(dealt, parts, window)
 
