@@ -162,9 +162,13 @@ def posture(matches: DataFrame, registry: DataFrame, repos: DataFrame | None = N
     )
 
 
-def gate(matches: DataFrame, new_only: bool = False) -> DataFrame:
+def gate(
+    matches: DataFrame, new_only: bool = False, repos: DataFrame | None = None
+) -> DataFrame:
     """``(repo, violations, passed)``; shadow and open rows each count once per list.
 
+    ``repos`` adds the repositories without endpoints, which pass with 0 violations.
+
     With ``new_only`` every row of a key that has a new row counts, old rows too.
     """
     keys = matches.groupBy("repo", "path", "method").agg(
@@ -177,7 +181,11 @@ def gate(matches: DataFrame, new_only: bool = False) -> DataFrame:
     counted = F.col("violations")
     if new_only:
         counted = F.when(F.col("any_new"), counted).otherwise(F.lit(0))
-    totals = keys.groupBy("repo").agg(F.sum(counted).alias("violations"))
+    counts = keys.select("repo", counted.alias("violations"))
+    if repos is not None:
+        none = repos.select("repo", F.lit(0).cast("bigint").alias("violations"))
+        counts = counts.unionByName(none)
+    totals = counts.groupBy("repo").agg(F.sum("violations").alias("violations"))
     return totals.withColumn("passed", F.col("violations") == 0)
 
 

@@ -96,7 +96,8 @@ def run_batch(
     posture = stage(ops.posture(matches, registry, files.select("repo").distinct()), "posture")
     append_endpoints(report.findings(matches), f"{out}/findings")
     append_endpoints(posture, f"{out}/posture")
-    append_endpoints(ops.gate(matches, new_only and bool(since)), f"{out}/gate")
+    gates = ops.gate(matches, new_only and bool(since), files.select("repo").distinct())
+    append_endpoints(gates, f"{out}/gate")
     for fmt in ("json", "sarif"):
         append_documents(report.render(matches, posture, fmt), f"{out}/{fmt}")
     return written | {

@@ -69,7 +69,7 @@ def raw_paths(spark: SparkSession, folder: str) -> DataFrame:
     shaped = (
         F.when(k % 7 == 0, F.lit(""))
         .when(k % 7 == 1, F.concat(styled, F.lit("///")))
-        .when(k % 7 == 2, F.substring(styled, 2, 10000))
+        .when(k % 7 == 2, F.substr(styled, F.lit(2)))
         .when(k % 7 == 3, F.lit("//"))
         .otherwise(styled)
     )
@@ -485,14 +485,19 @@ def _part_file(key: Column) -> Column:
     return F.concat(F.lit("svc/api/part_"), key.cast("string"), F.lit(".py"))
 
 
+def _commit_of(order: Column, part: Column) -> Column:
+    """The order at or just below in the repo of the part (orders are dealt by key mod 3)."""
+    below = order - F.pmod(order - part, F.lit(3))
+    return F.when(below < 1, below + 3).otherwise(below)
+
+
 def blame_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Each line of a part's file belongs to the last order of the same repo for it."""
     p = F.col("l_partkey")
     return (
         table(spark, folder, "lineitem")
-        .filter(F.col("l_orderkey") % 3 == p % 3)
         .groupBy("l_partkey", "l_linenumber")
-        .agg(F.max("l_orderkey").alias("k"))
+        .agg(F.max(_commit_of(F.col("l_orderkey"), p)).alias("k"))
         .select(
             F.concat(F.lit("h"), (p % 3).cast("string")).alias("repo"),
             _part_file(p).alias("path"),
@@ -507,8 +512,7 @@ def file_changes(spark: SparkSession, folder: str) -> DataFrame:
     p = F.col("l_partkey")
     touched = (
         table(spark, folder, "lineitem")
-        .filter(F.col("l_orderkey") % 3 == p % 3)
-        .select("l_partkey", "l_orderkey")
+        .select("l_partkey", _commit_of(F.col("l_orderkey"), p).alias("l_orderkey"))
         .distinct()
     )
     first = touched.groupBy("l_partkey").agg(F.min("l_orderkey").alias("first"))

@@ -459,7 +459,9 @@ live AS (SELECT log.*, v1 FROM log JOIN tips USING (repo) WHERE i <= head AND i
 since_ref AS (SELECT * FROM live WHERE i > v1),
 since_date AS (SELECT * FROM live WHERE made >= TIMESTAMP '1999-06-01')"""
 _FILES = """mine AS (
-  SELECT l_partkey AS p, l_linenumber AS line, l_orderkey AS k FROM lineitem WHERE l_orderkey % 3 = l_partkey % 3),
+  SELECT p, line, CASE WHEN k < 1 THEN k + 3 ELSE k END AS k FROM (
+    SELECT l_partkey AS p, l_linenumber AS line,
+      l_orderkey - ((l_orderkey - l_partkey) % 3 + 3) % 3 AS k FROM lineitem)),
 blamed AS (SELECT p, line, max(k) AS k FROM mine GROUP BY p, line),
 born AS (SELECT p, min(k) AS k FROM mine GROUP BY p)"""
 ORACLE["prov_date_window"] = _with(_HISTORY, select="SELECT repo, sha FROM since_date")

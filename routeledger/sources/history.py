@@ -71,5 +71,8 @@ def commit_time(epoch: Column) -> Column:
 
 
 def iso_utc(time: Column) -> Column:
-    """ISO text with offset; the session time zone must be UTC."""
-    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    """ISO text with offset, in UTC whatever the session's time zone."""
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    seconds = F.unix_seconds(time).cast("decimal(18,6)")
+    utc = zero + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+    return F.concat(F.replace(utc.cast("string"), F.lit(" "), F.lit("T")), F.lit("+00:00"))

@@ -77,7 +77,7 @@ def supersede(static: DataFrame, runtime: DataFrame) -> DataFrame:
     return static.filter(~is_js).unionByName(kept).unionByName(runtime)
 
 
-def flatten_router(layers: DataFrame, max_depth: int = 64) -> DataFrame:
+def flatten_router(layers: DataFrame) -> DataFrame:
     """Router-stack layers to ``(app, path, method, middleware)``.
 
     ``layers`` holds ``(app, layer_id, parent_id, pos, kind, path, regexp_source,
@@ -123,10 +123,13 @@ def flatten_router(layers: DataFrame, max_depth: int = 64) -> DataFrame:
         F.col("local").alias("inherited"),
     )
     levels = []
-    for _ in range(max_depth):
+    mounted = routers.count()
+    while True:
         level = stage(open_level, "router-level")
         if level.isEmpty():
             break
+        if len(levels) >= mounted:
+            raise ValueError("a router layer is its own ancestor")
         levels.append(level)
         open_level = routers.join(level, ["app", "parent_id"]).select(
             "app",
@@ -134,8 +137,6 @@ def flatten_router(layers: DataFrame, max_depth: int = 64) -> DataFrame:
             join_router_path(F.col("prefix"), F.col("step")).alias("prefix"),
             F.concat("inherited", "local").alias("inherited"),
         )
-    else:
-        raise ValueError(f"router stacks nest deeper than {max_depth} levels")
 
     routes = local.filter(F.col("kind") == "route")
     top = routes.filter(F.col("parent_id").isNull()).select(
