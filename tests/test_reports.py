@@ -11,22 +11,22 @@ from routeledger.operators import compare as ops
 from routeledger.operators import remedy, report
 from routeledger.sources import openapi, runtime
 from routeledger.streaming.jobs import redact_stream, rescan_stream
-from tests.test_scan import FASTAPI, FLASK
+from tests.harbor import DESK, TIDES
 
 SPEC = {
     "paths": {
-        "/v1/accounts/{key}": {"get": {}},
-        "/alive": {"get": {}, "x-note": {}},
-        "/v1/goods/": {"GET": {}},
-        "/about": {"get": {}},
-        "/bad": "text",
+        "/berths/{id}/lock": {"put": {}},
+        "/crews/{n}": {"delete": {}, "summary": "no verb"},
+        "/crews/": {"GET": {}},
+        "/": {"head": {}},
+        "/wrong": "text",
     }
 }
 
 
 @pytest.fixture(scope="module")
 def project(spark, make_files):
-    files = make_files({"a.py": FASTAPI, "b.py": FLASK}).cache()
+    files = make_files({"a.py": TIDES, "b.py": DESK}).cache()
     specs = spark.createDataFrame(
         [("r", json.dumps(SPEC)), ("idle", '{"paths": {}}'), ("bad", "nope")],
         "repo string, spec_json string",
@@ -38,12 +38,14 @@ def project(spark, make_files):
 def test_posture(project):
     _, known, matches = project
     row = ops.posture(matches, known).first()
-    assert row.parsed_routes_count == 6 and row.registered_routes_count == 4
-    assert row.shadow_count == 2 and row.missing_auth_count == 4
-    assert row.coverage_ratio == pytest.approx(4 / 6)
+    assert row.parsed_routes_count == 9 and row.registered_routes_count == 4
+    assert row.shadow_count == 5 and row.missing_auth_count == 5
+    assert row.coverage_ratio == pytest.approx(4 / 9)
     shadow = {r.path for r in matches.filter("status = 'shadow'").collect()}
-    assert shadow == {"/v1/dump", "/v1/state"}
-    assert ops.gate(matches).first().violations == 6
+    assert shadow == {
+        "/berths/:berth", "/tides/:port/today", "/tides/:port", "/crews/:crew", "/notices"
+    }
+    assert ops.gate(matches).first().violations == 10
     assert not ops.gate(matches).first().passed
 
 
@@ -51,6 +53,8 @@ def test_posture_of_repos_without_rows(spark, project):
     _, known, matches = project
     repos = spark.createDataFrame([("r",), ("none",)], "repo string")
     rows = {r.repo: r for r in ops.posture(matches, known, repos).collect()}
+    gates = {r.repo: r for r in ops.gate(matches, repos=repos).collect()}
+    assert gates["none"].passed and gates["none"].violations == 0 and not gates["r"].passed
     assert rows["none"].coverage_ratio == 1.0 and rows["none"].parsed_routes_count == 0
 
 
@@ -76,9 +80,9 @@ def test_sarif(project, limit):
     if limit == 5000:
         assert len(documents) == 1
         rules = [x["ruleId"] for x in documents[0]["runs"][0]["results"]]
-        assert rules == ["shadow-endpoint"] * 2 + ["missing-auth"] * 4
+        assert rules == ["shadow-endpoint"] * 5 + ["missing-auth"] * 5
     results = [x for d in documents for x in d["runs"][0]["results"]]
-    assert len(results) == 6
+    assert len(results) == 10
     assert all(d["version"] == "2.1.0" for d in documents)
     assert all(
         x["locations"][0]["physicalLocation"]["region"]["startLine"] >= 1 for x in results
@@ -94,15 +98,15 @@ def test_render_rejects_unknown_format(project):
 def test_remediation_diffs(project):
     files, _, matches = project
     diffs = {r.path: r.diff for r in remediation(matches.filter("NOT auth_required"), files).collect()}
-    # The FastAPI file imports Depends already: only the decorator changes.
-    lines = FASTAPI.splitlines(keepends=True)
-    at = lines.index('@service.post("/v1/dump")\n')
+    # The first file imports Depends already: only the decorator changes.
+    lines = TIDES.splitlines(keepends=True)
     changed = [*lines]
-    changed[at] = '@service.post("/v1/dump", dependencies=[Depends(verify_token)])\n'
+    at = lines.index('@tides.patch("/{port}")\n')
+    changed[at] = '@tides.patch("/{port}", dependencies=[Depends(verify_token)])\n'
     want = difflib.unified_diff(lines, changed, "a/a.py", "b/a.py", lineterm="")
-    assert diffs["/v1/dump"] == "\n".join(want)
-    # The Flask file names the guard already: one line below the decorator.
-    assert "+@jwt_required()" in diffs["/v1/state"] and "import jwt" not in diffs["/v1/state"]
+    assert diffs["/tides/:port"] == "\n".join(want)
+    # The second names the guard already: one line below the decorator.
+    assert "+@jwt_required()" in diffs["/crews"] and "import jwt" not in diffs["/crews"]
 
 
 def test_remediation_inserts_imports_on_the_decorator_line(spark, make_files):
@@ -127,40 +131,50 @@ def test_remediation_inserts_imports_on_the_decorator_line(spark, make_files):
     assert "# Target: PUT /g" in diffs["gone.py", 3]
 
 
+LAYERS = (
+    "app string, layer_id bigint, parent_id bigint, pos int, kind string, path string, "
+    "regexp_source string, fast_slash boolean, methods array<string>, name string, "
+    "handlers array<string>"
+)
+
+
 def test_router_stack(spark):
+    mount = r"^\/yard\/?(?=\/|$)"
     rows = [
-        ("app", 1, None, 0, "use", None, None, None, "helmet", []),
-        ("app", 2, None, 1, "route", "/alive", None, ["get"], None, ["<anonymous>"]),
-        ("app", 3, None, 2, "router", None, r"^\/api\/?(?=\/|$)", None, None, []),
-        ("app", 4, 3, 0, "route", "/closed", None, ["get"], None, ["requireAuth", "<anonymous>"]),
-        ("app", 5, 3, 1, "route", "/open", None, ["post"], None, ["<anonymous>"]),
-        ("app", 6, 3, 2, "route", "/bills/:id", None, ["get"], None, []),
+        ("dock", 20, None, 5, "route", "/signal", None, False, ["put", "head"], None, ["wave"]),
+        ("dock", 21, None, 6, "router", None, mount, False, None, None, []),
+        ("dock", 22, 21, 1, "use", None, None, False, None, "requireAuth", []),
+        ("dock", 23, 21, 0, "route", "/free/:n", None, False, ["patch"], None, []),
+        ("dock", 24, 21, 2, "route", "/kept", None, False, ["delete"], None, ["scrap"]),
     ]
-    layers = spark.createDataFrame(
-        [(*r[:6], r[6], False, *r[7:]) for r in rows],
-        "app string, layer_id bigint, parent_id bigint, pos int, kind string, path string, "
-        "regexp_source string, fast_slash boolean, methods array<string>, name string, "
-        "handlers array<string>",
+    flat = runtime.flatten_router(spark.createDataFrame(rows, LAYERS)).select(
+        F.col("app").alias("repo"), F.lit("bin/dock.js").alias("entry"), "path", "method", "middleware"
     )
-    flat = runtime.flatten_router(layers).select(
-        F.col("app").alias("repo"), F.lit("srv/app.js").alias("entry"), "path", "method", "middleware"
-    )
-    found = {r.path: r for r in runtime.runtime_endpoints(flat).collect()}
-    assert set(found) == {"/alive", "/api/closed", "/api/open", "/api/bills/:id"}
-    assert found["/api/closed"].auth_info == "runtime middleware: requireAuth (chain: helmet, requireAuth)"
-    assert not found["/api/open"].auth_required
-    assert {r.line_number for r in found.values()} == {0}
-    assert {r.source_file for r in found.values()} == {"app.js"}
+    found = {(r.method, r.path): r for r in runtime.runtime_endpoints(flat).collect()}
+    assert {k for k, r in found.items() if not r.auth_required} == {
+        ("PUT", "/signal"), ("HEAD", "/signal"), ("PATCH", "/yard/free/:n")
+    }
+    assert found["DELETE", "/yard/kept"].auth_required
+    assert {(r.source_file, r.line_number) for r in found.values()} == {("dock.js", 0)}
+
+
+def test_router_cycles_are_refused(spark):
+    rows = [
+        ("a", 1, None, 0, "router", None, None, True, None, None, []),
+        ("a", 1, 1, 0, "router", None, None, True, None, None, []),
+    ]
+    with pytest.raises(ValueError, match="own ancestor"):
+        runtime.flatten_router(spark.createDataFrame(rows, LAYERS))
 
 
 def test_batch_job(spark, project, tmp_path):
     files, known, _ = project
     written = run_batch(files, str(tmp_path), registry=known)
-    assert spark.read.parquet(f"{tmp_path}/endpoints").count() == 6
-    assert written["posture"].first().shadow_count == 2
-    assert written["findings"].count() == 6
+    assert spark.read.parquet(f"{tmp_path}/endpoints").count() == 9
+    assert written["posture"].first().shadow_count == 5
+    assert written["findings"].count() == 10
     text = spark.read.text(f"{tmp_path}/sarif").first().value
-    assert len(json.loads(text)["runs"][0]["results"]) == 6
+    assert len(json.loads(text)["runs"][0]["results"]) == 10
     assert set(run_batch(files, f"{tmp_path}/bare")) == {"endpoints"}
 
 
@@ -177,4 +191,4 @@ def test_streams(spark, project, tmp_path):
     rescan_stream(
         changes, lambda: spark.read.parquet(f"{tmp_path}/files"), f"{tmp_path}/scans", f"{tmp_path}/c2"
     ).awaitTermination(120)
-    assert spark.read.parquet(f"{tmp_path}/scans").count() == 6
+    assert spark.read.parquet(f"{tmp_path}/scans").count() == 9

@@ -1,196 +1,105 @@
 """End-to-end scans of small source trees."""
 
+import pytest
+
 from routeledger import scan
+from tests.harbor import CRANES, DESK, PILOTS, QUAY, TIDES
 
 
 def keyed(df):
     return {(r.method, r.path): r for r in df.collect()}
 
 
-FASTAPI = '''
-from fastapi import FastAPI, Depends
-
-service = FastAPI()
-
-def verify_token():
-    return {}
-
-@service.get("/v1/accounts/{id}")
-def account(id: int, who: dict = Depends(verify_token)):
-    return id
-
-@service.get("/alive")
-def alive():
-    return "yes"
-
-@service.post("/v1/dump")
-def dump():
-    return {}
-'''
-
-FLASK = '''
-from flask import Flask, Blueprint
-
-site = Flask(__name__)
-bp = Blueprint("goods", __name__)
-
-@bp.route("/v1/goods", methods=["GET"])
-@jwt_required()
-def goods():
-    return []
-
-site.register_blueprint(bp)
-
-@site.route("/about", methods=["GET"])
-def about():
-    return ""
-
-@site.route("/v1/state")
-def state():
-    return ""
-'''
-
-SPRING = '''package com.acme;
-
-@RestController
-@RequestMapping("/v1/accounts")
-public class AccountController {
-
-    // guarded
-    @GetMapping("/{id}")
-    @PreAuthorize("hasRole('USER')")
-    public Account one(@PathVariable Long id) {
-        return find(id);
+@pytest.fixture(scope="module")
+def rows(make_files):
+    files = {
+        "tides.py": TIDES, "desk.py": DESK, "Pilots.java": PILOTS,
+        "quay.js": QUAY, "cranes.js": CRANES,
     }
+    return keyed(scan(make_files(files)))
 
-    @PostMapping
-    public Account make(@RequestBody Account a) {
-        return a;
-    }
 
-    @RequestMapping(value = "/find", method = RequestMethod.GET)
-    public List<Account> find() {
-        return all();
+def test_routers_of_one_file_keep_their_own_prefix(rows):
+    mine = {k: r for k, r in rows.items() if r.source_file == "tides.py"}
+    assert {k: r.auth_info for k, r in mine.items()} == {
+        ("PUT", "/berths/:berth/lock"): "Decorator dependencies: [Depends(verify_token)]",
+        ("DELETE", "/berths/:berth"): None,
+        ("GET", "/tides/:port/today"): "Argument keeper default: Depends(verify_token)",
+        ("PATCH", "/tides/:port"): None,
+        ("HEAD", "/"): None,
     }
-}
-'''
-
-EXPRESS_APP = '''const app = express();
-const router = require('./routes');
-app.use('/api', router);
-app.get('/alive', (req, res) => res.send('ok'));
-'''
-
-EXPRESS_ROUTES = '''const router = express.Router();
-router.get('/me', requireAuth, (req, res) => {
-  res.json({});
-});
-router.post('/note', (req, res) => {
-  res.json({});
-});
-router.get('/admin/:part', (req, res) => {
-  res.json({});
-});
-'''
-
-
-def test_fastapi(make_files):
-    rows = keyed(scan(make_files({"app.py": FASTAPI})))
-    assert len(rows) == 3
-    account = rows["GET", "/v1/accounts/:id"]
-    assert account.auth_required and "Depends(verify_token)" in account.auth_info
-    assert account.auth_info == "Argument who default: Depends(verify_token)"
-    assert account.line_number == 10
-    assert not rows["GET", "/alive"].auth_required
-    assert not rows["POST", "/v1/dump"].auth_required
-    assert {r.framework for r in rows.values()} == {"FastAPI"}
-
-
-def test_flask(make_files):
-    rows = keyed(scan(make_files({"app.py": FLASK})))
-    assert len(rows) == 3
-    assert rows["GET", "/v1/goods"].auth_info == "Flask Decorators: jwt_required"
-    assert not rows["GET", "/about"].auth_required
-    assert not rows["GET", "/v1/state"].auth_required
-    assert {r.framework for r in rows.values()} == {"Flask"}
-
-
-def test_spring(make_files):
-    rows = keyed(scan(make_files({"A.java": SPRING})))
-    assert set(rows) == {
-        ("GET", "/v1/accounts/:id"), ("POST", "/v1/accounts"), ("GET", "/v1/accounts/find"),
+    assert [r.line_number for r in mine.values()].count(14) == 1
+    assert {r.framework for r in mine.values()} == {"FastAPI"}
+
+
+def test_flask_methods_and_verbs(rows):
+    mine = {k: r for k, r in rows.items() if r.source_file == "desk.py"}
+    guarded = {k for k, r in mine.items() if r.auth_required}
+    assert guarded == {("PUT", "/crews/:crew"), ("DELETE", "/crews/:crew")}
+    assert set(mine) - guarded == {("GET", "/crews"), ("POST", "/notices")}
+    assert {r.auth_info for k, r in mine.items() if k in guarded} == {"Flask Decorators: jwt_required"}
+
+
+def test_the_first_java_class_sets_the_prefix(rows):
+    # Annotations of a later class of the file count as those of a method.
+    mine = {k: r.auth_info for k, r in rows.items() if r.language == "java"}
+    assert mine == {
+        ("DELETE", "/pilots/:no"): "annotations: Secured",
+        ("PATCH", "/pilots/:no"): None,
+        ("GET", "/tugs"): None,
+        ("PUT", "/:name/tow"): "annotations: PreAuthorize",
     }
-    one = rows["GET", "/v1/accounts/:id"]
-    assert one.auth_required and one.auth_info == "annotations: PreAuthorize"
-    assert one.line_number == 8 and one.language == "java"
-    assert not rows["POST", "/v1/accounts"].auth_required
-    assert not rows["GET", "/v1/accounts/find"].auth_required
 
 
-def test_express_mounts(make_files):
-    rows = keyed(scan(make_files({"app.js": EXPRESS_APP, "routes.js": EXPRESS_ROUTES})))
-    assert set(rows) == {
-        ("GET", "/api/me"), ("POST", "/api/note"), ("GET", "/api/admin/:part"), ("GET", "/alive"),
-    }
-    assert rows["GET", "/api/me"].auth_info == "inline middleware: requireAuth"
-    assert not rows["GET", "/alive"].auth_required
+def test_guard_at_the_mount_and_all_verbs(rows):
+    mine = {k: r for k, r in rows.items() if r.language == "javascript"}
+    below = {k for k, r in mine.items() if r.source_file == "cranes.js"}
+    assert below == {("PUT", "/cranes/:crane"), ("DELETE", "/cranes/:crane")}
+    assert {mine[k].auth_info for k in below} == {"mount-level middleware on 'cranes'"}
+    horn = {k for k, r in mine.items() if k[1] == "/horn" and not r.auth_required}
+    assert horn == {(v, "/horn") for v in ("GET", "POST", "PUT", "DELETE", "PATCH")}
 
 
-def test_express_chain_with_factories(make_files):
+def test_a_chain_over_lines_starts_at_its_owner(make_files):
     text = (
-        "const router = express.Router();\n"
-        "router\n"
-        "  .route('/')\n"
-        "  .post(auth('write'), check(x), things.create)\n"
-        "  .get(auth('read'), things.list);\n"
+        "const locks = express.Router();\n\n"
+        "locks.route('/gate/:side')\n"
+        "  .patch(\n    ensureAuthenticated(['pilot', 'master']),\n    swing,\n  )\n"
+        "  .head(look);\nlocks.delete('/gate', drop);\n"
     )
-    rows = keyed(scan(make_files({"t.route.js": text})))
-    assert set(rows) == {("POST", "/"), ("GET", "/")}
-    assert all(r.auth_required and r.line_number == 2 for r in rows.values())
-
-
-def test_polyglot_directory(make_files):
-    files = {"A.java": SPRING, "app.js": EXPRESS_APP, "routes.js": EXPRESS_ROUTES}
-    languages = [r.language for r in scan(make_files(files)).collect()]
-    assert languages.count("java") == 3 and languages.count("javascript") == 4
-
-
-def test_cross_file_prefix_and_tuple_methods(make_files):
-    files = {
-        "main.py": "from fastapi import FastAPI\napp = FastAPI()\n"
-        "app.include_router(things, prefix='/v3')\n",
-        "things.py": "from fastapi import APIRouter\nthings = APIRouter()\n"
-        "@things.route('/t/{thing_id}', methods=('GET', 'POST'))\ndef t(thing_id): ...\n",
-    }
-    assert set(keyed(scan(make_files(files)))) == {
-        ("GET", "/v3/t/:thing_id"), ("POST", "/v3/t/:thing_id"),
-    }
+    found = keyed(scan(make_files({"locks.js": text})))
+    assert found["PATCH", "/gate/:side"].auth_required
+    assert found["PATCH", "/gate/:side"].line_number == 3
+    assert not found["DELETE", "/gate"].auth_required
 
 
-def test_constructor_prefix_and_alias(make_files):
+def test_mount_in_another_file_and_several_verbs(make_files):
     files = {
-        "deps.py": "from typing import Annotated\nfrom fastapi import Depends\n"
-        "SessionDep = Annotated[str, Depends(get_db)]\n"
-        "CurrentUser = Annotated[str, Depends(get_current_user)]\n",
-        "items.py": "from fastapi import APIRouter\n"
-        "router = APIRouter(prefix='/items')\n"
-        "@router.get('/')\ndef a(session: SessionDep): ...\n"
-        "@router.post('/')\ndef b(session: SessionDep, user: CurrentUser): ...\n"
-        "@router.put('/')\ndef c(users: CurrentUserList): ...\n",
+        "fleet/__init__.py": "fleet = FastAPI()\nfleet.include_router(buoys, prefix='/sea/v9')\n",
+        "fleet/buoys.py": "buoys = APIRouter()\n\n"
+        "@buoys.api_route('/b/{n}', methods=['PATCH', 'PUT'])\ndef place(n): ...\n",
     }
-    rows = keyed(scan(make_files(files)))
-    assert not rows["GET", "/items"].auth_required
-    assert rows["POST", "/items"].auth_info == "alias dependency: CurrentUser"
-    assert not rows["PUT", "/items"].auth_required
+    assert set(keyed(scan(make_files(files)))) == {("PATCH", "/sea/v9/b/:n"), ("PUT", "/sea/v9/b/:n")}
 
 
-def test_exclusions_and_override(make_files):
-    body = "from fastapi import FastAPI\napp = FastAPI()\n@app.get('/{}')\ndef f(): ...\n"
+def test_several_aliases_on_one_route(make_files):
     files = {
-        "app.py": body.format("real"),
-        "tests/t.py": body.format("tested"),
-        "node_modules/p/v.py": body.format("vendored"),
+        "kit/types.py": "Clock = Annotated[int, Depends(read_clock)]\n"
+        "Master = Annotated[str, Depends(get_current_user)]\n",
+        "kit/logbook.py": "logbook = APIRouter(prefix='/logbook')\n"
+        "@logbook.put('/{day}')\ndef write(day, at: Clock, by: Master): ...\n"
+        "@logbook.head('/{day}')\ndef peek(day, at: Clock): ...\n"
+        "@logbook.patch('/{day}')\ndef fix(day, by: MasterList): ...\n",
     }
-    assert {p for _, p in keyed(scan(make_files(files)))} == {"/real"}
-    everything = scan(make_files(files), excluded=[])
-    assert {p for _, p in keyed(everything)} == {"/real", "/tested", "/vendored"}
+    found = keyed(scan(make_files(files)))
+    assert found["PUT", "/logbook/:day"].auth_info == "alias dependency: Master"
+    assert not found["HEAD", "/logbook/:day"].auth_required
+    assert not found["PATCH", "/logbook/:day"].auth_required
+
+
+def test_excluded_folders(make_files):
+    text = "x = FastAPI()\n@x.delete('/from/{}')\ndef f(): ...\n"
+    files = {f"{d}f.py": text.format(n) for n, d in enumerate(("", "pkg/tests/", "a/node_modules/"))}
+    assert {p for _, p in keyed(scan(make_files(files)))} == {"/from/0"}
+    every = {p for _, p in keyed(scan(make_files(files), excluded=[]))}
+    assert every == {"/from/0", "/from/1", "/from/2"}
