@@ -31,7 +31,7 @@ NEVER = -10_000  # class of an estimate of zero
 ROUNDS = 200
 
 END = U64(0x5851F42D4C957F2D)
-OPEN = [U64(0x14057B7EF767814F) + U64(2 * m) for m in range(16)]  # contexts before a text
+OPEN = [U64(0x14057B7EF767814E) + U64(2 * m) for m in range(16)]  # contexts before a text
 SCORES = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
     "base_score double, score double"
@@ -80,7 +80,7 @@ class Grams:
 
     def counted(self, order: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys and their counts in the block's training texts."""
-        every = np.concatenate([*self.keys, np.array(OPEN[1:order], dtype=U64) & ~U64(1)])
+        every = np.concatenate([*self.keys, np.array(OPEN[1:order], dtype=U64)])
         known = np.concatenate([*[self.train] * order, np.ones(order - 1, dtype=bool)])
         distinct, inverse = np.unique(every, return_inverse=True)
         weight = known.astype(np.int64)
@@ -94,7 +94,7 @@ class Grams:
         counts = replies(known, np.int64)
         find = lambda keys: counts[np.searchsorted(distinct, keys)]
         grams = [find(k) for k in self.keys]
-        contexts = [find(np.where(np.isin(c, OPEN), c & ~U64(1), c)) for c in self.contexts]
+        contexts = [find(c) for c in self.contexts]
         return grams, contexts, sum(known["sum"].to_pylist()), sum(known["distinct"].to_pylist())
 
 
@@ -173,8 +173,15 @@ def score(docs: DataFrame, *, order: int = ORDER) -> DataFrame:
         grams = Grams(ordered(table), order)
         counts, contexts, total, types = grams.totals(known, order)
         shares, context = estimates(counts, contexts, total, 1)
-        rows = np.column_stack([frequency(context), *[classes(s) for s in shares]])[grams.train]
-        distinct, n = np.unique(rows, axis=0, return_counts=True)
+        cell = frequency(context)[grams.train].astype(np.int64)
+        for share in shares:  # one number per combination of classes
+            cell = cell * (1 - NEVER) + (classes(share[grams.train]) - NEVER)
+        cell, n = np.unique(cell, return_counts=True)
+        parts = []
+        for _ in shares:
+            cell, last = np.divmod(cell, 1 - NEVER)
+            parts.append(last + NEVER)
+        distinct = np.column_stack([cell, *parts[::-1]])
         return pa.table({
             "bucket": pa.array(distinct[:, 0], pa.int32()),
             "classes": pa.array(distinct[:, 1:].tolist(), pa.list_(pa.int32())),
