@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, staged
+from .common import staged
 
 SCALE = 256
 K = 5
@@ -178,7 +178,8 @@ def _one_length(spark, distinct: DataFrame, queries: DataFrame, k: int) -> DataF
         [(r["pivot"], r["ring"], n) for n, r in enumerate(table)], "pivot int, ring int, annulus int"
     )
     index = index.join(F.broadcast(names), ["pivot", "ring"]).select("annulus", "part", "v", "ids")
-    splits = max(1, shuffle_partitions(spark) // 8)
+    # Queries of a block in sets of about BLOCK, so a block is copied no more than that needs.
+    splits = max(1, -(-queries.count() // BLOCK))
     schema = "query_id long, v array<double>, least long, annulus int, part int"
 
     def read(wanted: DataFrame) -> DataFrame:
