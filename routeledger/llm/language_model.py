@@ -68,33 +68,38 @@ class Grams:
         self.train = ~self.held[self.doc]
         # The lowest bit tells types (single tokens) from everything else.
         self.keys = [mix(token) | U64(1)]
-        self.contexts: list[np.ndarray] = []
         factor = random_odd(11, 0, order + 1)
         for m in range(1, order):
             shorter = np.empty_like(self.keys[-1])
             shorter[1:] = self.keys[-1][:-1]
             shorter[self.first] = OPEN[m]
-            self.contexts.append(shorter)
             self.keys.append(mix(shorter * factor[m] + token) & ~U64(1))
         self.opened = int((~self.held).sum())
 
+    def distinct(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys, and the place among them of every n-gram and opening context."""
+        every = np.concatenate([*self.keys, np.array(OPEN[1:order], dtype=U64)])
+        return np.unique(every, return_inverse=True)
+
     def counted(self, order: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys and their counts in the block's training texts."""
-        every = np.concatenate([*self.keys, np.array(OPEN[1:order], dtype=U64)])
-        known = np.concatenate([*[self.train] * order, np.ones(order - 1, dtype=bool)])
-        distinct, inverse = np.unique(every, return_inverse=True)
-        weight = known.astype(np.int64)
-        if order > 1:
-            weight[len(every) - (order - 1) :] = self.opened
+        distinct, inverse = self.distinct(order)
+        openings = np.full(order - 1, self.opened)
+        weight = np.concatenate([*[self.train] * order, openings])
         return distinct, np.bincount(inverse, weights=weight, minlength=len(distinct)).astype(np.int64)
 
     def totals(self, known: pa.Table, order: int) -> tuple[list[np.ndarray], list[np.ndarray], int, int]:
         """Global counts of n-grams and contexts per token, all training tokens, types."""
-        distinct, _ = self.counted(order)
-        counts = replies(known, np.int64)
-        find = lambda keys: counts[np.searchsorted(distinct, keys)]
-        grams = [find(k) for k in self.keys]
-        contexts = [find(c) for c in self.contexts]
+        _, inverse = self.distinct(order)
+        counts = replies(known, np.int64)[inverse]
+        grams = np.split(counts[: order * len(self.doc)], order)
+        # A context is the n-gram of one order less that ends at the token before.
+        opened = counts[order * len(self.doc) :]
+        contexts = []
+        for m, shorter in enumerate(grams[:-1]):
+            before = np.concatenate([shorter[:1], shorter[:-1]])
+            before[self.first] = opened[m]
+            contexts.append(before)
         return grams, contexts, sum(known["sum"].to_pylist()), sum(known["distinct"].to_pylist())
 
 
