@@ -1,69 +1,70 @@
 """Logical lines: physical lines joined while parentheses are open.
 
-The sequential rule "restart the balance at each new logical line" has a closed
-form. With S the running sum of open minus closed parentheses, the balance after
-line n is S(n) - min S(j-1) over the lines j <= n that are allowed to start a
-logical line, and a line starts one exactly when the balance before it is <= 0.
-So ordinary windows over one file's lines give the result without a state machine.
+A file is one row, so it is folded where it is read, in one narrow pass over small
+Arrow batches: neither content nor lines are shuffled or sorted. The rules that read
+the logical lines are Catalyst expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, physical_lines, strip
+from ..functions.text import WHITE_SPACE, physical_lines
+
+FILES = 256  # files turned into Python strings at a time
+SCHEMA = "repo string, rel_path string, start_line int, text string"
 
-# A noncharacter; it never occurs in real text.
-_CHAIN_MARK = "\ufdd0"
+
+def fold_lines(lines: list[str], fluent: bool = False) -> Iterator[tuple[int, str]]:
+    """``(start_line, text)`` of each logical line; the balance restarts with each."""
+    pieces: list[str] = []
+    start = balance = 0
+    for number, raw in enumerate(lines, 1):
+        bare = raw.strip(WHITE_SPACE)
+        chained = fluent and bare.startswith(".")
+        if number == 1 or (balance <= 0 and not chained):
+            if pieces:
+                yield start, "".join(pieces).strip(WHITE_SPACE)
+            pieces, start, balance = [raw], number, 0
+        elif balance > 0:
+            pieces += [" ", bare]
+        else:
+            # White space before the dot goes, also that of blank lines.
+            while pieces and not (kept := pieces.pop().rstrip(WHITE_SPACE)):
+                pass
+            pieces += [kept, bare]
+        balance += raw.count("(") - raw.count(")")
+    if start:
+        yield start, "".join(pieces).strip(WHITE_SPACE)
 
 
 def logical_lines(files: DataFrame, fluent: bool = False) -> DataFrame:
     """``(repo, rel_path, start_line, text)`` for every logical line of every file.
 
     With ``fluent`` a line that begins with a dot continues the one before it and
-    is joined to it without a space.
+    is joined to it without a space. Null content has no lines.
     """
-    lines = files.select(
-        "repo",
-        "rel_path",
-        F.posexplode(physical_lines(F.col("content"))).alias("pos", "raw"),
-    )
-    delta = F.length(F.translate("raw", ")", "")) - F.length(F.translate("raw", "(", ""))
-    lines = lines.withColumn("bare", strip(F.col("raw"))).withColumn("delta", delta)
-    dotted = F.col("bare").startswith(".") if fluent else F.lit(False)
-    may_start = (F.col("pos") == 0) | ~dotted
 
-    ordered = Window.partitionBy("repo", "rel_path").orderBy("pos")
-    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    balanced = (
-        lines.withColumn("total", F.sum("delta").over(so_far))
-        .withColumn(
-            "floor",
-            F.min(F.when(may_start, F.col("total") - F.col("delta"))).over(so_far),
-        )
-        .withColumn("open_before", F.lag(F.col("total") - F.col("floor")).over(ordered))
-    )
-    starts = (F.col("pos") == 0) | (may_start & (F.col("open_before") <= 0))
-    numbered = balanced.withColumn(
-        "start_line", F.max(F.when(starts, F.col("pos") + 1)).over(so_far)
-    )
-    piece = (
-        F.when(F.col("pos") + 1 == F.col("start_line"), F.col("raw"))
-        .when(F.col("open_before") > 0, F.concat(F.lit(" "), "bare"))
-        .otherwise(F.concat(F.lit(_CHAIN_MARK), "bare"))
-    )
-    joined = F.array_join(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", piece.alias("piece")))),
-            lambda p: p["piece"],
-        ),
-        "",
-    )
-    if fluent:
-        joined = F.regexp_replace(joined, rf"{SPACE}*{_CHAIN_MARK}", "")
-    return (
-        numbered.groupBy("repo", "rel_path", "start_line")
-        .agg(joined.alias("text"))
-        .withColumn("text", strip(F.col("text")))
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, FILES):
+                part = batch.slice(at, FILES)
+                found = [list(fold_lines(x or [], fluent)) for x in part.column(2).to_pylist()]
+                owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(pa.array(owner)),
+                        part.column(1).take(pa.array(owner)),
+                        pa.array([s for x in found for s, _ in x], pa.int32()),
+                        pa.array([t for x in found for _, t in x], pa.string()),
+                    ],
+                    names=["repo", "rel_path", "start_line", "text"],
+                )
+
+    lines = files.select("repo", "rel_path", physical_lines(F.col("content")).alias("lines"))
+    return lines.mapInArrow(run, SCHEMA)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import lookup
+from ..sources.history import iso_utc
 
 # Format identifiers, rule names and message texts.
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
@@ -29,9 +31,6 @@ RULES = [
 LEVEL = "error"
 GREEN_FROM, YELLOW_FROM = 1.0, 0.8
 
-# Findings per document; a larger repo gets several documents (see ``_parts``).
-DOCUMENT_ROWS = 5000
-
 _FINDING_KEYS = ["source_file", "line_number", "path", "method"]
 
 
@@ -94,133 +93,118 @@ def sarif_result(properties: list[str] | None = None) -> Column:
     )
 
 
-def _parts(rows: DataFrame, limit: int) -> DataFrame:
-    """Number the parts of each repo so that no document outgrows one task.
+def _null_kept(value: Column) -> Column:
+    return F.to_json(value, {"ignoreNullFields": "false"})
 
-    Repos up to ``limit`` rows keep everything in part 0; larger ones are dealt by
-    hash into ceil(n / limit) parts, so nothing is dropped and no group grows with
-    the repo.
+
+def _list_lines(items: DataFrame) -> DataFrame:
+    """Lines of list entries ``(repo, section, at, line)``, all but the first after a comma.
+
+    ``at`` orders a section and holds the line itself, so only equal rows tie; they are
+    counted and told apart by ``copy``. First entries are found with partial aggregation
+    and joined back on the whole key, so a repo with most entries is spread like any.
     """
-    sizes = rows.groupBy("repo").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(limit)).cast("int").alias("parts")
+    counted = items.groupBy("repo", "section", "at", "line").agg(F.count(F.lit(1)).alias("n"))
+    first = (
+        items.groupBy("repo", "section").agg(F.min("at").alias("at"))
+        .withColumn("leads", F.lit(True))
+    )
+    numbered = counted.join(first, ["repo", "section", "at"], "left").select(
+        "repo", "section", "at", "line", "leads",
+        F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"),
     )
-    return lookup(rows, sizes, ["repo"], spread=_FINDING_KEYS).withColumn(
-        "part", F.pmod(F.xxhash64(*_FINDING_KEYS), F.col("parts")).cast("int")
+    leads = F.col("leads").isNotNull() & (F.col("copy") == 1)
+    return numbered.select(
+        "repo", "section", "at", "copy",
+        F.when(leads, F.col("line")).otherwise(F.concat(F.lit(","), "line")).alias("line"),
     )
 
 
-def _null_kept(value: Column) -> Column:
-    return F.to_json(value, {"ignoreNullFields": "false"})
+def _document(frame: DataFrame, items: DataFrame) -> DataFrame:
+    """List lines between the fixed ones of ``frame(repo, fixed)``, one document per repo."""
+    listed = _list_lines(items)
+    at = F.lit(None).cast(listed.schema["at"].dataType)
+    fixed = frame.select("repo", F.inline("fixed")).select(
+        "repo", "section", at.alias("at"), F.lit(0).alias("copy"), "line"
+    )
+    return fixed.unionByName(listed)
+
+
+def _fixed(*lines: tuple[int, Column]) -> Column:
+    return F.array(*[
+        F.struct(F.lit(n).alias("section"), line.alias("line")) for n, line in lines
+    ])
+
 
+def _at(*leading: str) -> Column:
+    return F.struct(*leading, *_FINDING_KEYS, "line")
 
-def sarif_documents(
-    matches: DataFrame, repos: DataFrame | None = None, limit: int = DOCUMENT_ROWS
-) -> DataFrame:
-    """``(repo, part, parts, results, document)``: SARIF logs, shadow findings first.
 
-    Repos of ``repos`` without findings get one document with no results.
+def sarif_documents(matches: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """``(repo, section, at, copy, line)``: the lines of one SARIF log per repo.
+
+    Ordered by these columns (nulls first) the lines of a repo are its document, shadow
+    findings first. Repos of ``repos`` without findings get a log without results.
     """
-    rules = F.array(
-        *[
-            F.struct(
-                F.lit(rule_id).alias("id"),
-                F.lit(name).alias("name"),
-                F.struct(F.lit(short).alias("text")).alias("shortDescription"),
-                F.struct(F.lit(full).alias("text")).alias("fullDescription"),
-                F.struct(F.lit(LEVEL).alias("level")).alias("defaultConfiguration"),
-            )
-            for rule_id, name, short, full in RULES
-        ]
-    )
-    item = F.struct("rule_order", *_FINDING_KEYS, sarif_result().alias("result"))
-    grouped = (
-        _parts(findings(matches), limit)
-        .groupBy("repo", "part", "parts")
-        .agg(F.array_sort(F.collect_list(item)).alias("items"))
-    )
-    if repos is not None:
-        grouped = (
-            repos.select("repo").distinct().join(grouped, "repo", "left")
-            .withColumns(
-                {"part": F.coalesce("part", F.lit(0)), "parts": F.coalesce("parts", F.lit(1))}
-            )
-        )
-    results = F.transform("items", lambda i: i["result"])
-    empty = F.from_json(F.lit("[]"), grouped.select(results.alias("r")).schema["r"].dataType)
-    results = F.coalesce(results, empty)
-    driver = F.struct(
-        F.lit(TOOL_NAME).alias("name"), F.lit(TOOL_VERSION).alias("version"),
-        rules.alias("rules"),
-    )
-    document = F.struct(
-        F.lit(SARIF_SCHEMA).alias("$schema"),
-        F.lit(SARIF_VERSION).alias("version"),
-        F.array(
-            F.struct(F.struct(driver.alias("driver")).alias("tool"), F.col("results"))
-        ).alias("runs"),
+    rules = [
+        {
+            "id": rule_id, "name": name, "shortDescription": {"text": short},
+            "fullDescription": {"text": full}, "defaultConfiguration": {"level": LEVEL},
+        }
+        for rule_id, name, short, full in RULES
+    ]
+    driver = {"driver": {"name": TOOL_NAME, "version": TOOL_VERSION, "rules": rules}}
+    head = (
+        f'{{"$schema":{json.dumps(SARIF_SCHEMA)},"version":{json.dumps(SARIF_VERSION)},'
+        f'"runs":[{{"tool":{json.dumps(driver)},"results":['
     )
-    return grouped.withColumn("results", results).select(
-        "repo",
-        "part",
-        "parts",
-        F.size("results").alias("n_results"),
-        _null_kept(document).alias("document"),
+    items = findings(matches).withColumn("line", _null_kept(sarif_result())).select(
+        "repo", F.lit(1).alias("section"), _at("rule_order").alias("at"), "line"
     )
+    named = (items if repos is None else repos).select("repo").distinct()
+    frame = named.withColumn("fixed", _fixed((0, F.lit(head)), (2, F.lit("]}]}"))))
+    return _document(frame, items)
 
 
-def report_documents(
-    matches: DataFrame, posture: DataFrame, limit: int = DOCUMENT_ROWS
-) -> DataFrame:
-    """``(repo, part, parts, document)``: the report as JSON, lists dealt into parts.
+def report_documents(matches: DataFrame, posture: DataFrame) -> DataFrame:
+    """``(repo, section, at, copy, line)``: the lines of one JSON report per repo of ``posture``.
 
-    The counts stand in every part; the lists of all parts together are complete.
+    Ordered by these columns (nulls first) the lines of a repo are its document.
     """
+    time = F.to_json(F.struct(iso_utc(F.col("committed_at")).alias("committed_at")))
     fields = [
         "path", "method", "auth_required", "auth_info", "source_file", "line_number",
-        "framework", "language", "is_new", "change_type", "commit", "author", "committed_at",
+        "framework", "language", "is_new", "change_type", "commit", "author",
     ]
-    endpoint = F.struct(*fields)
-    listed = matches.filter(
-        (F.col("status") == "shadow") | ~F.col("auth_required") | F.col("is_new")
-    )
-    order = F.struct(*_FINDING_KEYS)
-    packed = F.struct(
-        order.alias("at"), endpoint.alias("endpoint"),
-        (F.col("status") == "shadow").alias("shadow"),
-        (~F.col("auth_required")).alias("open"),
-        F.col("is_new").alias("new"),
+    committed = F.when(F.col("committed_at").isNull(), F.lit('"committed_at":null}')).otherwise(
+        F.substring(time, 2, 100)
     )
-    grouped = (
-        _parts(listed, limit)
-        .groupBy("repo", "part", "parts")
-        .agg(F.array_sort(F.collect_list(packed)).alias("rows"))
+    entry = F.concat(F.regexp_replace(_null_kept(F.struct(*fields)), r"\}$", ","), committed)
+    new = F.coalesce("is_new", F.lit(False))
+    sections = F.filter(
+        F.array(
+            F.when(F.col("status") == "shadow", 1), F.when(~F.col("auth_required"), 3),
+            F.when(new, 5),
+        ),
+        lambda s: s.isNotNull(),
     )
-
-    def chosen(flag: str) -> Column:
-        return F.transform(F.filter("rows", lambda r: r[flag]), lambda r: r["endpoint"])
-
-    joined = posture.join(grouped, "repo", "left")
-    document = F.struct(
-        "parsed_routes_count",
-        "registered_routes_count",
-        chosen("shadow").alias("shadow_endpoints"),
-        chosen("open").alias("missing_auth_endpoints"),
-        chosen("new").alias("new_endpoints"),
-        "coverage_ratio",
+    items = matches.withColumn("line", entry).select(
+        "repo", F.explode(sections).alias("section"), _at().alias("at"), "line"
     )
-    return joined.select(
-        "repo",
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("parts", F.lit(1)).alias("parts"),
-        # Absent lists are empty lists, not nulls.
-        F.regexp_replace(
-            _null_kept(document), r'"(shadow|missing_auth|new)_endpoints":null', r'"$1_endpoints":[]'
-        ).alias("document"),
+    head = F.concat(
+        F.lit('{"parsed_routes_count":'), "parsed_routes_count",
+        F.lit(',"registered_routes_count":'), "registered_routes_count",
+        F.lit(',"coverage_ratio":'), "coverage_ratio", F.lit(',"shadow_endpoints":['),
     )
+    frame = posture.select("repo", _fixed(
+        (0, head), (2, F.lit('],"missing_auth_endpoints":[')),
+        (4, F.lit('],"new_endpoints":[')), (6, F.lit("]}")),
+    ).alias("fixed"))
+    return _document(frame, items)
 
 
 def render(matches: DataFrame, posture: DataFrame, fmt: str) -> DataFrame:
-    """Documents in the named format; an unknown name is an error."""
+    """Lines of documents in the named format; an unknown name is an error."""
     if fmt.lower() == "json":
         return report_documents(matches, posture)
     if fmt.lower() == "sarif":

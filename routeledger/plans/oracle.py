@@ -548,10 +548,13 @@ ORACLE["sarif_results"] = _with(
 )
 ORACLE["sarif_doc"] = _with(
     *_COMPARED, _FINDINGS, "repos AS (SELECT repo FROM observed UNION SELECT repo FROM reg)",
-    select="""SELECT repo, '2.1.0' AS version, 'shadow-endpoint,missing-auth' AS rules, rule_id, message,
-  replace(source_file, '\\', '/') AS uri, CASE WHEN line_number < 1 THEN 1 ELSE line_number END AS start_line,
-  method, path
-FROM repos LEFT JOIN findings USING (repo)""",
+    select="""SELECT repo, 1 AS documents, '2.1.0' AS version, 'shadow-endpoint,missing-auth' AS rules,
+  NULL AS leads, NULL AS rule_id, NULL AS message, NULL AS uri, NULL AS start_line, NULL AS method, NULL AS path
+FROM repos
+UNION ALL SELECT repo, NULL, NULL, NULL,
+  row_number() OVER (PARTITION BY repo ORDER BY rule_id DESC, source_file, line_number, path, method) = 1,
+  rule_id, message, replace(source_file, '\\', '/'), greatest(1, line_number), method, path
+FROM findings""",
 )
 ORACLE["report_json"] = _with(
     *_COMPARED, _POSTURE,
@@ -559,8 +562,16 @@ ORACLE["report_json"] = _with(
   SELECT *, 'shadow' AS list FROM matches WHERE status = 'shadow'
   UNION ALL SELECT *, 'missing_auth' FROM matches WHERE NOT auth_required
   UNION ALL SELECT *, 'new' FROM matches WHERE is_new)""",
-    select="SELECT repo, parsed_routes_count, registered_routes_count, coverage_ratio, list, method, path, "
-    "source_file, line_number, is_new FROM posture LEFT JOIN listed USING (repo)",
+    select="""SELECT repo, parsed_routes_count, registered_routes_count, coverage_ratio, NULL AS list, NULL AS leads,
+  NULL AS path, NULL AS method, NULL AS auth_required, NULL AS auth_info, NULL AS source_file, NULL AS line_number,
+  NULL AS is_new, NULL AS commit, NULL AS author, NULL AS committed_at
+FROM posture
+UNION ALL SELECT repo, NULL, NULL, NULL, list,
+  row_number() OVER (PARTITION BY repo, list ORDER BY source_file, line_number, path, method) = 1,
+  path, method, auth_required, NULL, source_file, line_number, is_new,
+  CASE WHEN is_new THEN 'c0ffee1' END, CASE WHEN is_new THEN 'A "quoted" name' END,
+  CASE WHEN is_new THEN strftime(make_timestamp((1000000000 + line_number)::BIGINT * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00' END
+FROM listed""",
 )
 
 # --- remediation ------------------------------------------------------------------

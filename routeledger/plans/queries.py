@@ -557,72 +557,81 @@ def sarif_results(spark, folder):
     )
 
 
-_SARIF = (
+_RESULT = (
+    "ruleId string, level string, message struct<text: string>, locations array<struct<"
+    "physicalLocation: struct<artifactLocation: struct<uri: string>, "
+    "region: struct<startLine: int>>>>, properties struct<method: string, path: string>"
+)
+_LOG = (
     "version string, runs array<struct<tool: struct<driver: struct<name: string, "
-    "rules: array<struct<id: string>>>>, results: array<struct<ruleId: string, level: string, "
-    "message: struct<text: string>, locations: array<struct<physicalLocation: struct<"
-    "artifactLocation: struct<uri: string>, region: struct<startLine: int>>>>, "
-    "properties: struct<method: string, path: string>>>>>"
+    "rules: array<struct<id: string>>>>, results: array<string>>>"
+)
+_ENTRY = (
+    "path string, method string, auth_required boolean, auth_info string, source_file string, "
+    "line_number int, is_new boolean, commit string, author string, committed_at string"
 )
 
 
+def _entries(lines: DataFrame, schema: str) -> DataFrame:
+    """List lines parsed, with ``leads`` where no comma stands before one."""
+    return lines.filter("copy > 0").select(
+        "repo", "section", (~F.startswith("line", F.lit(","))).alias("leads"),
+        F.from_json(F.ltrim("line", F.lit(",")), schema).alias("e"),
+    )
+
+
 @query
 def sarif_doc(spark, folder):
-    """SARIF documents read back: one row per result, or one for a document without."""
+    """SARIF logs: a row per document (head and foot make a log) and per result."""
     endpoints, known = _observed(spark, folder)
-    documents = report.sarif_documents(compare.match(endpoints, known), _repos(endpoints, known))
-    read = documents.select(
-        "repo", F.from_json("document", _SARIF).alias("d")
-    ).select("repo", "d.version", F.col("d.runs")[0].alias("run"))
-    return read.select(
-        "repo", "version",
-        F.array_join(
-            F.transform("run.tool.driver.rules", lambda r: r["id"]), ","
-        ).alias("rules"),
-        F.explode_outer("run.results").alias("r"),
-    ).select(
-        "repo", "version", "rules",
-        F.col("r.ruleId").alias("rule_id"),
-        F.col("r.message.text").alias("message"),
-        F.col("r.locations")[0]["physicalLocation"]["artifactLocation"]["uri"].alias("uri"),
-        F.col("r.locations")[0]["physicalLocation"]["region"]["startLine"].alias("start_line"),
-        F.col("r.properties.method").alias("method"),
-        F.col("r.properties.path").alias("path"),
+    lines = report.sarif_documents(compare.match(endpoints, known), _repos(endpoints, known))
+    # Only head and foot come together; the list between them stays spread.
+    logs = (
+        lines.filter("copy = 0").groupBy("repo")
+        .agg(F.min(F.struct("section", "line")).alias("head"), F.max(F.struct("section", "line")).alias("foot"),
+             F.count_if(F.col("section") == 0).alias("documents"))
+        .withColumn("log", F.from_json(F.concat("head.line", "foot.line"), _LOG))
+        .select(
+            "repo", "documents", "log.version",
+            F.array_join(F.transform(F.col("log.runs")[0]["tool"]["driver"]["rules"], lambda r: r["id"]), ",")
+            .alias("rules"),
+        )
     )
-
-
-_LISTS = ["shadow", "missing_auth", "new"]
-_REPORT = "parsed_routes_count bigint, registered_routes_count bigint, coverage_ratio double, " + (
-    ", ".join(
-        f"{name}_endpoints array<struct<path: string, method: string, source_file: string, "
-        "line_number: int, is_new: boolean>>"
-        for name in _LISTS
+    place = F.col("e.locations")[0]["physicalLocation"]
+    results = _entries(lines, _RESULT).select(
+        "repo", "leads", F.col("e.ruleId").alias("rule_id"), F.col("e.message.text").alias("message"),
+        place["artifactLocation"]["uri"].alias("uri"), place["region"]["startLine"].alias("start_line"),
+        F.col("e.properties.method").alias("method"), F.col("e.properties.path").alias("path"),
     )
-)
+    return logs.unionByName(results, allowMissingColumns=True)
 
 
 @query
 def report_json(spark, folder):
-    """JSON reports read back: one row per list entry."""
+    """JSON reports: a row per document with its counts and per list entry."""
     endpoints, known = _observed(spark, folder)
-    matches = compare.match(endpoints, known)
-    documents = report.report_documents(matches, compare.posture(matches, known))
-    read = documents.select("repo", F.from_json("document", _REPORT).alias("d"))
-
-    def entries_of(name: str) -> Column:
-        return F.transform(
-            f"d.{name}_endpoints", lambda e: F.struct(F.lit(name).alias("list"), e.alias("e"))
-        )
-
-    entries = F.flatten(F.array(*[entries_of(name) for name in _LISTS]))
-    return read.select(
-        "repo", "d.parsed_routes_count", "d.registered_routes_count",
-        F.round("d.coverage_ratio", 6).alias("coverage_ratio"),
-        F.explode_outer(entries).alias("x"),
+    matches = compare.match(endpoints, known).withColumns({
+        "commit": F.when(F.col("is_new"), F.lit("c0ffee1")),
+        "author": F.when(F.col("is_new"), F.lit('A "quoted" name')),
+        "committed_at": F.when(
+            F.col("is_new"), F.timestamp_seconds(F.lit(1_000_000_000) + F.col("line_number"))
+        ),
+    })
+    lines = report.report_documents(matches, compare.posture(matches, known))
+    heads = lines.filter("section = 0").select(
+        "repo", F.from_json(
+            F.concat("line", F.lit("]}")),
+            "parsed_routes_count bigint, registered_routes_count bigint, coverage_ratio double",
+        ).alias("h"),
     ).select(
-        "repo", "parsed_routes_count", "registered_routes_count", "coverage_ratio", "x.list",
-        "x.e.method", "x.e.path", "x.e.source_file", "x.e.line_number", "x.e.is_new",
+        "repo", "h.parsed_routes_count", "h.registered_routes_count",
+        F.round("h.coverage_ratio", 6).alias("coverage_ratio"),
+    )
+    lists = F.element_at(
+        F.create_map(*[F.lit(x) for x in (1, "shadow", 3, "missing_auth", 5, "new")]), F.col("section")
     )
+    entries = _entries(lines, _ENTRY).select("repo", lists.alias("list"), "leads", "e.*")
+    return heads.unionByName(entries, allowMissingColumns=True)
 
 
 # --- remediation ------------------------------------------------------------------

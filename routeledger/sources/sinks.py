@@ -1,4 +1,4 @@
-"""Sinks: endpoint and finding tables, and one text file per document."""
+"""Sinks: endpoint and finding tables, and one text document per repository."""
 
 from __future__ import annotations
 
@@ -10,11 +10,15 @@ def append_endpoints(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def append_documents(documents: DataFrame, path: str) -> None:
-    """Documents as text under ``repo=…/part=…``, the whole document on one line."""
+def append_documents(lines: DataFrame, path: str) -> None:
+    """One text document per repository under ``repo=…``.
+
+    ``lines`` holds ``(repo, section, at, copy, line)``. They are ordered by range, so a
+    large document spans several files, to be read one after the other by name.
+    """
+    order = ["repo", "section", "at", "copy"]
     (
-        documents.select("repo", "part", F.col("document").alias("value"))
-        .write.mode("append")
-        .partitionBy("repo", "part")
-        .text(path)
+        lines.repartitionByRange(*order).sortWithinPartitions(*order)
+        .select("repo", F.col("line").alias("value"))
+        .write.mode("append").partitionBy("repo").text(path)
     )

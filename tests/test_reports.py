@@ -73,20 +73,39 @@ def test_gate_new_only_counts_old_rows_of_a_new_key(spark):
     assert ops.gate(matches, new_only=True).first().violations == 2
 
 
-@pytest.mark.parametrize("limit", [5000, 2])
-def test_sarif(project, limit):
+def document(lines, repo="r"):
+    order = ["section", "at", "copy"]
+    rows = lines.filter(F.col("repo") == repo).orderBy(*order).collect()
+    return json.loads("\n".join(r.line for r in rows))
+
+
+def test_sarif(spark, project):
     _, _, matches = project
-    documents = [json.loads(r.document) for r in report.sarif_documents(matches, limit=limit).collect()]
-    if limit == 5000:
-        assert len(documents) == 1
-        rules = [x["ruleId"] for x in documents[0]["runs"][0]["results"]]
-        assert rules == ["shadow-endpoint"] * 5 + ["missing-auth"] * 5
-    results = [x for d in documents for x in d["runs"][0]["results"]]
-    assert len(results) == 10
-    assert all(d["version"] == "2.1.0" for d in documents)
+    repos = spark.createDataFrame([("r",), ("none",)], "repo string")
+    lines = report.sarif_documents(matches.union(matches), repos)  # equal rows stay apart
+    log = document(lines)
+    results = log["runs"][0]["results"]
+    assert log["version"] == "2.1.0" and len(log["runs"][0]["tool"]["driver"]["rules"]) == 2
+    assert [x["ruleId"] for x in results] == ["shadow-endpoint"] * 10 + ["missing-auth"] * 10
     assert all(
         x["locations"][0]["physicalLocation"]["region"]["startLine"] >= 1 for x in results
     )
+    assert document(lines, "none")["runs"][0]["results"] == []
+
+
+def test_json_report(spark, project):
+    _, known, matches = project
+    new = matches.withColumn("is_new", F.col("path") == "/crews").withColumn(
+        "committed_at", F.when(F.col("is_new"), F.timestamp_seconds(F.lit(86399)))
+    )
+    repos = spark.createDataFrame([("r",), ("none",)], "repo string")
+    lines = report.report_documents(new, ops.posture(new, known, repos))
+    found = document(lines)
+    assert found["coverage_ratio"] == pytest.approx(4 / 9) and found["parsed_routes_count"] == 9
+    assert len(found["shadow_endpoints"]) == 5 and len(found["missing_auth_endpoints"]) == 5
+    assert {x["committed_at"] for x in found["new_endpoints"]} == {"1970-01-01T23:59:59+00:00"}
+    assert {x["committed_at"] for x in found["shadow_endpoints"]} <= {None, "1970-01-01T23:59:59+00:00"}
+    assert document(lines, "none")["new_endpoints"] == []
 
 
 def test_render_rejects_unknown_format(project):
@@ -173,7 +192,8 @@ def test_batch_job(spark, project, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/endpoints").count() == 9
     assert written["posture"].first().shadow_count == 5
     assert written["findings"].count() == 10
-    text = spark.read.text(f"{tmp_path}/sarif").first().value
+    files_in_order = sorted((tmp_path / "sarif" / "repo=r").glob("part-*"))
+    text = "".join(p.read_text() for p in files_in_order)
     assert len(json.loads(text)["runs"][0]["results"]) == 10
     assert set(run_batch(files, f"{tmp_path}/bare")) == {"endpoints"}
 
