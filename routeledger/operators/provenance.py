@@ -22,12 +22,12 @@ _RELATIVE = re.compile(r"^\s*(\d+)\s+(second|minute|hour|day|week|month|year)s?(
 
 
 def window_start(since: str) -> Column:
-    """``N unit(s) ago`` or an ISO date/time as a timestamp column."""
+    """``N unit(s) ago`` or an ISO date/time as a timestamp column; null for other text."""
     relative = _RELATIVE.match(since)
     if relative:
         number, unit = relative.groups()
         return F.current_timestamp() - F.expr(f"INTERVAL {number} {unit}")
-    return F.to_timestamp(F.lit(since))
+    return F.try_to_timestamp(F.lit(since))
 
 
 def first_parent_sizes(commits: DataFrame) -> DataFrame:
@@ -289,16 +289,25 @@ def annotate(
     commits: DataFrame,
     window: DataFrame,
     added: DataFrame,
-    scan_root: str = "",
+    scan_root: str | DataFrame = "",
 ) -> DataFrame:
     """Mark endpoints whose definition line was last touched inside the window.
 
-    ``scan_root`` is the scanned directory inside the repository. Endpoints found at
+    ``scan_root`` is the scanned directory inside the repository: one for all, or rows
+    ``(repo, scan_root)``, at most one per repo, those without one being scanned at the
+    top. Endpoints found at
     run time have line 0, which no blame row has, so they are never new.
     """
     bare = endpoints.drop("is_new", "change_type", "commit", "author", "committed_at")
-    path = F.concat_ws("/", F.lit(scan_root.strip("/") or None), F.col("source_file"))
-    located = bare.withColumn("_path", path)
+    if isinstance(scan_root, str):
+        rooted = bare.withColumn("_root", F.lit(scan_root))
+    else:
+        rooted = lookup(
+            bare, scan_root.select("repo", F.col("scan_root").alias("_root")), ["repo"],
+            spread=["source_file", "line_number", "method"],
+        )
+    root = F.nullif(F.btrim("_root", F.lit("/")), F.lit(""))
+    located = rooted.withColumn("_path", F.concat_ws("/", root, "source_file")).drop("_root")
     place = ["repo", "_path", "line_number"]
     lines = blame.select(
         "repo", F.col("path").alias("_path"), F.col("line").alias("line_number"),

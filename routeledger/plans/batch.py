@@ -27,28 +27,50 @@ def window_commits(history: dict, since: str | None) -> tuple[DataFrame, DataFra
     """The commits and added files of the window ``since`` (a ref name or a time).
 
     ``history`` holds the tables commits, refs, blame, file_changes and, for windows
-    from a ref, ref_files ``(repo, ref, path)``. A repo that lacks the named ref is
-    left out of the window.
+    from a ref, ref_files ``(repo, ref, path)``. Each repo is resolved by itself: from
+    the ref of that name where it has one, else from the time. Repos for which it is
+    neither have no window and are listed by ``window_rejects``.
     """
     commits, refs = history["commits"], history["refs"]
     head = refs.filter(F.col("name") == "HEAD")
     since = since or provenance.DEFAULT_WINDOW
     baseline = refs.filter(F.col("name") == since)
-    if baseline.isEmpty():
-        window = provenance.commits_since_date(commits, head, provenance.window_start(since))
-        return window, provenance.added_in_commits(history["file_changes"], window)
-    in_window = head.join(baseline.select("repo"), "repo", "left_semi")
-    files = history["ref_files"]
-    return (
-        provenance.commits_since_ref(commits, in_window, baseline),
-        provenance.added_since_ref(
-            files.filter(F.col("ref") == "HEAD"), files.filter(F.col("ref") == since)
+    named = baseline.select("repo").distinct()
+    from_ref = provenance.commits_since_ref(
+        commits, head.join(named, "repo", "left_semi"), baseline
+    )
+    from_date = stage(
+        provenance.commits_since_date(
+            commits, head.join(named, "repo", "left_anti"), provenance.window_start(since)
         ),
+        "window",
+    )
+    added = provenance.added_in_commits(history["file_changes"], from_date)
+    if (files := history.get("ref_files")) is not None:
+        at_head = files.filter(F.col("ref") == "HEAD").join(named, "repo", "left_semi")
+        added = added.unionByName(
+            provenance.added_since_ref(at_head, files.filter(F.col("ref") == since))
+        )
+    return from_ref.unionByName(from_date), added
+
+
+def window_rejects(history: dict, since: str | None) -> DataFrame:
+    """Repos in which ``since`` names no ref and is no time either: ``(repo, reason)``."""
+    since = since or provenance.DEFAULT_WINDOW
+    named = history["refs"].filter(F.col("name") == since)
+    heads = history["refs"].filter(F.col("name") == "HEAD").select("repo").distinct()
+    return (
+        heads.join(named.select("repo"), "repo", "left_anti")
+        .filter(provenance.window_start(since).isNull())
+        .select("repo", F.lit(f"no ref or time {since!r}").alias("reason"))
     )
 
 
 def annotate_since(
-    endpoints: DataFrame, history: dict, since: str | None = None, scan_root: str = ""
+    endpoints: DataFrame,
+    history: dict,
+    since: str | None = None,
+    scan_root: str | DataFrame = "",
 ) -> DataFrame:
     window, added = window_commits(history, since)
     return provenance.annotate(
@@ -86,6 +108,7 @@ def run_batch(
     endpoints = scan(files, config, runtime=runtime)
     if history is not None and since:
         endpoints = annotate_since(endpoints, history, since)
+        append_endpoints(window_rejects(history, since), f"{out}/window_rejects")
     endpoints = stage(endpoints, "endpoints")
     append_endpoints(endpoints, f"{out}/endpoints")
     written = {"endpoints": endpoints}

@@ -324,6 +324,10 @@ _RUNTIME = """rt AS (
   UNION ALL
   SELECT 'rt-' || (user_id % 10), '/', 'GET', false, NULL, 'app' || (event_id % 4) || '.js', 0, 'Express',
     'javascript' FROM events)"""
+ORACLE["runtime_invalid"] = """
+SELECT 'rt-' || (user_id % 10) AS repo, 'srv/app' || (event_id % 4) || '.js' AS entry,
+  (['not JSON', 'error: no module'])[event_id % 5] AS reason
+FROM events WHERE event_id % 5 IN (1, 2)"""
 ORACLE["runtime_routes"] = _with(_RUNTIME, select=f"SELECT {_COLUMNS} FROM rt")
 
 _OBSERVED = """observed AS (
@@ -556,6 +560,12 @@ UNION ALL SELECT repo, NULL, NULL, NULL,
   rule_id, message, replace(source_file, '\\', '/'), greatest(1, line_number), method, path
 FROM findings""",
 )
+ORACLE["sarif_written"] = _with(
+    *_COMPARED, _FINDINGS, "repos AS (SELECT repo FROM observed UNION SELECT repo FROM reg)",
+    select="""SELECT repo, count(rule_id) + 2 AS n_lines, 1 AS documents,
+  greatest(count(rule_id) - 1, 0) AS followers
+FROM repos LEFT JOIN findings USING (repo) GROUP BY repo""",
+)
 ORACLE["report_json"] = _with(
     *_COMPARED, _POSTURE,
     """listed AS (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,9 +20,10 @@ from ..operators import (
     remedy,
     report,
 )
-from ..operators.joins import stage
+from ..operators.joins import shared_folder, stage
 from ..operators.logical_lines import logical_lines
 from ..sources import config, files, history, openapi, runtime
+from ..sources.sinks import append_documents
 from . import batch, corpus
 from .scan import scan, scan_errors, staged_js_lines, staged_syntax
 
@@ -327,6 +329,18 @@ def runtime_routes(spark, folder):
     ).select(*_ENDPOINT)
 
 
+@query
+def runtime_invalid(spark, folder):
+    """Cut-off dumps and those of failed runs, among sound ones and ones without routes."""
+    k = F.col("event_id") % 5
+    dumps = corpus.runtime_dumps(spark, folder, "event_id").withColumn(
+        "dump_json",
+        F.when(k == 1, F.substring("dump_json", 1, 30)).when(k == 2, F.lit('{"error": "no module"}'))
+        .when(k == 3, F.lit('{"entry": "main"}')).otherwise(F.col("dump_json")),
+    )
+    return runtime.invalid_dumps(dumps)
+
+
 @query
 def runtime_supersede(spark, folder):
     """JavaScript repos of even segments get an inventory, which replaces their static rows."""
@@ -606,6 +620,20 @@ def sarif_doc(spark, folder):
     return logs.unionByName(results, allowMissingColumns=True)
 
 
+@query
+def sarif_written(spark, folder):
+    """SARIF logs appended by the sink and read back: lines of each repo."""
+    endpoints, known = _observed(spark, folder)
+    lines = report.sarif_documents(compare.match(endpoints, known), _repos(endpoints, known))
+    path = f"{shared_folder(spark)}/sarif-{uuid.uuid4().hex}"
+    append_documents(lines, path)
+    return spark.read.schema("value string, repo string").text(path).groupBy("repo").agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.count_if(F.startswith("value", F.lit('{"$schema"'))).alias("documents"),
+        F.count_if(F.startswith("value", F.lit(","))).alias("followers"),
+    )
+
+
 @query
 def report_json(spark, folder):
     """JSON reports: a row per document with its counts and per list entry."""

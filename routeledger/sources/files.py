@@ -50,14 +50,25 @@ def select_sources(files: DataFrame, excluded: list[str] | None = None) -> DataF
     )
 
 
+def _source_glob() -> str:
+    """A path pattern of the known suffixes in any case, for the file listing."""
+    each = [
+        "".join(f"[{c}{c.upper()}]" for c in suffix.removeprefix("."))
+        for suffixes in LANGUAGE_SUFFIXES.values() for suffix in suffixes
+    ]
+    return "*.{" + ",".join(each) + "}"
+
+
 def read_tree(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
-    """A directory tree as ``(repo, rel_path, content)``.
+    """The source files of a directory tree as ``(repo, rel_path, content)``.
 
-    Without ``repo`` the first directory level names the repository. Files that are
+    Other files are never opened. Trees suit single checkouts; keep a fleet's files as a
+    Parquet table of these columns, as listing millions of files is slow. Without ``repo`` the first directory level names the repository. Files that are
     not UTF-8 have null content and yield no endpoints (see ``unreadable``).
     """
     raw = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        .option("pathGlobFilter", _source_glob()).load(root)
     )
     base = root.rstrip("/")
     inside = F.expr("substring(path, position({base} IN path) + length({base}))".format(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,9 +36,27 @@ DUMP_SCHEMA = T.StructType(
 )
 
 
+def _reason() -> Column:
+    error = F.get_json_object("dump_json", "$.error")
+    return F.when(F.try_parse_json("dump_json").isNull(), "not JSON").when(
+        error != "", F.concat(F.lit("error: "), error)
+    )
+
+
+def invalid_dumps(dumps: DataFrame) -> DataFrame:
+    """Dumps that cannot stand for a runtime inventory: ``(repo, entry, reason)``.
+
+    Their repositories keep their static rows, so look at these before relying on them.
+    """
+    return dumps.select("repo", "entry", _reason().alias("reason")).filter("reason IS NOT NULL")
+
+
 def read_dumps(dumps: DataFrame) -> DataFrame:
-    """``(repo, entry, dump_json)`` to ``(repo, entry, path, method, middleware)``."""
-    parsed = dumps.select(
+    """``(repo, entry, dump_json)`` to ``(repo, entry, path, method, middleware)``.
+
+    Dumps listed by ``invalid_dumps`` and dumps without routes give no rows.
+    """
+    parsed = dumps.filter(_reason().isNull()).select(
         "repo",
         "entry",
         F.explode(F.from_json("dump_json", DUMP_SCHEMA)["routes"]).alias("r"),

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from routeledger.operators import provenance
+from routeledger.plans import batch
 
 
 def ancestors(parents, start):
@@ -108,3 +109,47 @@ def test_annotate(spark):
 def test_relative_window():
     assert provenance._RELATIVE.match("1 week ago").groups() == ("1", "week")
     assert provenance._RELATIVE.match("2024-01-01") is None
+
+
+def test_window_of_each_repo(spark):
+    """A tag that looks like a date counts where it exists; elsewhere it is the date."""
+    schema = "repo string, sha string, parents array<string>, commit_time bigint"
+    commits = spark.createDataFrame(
+        [(r, str(n), [str(n - 1)] if n else [], 946684800 + n - 2) for r in "pq" for n in range(5)], schema
+    )
+    refs = spark.createDataFrame(
+        [("p", "HEAD", "4"), ("q", "HEAD", "4"), ("p", "2000-01-01", "3")],
+        "repo string, name string, sha string",
+    )
+    changes = spark.createDataFrame(
+        [("q", "3", "n.py", "A"), ("q", "0", "o.py", "A")],
+        "repo string, sha string, path string, change string",
+    )
+    listed = spark.createDataFrame(
+        [("p", "HEAD", "a.py"), ("p", "HEAD", "b.py"), ("p", "2000-01-01", "a.py"), ("q", "HEAD", "o.py")],
+        "repo string, ref string, path string",
+    )
+    history = {"commits": commits, "refs": refs, "file_changes": changes, "ref_files": listed}
+    window, added = batch.window_commits(history, "2000-01-01")
+    assert {(r.repo, r.sha) for r in window.collect()} == {("p", "4"), ("q", "2"), ("q", "3"), ("q", "4")}
+    assert {(r.repo, r.path) for r in added.collect()} == {("p", "b.py"), ("q", "n.py")}
+    assert batch.window_rejects(history, "2000-01-01").count() == 0
+    refs = refs.replace("2000-01-01", "v1")
+    assert [r.repo for r in batch.window_rejects(history | {"refs": refs}, "v1").collect()] == ["q"]
+
+
+def test_scan_root_of_each_repo(spark):
+    endpoints = spark.createDataFrame(
+        [("r", "a.py", 1, "GET"), ("s", "a.py", 1, "GET")],
+        "repo string, source_file string, line_number int, method string",
+    )
+    blame = spark.createDataFrame(
+        [("r", "svc/a.py", 1, "x"), ("s", "a.py", 1, "x")], "repo string, path string, line int, sha string"
+    )
+    commits = spark.createDataFrame(
+        [("r", "x", "Ann", 0), ("s", "x", "Bo", 0)], "repo string, sha string, author string, author_time bigint"
+    )
+    added = spark.createDataFrame([], "repo string, path string")
+    roots = spark.createDataFrame([("r", "svc/")], "repo string, scan_root string")
+    found = provenance.annotate(endpoints, blame, commits, commits.select("repo", "sha"), added, roots)
+    assert {(r.repo, r.is_new) for r in found.collect()} == {("r", True), ("s", True)}

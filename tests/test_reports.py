@@ -186,6 +186,15 @@ def test_router_cycles_are_refused(spark):
         runtime.flatten_router(spark.createDataFrame(rows, LAYERS))
 
 
+def test_unreadable_dumps_are_rejected(spark):
+    rows = [("a", "x.js", "{nope"), ("b", "y.js", '{"error": "boom"}'), ("c", "z.js", '{"routes": [{"path": "/k"}]}'),
+            ("d", "z.js", "{}"), ("e", "z.js", None)]
+    dumps = spark.createDataFrame(rows, "repo string, entry string, dump_json string")
+    bad = {r.repo: r.reason for r in runtime.invalid_dumps(dumps).collect()}
+    assert bad == {"a": "not JSON", "b": "error: boom", "e": "not JSON"}
+    assert [(r.repo, r.path) for r in runtime.read_dumps(dumps).collect()] == [("c", "/k")]
+
+
 def test_batch_job(spark, project, tmp_path):
     files, known, _ = project
     written = run_batch(files, str(tmp_path), registry=known)

@@ -3,6 +3,7 @@
 import pytest
 
 from routeledger import scan
+from routeledger.sources import files
 from tests.harbor import CRANES, DESK, PILOTS, QUAY, TIDES
 
 
@@ -12,11 +13,11 @@ def keyed(df):
 
 @pytest.fixture(scope="module")
 def rows(make_files):
-    files = {
+    sources = {
         "tides.py": TIDES, "desk.py": DESK, "Pilots.java": PILOTS,
         "quay.js": QUAY, "cranes.js": CRANES,
     }
-    return keyed(scan(make_files(files)))
+    return keyed(scan(make_files(sources)))
 
 
 def test_routers_of_one_file_keep_their_own_prefix(rows):
@@ -103,3 +104,21 @@ def test_excluded_folders(make_files):
     assert {p for _, p in keyed(scan(make_files(files)))} == {"/from/0"}
     every = {p for _, p in keyed(scan(make_files(files), excluded=[]))}
     assert every == {"/from/0", "/from/1", "/from/2"}
+
+
+def test_tree(spark, tmp_path):
+    for path, content in {
+        "one/api/Main.PY": b"@app.get('/buoys')\ndef f(): ...\n",
+        "one/api/logo.png": b"\x89PNG", "one/notes.md": b"@app.get('/no')",
+        "one/bad.py": b"x = '\xff'", "one/tests/t.py": b"@app.get('/test')\ndef f(): ...\n",
+        "two/w.mjs": b"app.put('/winch', run)\n",
+    }.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_bytes(content)
+    tree = files.read_tree(spark, str(tmp_path))
+    assert {(r.repo, r.rel_path) for r in tree.collect()} == {
+        ("one", "api/Main.PY"), ("one", "bad.py"), ("one", "tests/t.py"), ("two", "w.mjs")
+    }
+    assert [r.rel_path for r in files.unreadable(tree).collect()] == ["bad.py"]
+    found = {(r.repo, r.method, r.path) for r in scan(tree).collect()}
+    assert found == {("one", "GET", "/buoys"), ("two", "PUT", "/winch")}
