@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITE_SPACE, newline_lines, strip
-from .joins import lookup
+from .joins import lookup, stage
 
 # The inserted texts and the distance searched for a decorator.
 FASTAPI_IMPORT = "from fastapi import Depends"
@@ -68,7 +68,11 @@ def plan_edits(endpoints: DataFrame, files: DataFrame) -> DataFrame:
     edit; each edit is ``(op, at_line, old, new)`` with op insert_before, replace or
     insert_after.
     """
-    joined = endpoints.join(file_outlines(files), _KEYS, "left")
+    endpoints = stage(endpoints, "flagged")
+    wanted = endpoints.select("repo", F.col("source_file").alias("rel_path")).distinct()
+    # Only files with a flagged endpoint are split into lines.
+    flagged = lookup(files, wanted, ["repo", "rel_path"], "left_semi", spread=["rel_path"])
+    joined = endpoints.join(file_outlines(flagged), _KEYS, "left")
     line = F.col("line_number")
     near = F.filter(
         "decorators",
@@ -122,7 +126,7 @@ def plan_edits(endpoints: DataFrame, files: DataFrame) -> DataFrame:
 
 def remedy_edits(endpoints: DataFrame, files: DataFrame) -> DataFrame:
     """One row per edit; endpoints that cannot be edited keep one row with their status."""
-    planned = plan_edits(endpoints, files)
+    planned = stage(plan_edits(endpoints, files), "planned")
     return planned.select(
         *_KEYS, "line_number", "method", "path", "framework", "status",
         F.posexplode_outer("edits").alias("seq", "e"),
