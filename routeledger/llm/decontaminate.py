@@ -4,7 +4,9 @@ Numbers, units and names become typed placeholders, so a question whose paramete
 changed keeps its template. Windows of the templates are hashed and joined; windows on
 one diagonal of a document and an item are a candidate, and its slots are compared: the
 same value of the item must stand for the same value of the document throughout.
-Everything is a DataFrame expression.
+Windows that are placeholders mostly say little as templates; they are joined by their
+literal words instead, and items of a few words are found as whole sentences or lines. Everything
+is a DataFrame expression.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ from pyspark.sql import functions as F
 from ..functions.text import bind
 
 WINDOW = 8
-LEAST_WORDS = 4  # shorter items cannot be told from ordinary phrases
+LEAST_WORDS = 4  # shorter items are found as whole sentences or lines, not inside them
 ENOUGH_WINDOWS = 5  # windows on one diagonal that always suffice, i.e. 12 words
 MIN_COVER = 0.5  # share of a short item's windows that suffices otherwise
-MIN_PLAIN = 0.5  # share of a window's words that must be no placeholders
+MIN_PLAIN = 0.5  # share of plain words below which a window is joined by its literal words
 BROADCAST_WINDOWS = 1_000_000  # benchmark windows up to which they are broadcast
 
 # Units that may follow a number.
@@ -30,30 +32,48 @@ UNITS = (
     "kilograms liters litres degrees usd eur mph"
 ).split()
 
-MARK = "\x01"
+MARK, END = "\x01", "\x02"  # around a slot's own characters, the first with a letter for its type
 # In this order, each within one word, so a text and its template have equal word counts.
 SLOTS = [
     (r"(?<=[0-9]\p{Punct}?\s)(?i:" + "|".join(UNITS) + r")(?!\p{L})", MARK + "u"),
     (r"(?<=[^.!?:;\"'\s]\s)\p{Lu}[\p{L}'’-]*", MARK + "p"),
     (r"[0-9]+(?:[.,:/][0-9]+)*", MARK + "n"),
 ]
-NO_WORD = r"[^\p{L}\p{N}\x01\s]+"
+NO_WORD = r"[^\p{L}\p{N}\x01\x02\s]+"
+# Where a sentence or line ends.
+STOP = r"[.!?:;]+(?=\s|$)|[\r\n]+"
 
 
-def template(text: Column) -> Column:
-    """The words of the canonical text: lower case, placeholders, no punctuation."""
-    text = F.translate(F.coalesce(text, F.lit("")), MARK, " ")
+def marked_words(text: Column) -> Column:
+    """The words in lower case and without punctuation, with marks around their slots."""
+    text = F.translate(F.coalesce(text, F.lit("")), MARK + END, "  ")
     for pattern, mark in SLOTS:
-        text = F.regexp_replace(text, pattern, mark)
+        text = F.regexp_replace(text, pattern, mark + "$0" + END)
     text = F.lower(F.regexp_replace(text, NO_WORD, ""))
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def words(text: Column) -> Column:
-    """The words themselves, in step with ``template``."""
-    text = F.translate(F.coalesce(text, F.lit("")), MARK, " ")
-    bare = F.regexp_replace(text, NO_WORD, "")
-    return F.filter(F.split(F.lower(bare), r"\s+"), lambda w: w != "")
+def template(tokens: Column) -> Column:
+    """Of ``marked_words``: a slot becomes its placeholder."""
+    return F.transform(tokens, lambda t: F.when(
+        F.contains(t, F.lit(MARK)), F.regexp_replace(t, "(\x01.)[^\x02]*\x02", "$1")
+    ).otherwise(t))
+
+
+def words(tokens: Column) -> Column:
+    """Of ``marked_words``: the words themselves, in step with ``template``."""
+    return F.transform(tokens, lambda t: F.when(
+        F.contains(t, F.lit(MARK)), F.regexp_replace(t, "\x01.|\x02", "")
+    ).otherwise(t))
+
+
+def sentences(text: Column) -> Column:
+    """The words with ``END`` before, between and after sentences and lines."""
+    text = F.translate(F.coalesce(text, F.lit("")), MARK + END, "  ")
+    text = F.concat(F.lit(END + " "), F.regexp_replace(text, STOP, f" {END} "), F.lit(" " + END))
+    text = F.lower(F.regexp_replace(text, NO_WORD, ""))
+    text = F.regexp_replace(text, r"\x02(?:\s+\x02)+", END)
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
 def rolled(tokens: Column, size: int) -> Column:
@@ -73,7 +93,7 @@ def rolled(tokens: Column, size: int) -> Column:
 
 
 def _window_table(items: DataFrame, size: int) -> DataFrame:
-    """Windows of the items of that size; those of placeholders mostly are left out."""
+    """Windows of the items of that size, by template or, if that is thin, by their words."""
     exact = size < WINDOW
     chosen = items.filter(F.size("tokens") == size if exact else F.size("tokens") >= size)
     plain = F.transform("tokens", lambda t: (~F.contains(t, F.lit(MARK))).cast("int"))
@@ -81,13 +101,65 @@ def _window_table(items: DataFrame, size: int) -> DataFrame:
         F.sequence(F.lit(0), F.size("tokens") - size),
         lambda i: F.aggregate(F.slice(plain, i + 1, size), F.lit(0), lambda a, x: a + x),
     )
-    return chosen.select(
+    rows = chosen.select(
         "item_id", F.explode(F.arrays_zip(
-            rolled(F.col("tokens"), size).alias("hash"), total.alias("plain"),
-            F.sequence(F.lit(0), F.size("tokens") - size).alias("pos"),
+            rolled(F.col("tokens"), size).alias("template"), rolled(F.col("raw"), size).alias("words"),
+            total.alias("plain"), F.sequence(F.lit(0), F.size("tokens") - size).alias("pos"),
         )).alias("w"),
-    ).filter(F.col("w.plain") >= MIN_PLAIN * size).select(
-        "item_id", F.col("w.hash").alias("hash"), F.col("w.pos").alias("item_pos")
+    )
+    rich = F.col("w.plain") >= MIN_PLAIN * size
+    return rows.select(
+        "item_id", F.when(rich, F.col("w.template")).otherwise(F.col("w.words")).alias("hash"),
+        F.col("w.pos").alias("item_pos"), rich.alias("rich"),
+    )
+
+
+def _document_windows(text: Column, size: int) -> Column:
+    """Hash and place of the windows of templates and, where they differ, of words."""
+
+    def both(by_template: Column, by_words: Column) -> Column:
+        at = lambda h, i: F.struct(h.alias("hash"), i.alias("pos"))
+        return F.concat(F.transform(by_template, at), F.filter(
+            F.transform(by_words, at), lambda w: w.hash != F.get(by_template, w.pos)
+        ))
+
+    return bind(marked_words(text), lambda tokens: bind(
+        rolled(template(tokens), size),
+        lambda by_template: bind(rolled(words(tokens), size), lambda w: both(by_template, w)),
+    ))
+
+
+def _short_items(docs: DataFrame, items: DataFrame) -> DataFrame | None:
+    """Whole sentences or lines of ``docs`` that are items of under ``LEAST_WORDS`` words."""
+    short = items.filter(F.size("raw").between(1, LEAST_WORDS - 1)).select(
+        "item_id", F.size("sentences").alias("size"), "sentences"
+    )
+    sizes = [r[0] for r in short.select("size").distinct().collect()]
+    texts = docs.select(
+        F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
+        sentences(F.col("text")).alias("tokens"),
+    )
+    found = []
+    for size in sizes:
+        known = short.filter(F.col("size") == size).select(
+            "item_id", rolled(F.col("sentences"), size)[0].alias("hash")
+        )
+        hits = texts.select(
+            "doc_id", "text_hash",
+            F.posexplode(bind(F.col("tokens"), lambda t: F.transform(
+                rolled(t, size), lambda h, i: F.when(F.get(t, i) == END, h)
+            ))).alias("pos", "hash"),
+        ).filter("hash is not null").join(known, "hash")
+        found.append(hits.groupBy("doc_id", "text_hash", "item_id").agg(F.min("pos").alias("pos")))
+    if not found:
+        return None
+    first = reduce(DataFrame.unionByName, found).alias("f")
+    same = F.col("f.doc_id").eqNullSafe(F.col("t.doc_id")) & (
+        F.col("f.text_hash") == F.col("t.text_hash")
+    )
+    before = F.filter(F.slice(F.col("t.tokens"), 1, F.col("pos")), lambda w: w != END)
+    return first.join(texts.dropDuplicates(["doc_id", "text_hash"]).alias("t"), same).select(
+        "f.doc_id", "f.text_hash", "item_id", F.size(before).alias("start")
     )
 
 
@@ -97,15 +169,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     One row per document and item: ``doc_id``, ``text_hash`` (rows that share both are
     one document), ``item_id``, ``start`` (word of the document), ``n_windows`` and
     ``cover`` (share of the item's windows), ``exact`` (no slot differs). Items of fewer
-    than ``WINDOW`` words are looked for as a whole, those under ``LEAST_WORDS`` not at
-    all; items of equal id count as one text each. Null and empty texts match nothing,
-    and an empty table on either side gives no rows. Long texts are read whole.
+    than ``WINDOW`` words are looked for as a whole, those under ``LEAST_WORDS`` word for
+    word as whole sentences or lines; items of equal id count as one text each. Null and
+    empty texts match nothing, and an empty table on either side gives no rows. Long
+    texts are read whole.
     """
     items = benchmark.select(
         F.col("item_id").alias("item_id"), F.xxhash64("text").alias("item_hash"),
-        template(F.col("text")).alias("tokens"), words(F.col("text")).alias("raw"),
-    ).filter(F.size("tokens") >= LEAST_WORDS).dropDuplicates(["item_id", "item_hash"])
-    items = items.withColumn("item_id", F.struct("item_id", "item_hash")).drop("item_hash")
+        marked_words(F.col("text")).alias("marked"), sentences(F.col("text")).alias("sentences"),
+    ).dropDuplicates(["item_id", "item_hash"]).select(
+        F.struct("item_id", "item_hash").alias("item_id"), template(F.col("marked")).alias("tokens"),
+        words(F.col("marked")).alias("raw"), "sentences",
+    )
+    short = _short_items(docs, items)
+    items = items.filter(F.size("tokens") >= LEAST_WORDS).drop("sentences")
     sizes = [
         r[0] for r in items.select(F.least(F.size("tokens"), F.lit(WINDOW))).distinct().collect()
     ]
@@ -116,28 +193,35 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def hits(size: int) -> DataFrame:
         rows = docs.select(
             F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
-            F.posexplode(bind(template(F.col("text")), lambda t: rolled(t, size)))
-            .alias("pos", "hash"),
+            F.inline(_document_windows(F.col("text"), size)),
         )
         windows = known[size]
         if windows.count() <= BROADCAST_WINDOWS:
             windows = F.broadcast(windows)
         return rows.join(windows, "hash").select(
-            "doc_id", "text_hash", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("start")
+            "doc_id", "text_hash", "item_id", "item_pos", "rich",
+            (F.col("pos") - F.col("item_pos")).alias("start"),
         )
 
     found = reduce(DataFrame.unionByName, [hits(n) for n in sizes])
     totals = reduce(DataFrame.unionByName, known.values()).groupBy("item_id").agg(
-        F.count("*").alias("windows")
+        F.count("*").alias("windows"), F.count_if("rich").alias("rich_windows")
     )
     # Copies of a row repeat its hits: places are counted, not rows.
     diagonals = found.groupBy("doc_id", "text_hash", "item_id", "start").agg(
         F.countDistinct("item_pos").alias("n_windows"),
+        F.countDistinct(F.when(F.col("rich"), F.col("item_pos"))).alias("n_rich"),
         F.min("item_pos").alias("first"), F.max("item_pos").alias("last"),
     )
-    needed = F.least(F.lit(ENOUGH_WINDOWS), F.ceil(F.col("windows") * MIN_COVER))
+
+    def enough(found: str, of: str) -> Column:
+        needed = F.least(F.lit(ENOUGH_WINDOWS), F.ceil(F.col(of) * MIN_COVER))
+        return (F.col(found) > 0) & (F.col(found) >= needed)
+
+    # A changed copy need not repeat the windows that only match word for word.
+    likely = enough("n_rich", "rich_windows") | enough("n_windows", "windows")
     candidates = (
-        diagonals.join(totals, "item_id").filter(F.col("n_windows") >= needed)
+        diagonals.join(totals, "item_id").filter(likely)
         .join(items, "item_id")
     ).alias("c")
     texts = docs.select(
@@ -152,7 +236,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = F.arrays_zip(
         F.slice("tokens", from_item, length).alias("mark"),
         F.slice("raw", from_item, length).alias("item"),
-        F.slice(words(F.col("text")), F.col("start") + from_item, length).alias("doc"),
+        F.slice(words(marked_words(F.col("text"))), F.col("start") + from_item, length).alias("doc"),
     )
     slots = F.filter(pairs, lambda p: F.contains(p.mark, F.lit(MARK)))
     checked = candidates.join(texts, same).select(
@@ -168,10 +252,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.struct("start", "n_windows", "cover", "exact"),
         F.struct("n_windows", -F.col("start")),
     )
+    matches = checked.filter(consistent).select(
+        "doc_id", "text_hash", "item_id", "start", "n_windows", "cover",
+        (~F.exists("slots", lambda p: p.item != p.doc)).alias("exact"),
+    )
+    if short is not None:
+        matches = matches.unionByName(short.select(
+            "doc_id", "text_hash", F.col("item_id.item_id").alias("item_id"), "start",
+            F.lit(1).cast("long").alias("n_windows"), F.lit(1.0).alias("cover"),
+            F.lit(True).alias("exact"),
+        ))
     return (
-        checked.filter(consistent)
-        .withColumn("exact", ~F.exists("slots", lambda p: p.item != p.doc))
-        .groupBy("doc_id", "text_hash", "item_id").agg(best.alias("best"))
+        matches.groupBy("doc_id", "text_hash", "item_id").agg(best.alias("best"))
         .select("doc_id", "text_hash", "item_id", "best.*")
     )
 

@@ -317,6 +317,26 @@ def test_slots_must_agree(spark):
     assert [r.doc_id for r in decontaminate.contamination(frame, benchmark).collect()] == [1]
 
 
+def test_items_of_slots_and_short_items(spark):
+    items = [
+        (1, "Compute 12 + 7 * 3 - 45 / 9."), (2, "Add 3, 5, 8, 13, 21, 34 and 55 to 100."),
+        (3, "2 + 2 = ?"), (4, "Who wrote Hamlet?"), (5, "Stop. Go!"),
+    ]
+    texts = [(i, f"Some words come first. {text} And more follow here") for i, text in items]
+    texts += [
+        (11, "Compute 12 + 7 * 3 - 45 / 8."), (12, "Add 3, 5, 9, 13, 22, 34 and 56 to 100."),
+        (13, "there are 2 + 2 reasons to stay"), (14, "I forgot who wrote hamlet in the end"),
+        (15, "stop\ngo\nhome"), (16, "stop go"), (17, None),
+    ]
+    found = decontaminate.contamination(
+        spark.createDataFrame(texts, "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string"),
+    ).collect()
+    want = {(i, i, 4) for i in range(1, 6)} | {(15, 5, 0)}
+    assert {(r.doc_id, r.item_id, r.start) for r in found} == want
+    assert all(r.exact and r.cover == 1 for r in found)
+
+
 def test_language(spark, docs, rows, nothing):
     speech = {"xx": "lorem ipsum dolor sit amet consectetur", "yy": "ganz viele worte mit anderem klang"}
     rng = random.Random(3)
