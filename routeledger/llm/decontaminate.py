@@ -2,10 +2,11 @@
 
 Numbers, units and names become typed placeholders, so a question whose parameters were
 changed keeps its template. Windows of the templates are hashed and joined; windows on
-one diagonal of a document and an item are a candidate, and its slots are compared: the
-same value of the item must stand for the same value of the document throughout.
-Windows that are placeholders mostly say little as templates; they are joined by their
-literal words instead, and items of a few words are found as whole sentences or lines. Everything
+one diagonal of a document and an item are a candidate, and the slots of each run of
+them are compared: a name of the item must stand for one name of the document in most of
+its places. Numbers and units are parameters of their own and may differ from place to
+place. Where enough windows are equal word for word, slots do not matter. Windows that are placeholders mostly say little as templates; they are joined by their
+literal words only, and items of a few words are found as whole sentences or lines. Everything
 is a DataFrame expression.
 """
 
@@ -22,7 +23,7 @@ WINDOW = 8
 LEAST_WORDS = 4  # shorter items are found as whole sentences or lines, not inside them
 ENOUGH_WINDOWS = 5  # windows on one diagonal that always suffice, i.e. 12 words
 MIN_COVER = 0.5  # share of a short item's windows that suffices otherwise
-MIN_PLAIN = 0.5  # share of plain words below which a window is joined by its literal words
+MIN_PLAIN = 0.5  # share of plain words below which a template says too little to be joined
 BROADCAST_WINDOWS = 1_000_000  # benchmark windows up to which they are broadcast
 
 # Units that may follow a number.
@@ -93,7 +94,7 @@ def rolled(tokens: Column, size: int) -> Column:
 
 
 def _window_table(items: DataFrame, size: int) -> DataFrame:
-    """Windows of the items of that size, by template or, if that is thin, by their words."""
+    """Windows of the items of that size, by template unless that is thin, and by words."""
     exact = size < WINDOW
     chosen = items.filter(F.size("tokens") == size if exact else F.size("tokens") >= size)
     plain = F.transform("tokens", lambda t: (~F.contains(t, F.lit(MARK))).cast("int"))
@@ -108,10 +109,16 @@ def _window_table(items: DataFrame, size: int) -> DataFrame:
         )).alias("w"),
     )
     rich = F.col("w.plain") >= MIN_PLAIN * size
-    return rows.select(
-        "item_id", F.when(rich, F.col("w.template")).otherwise(F.col("w.words")).alias("hash"),
-        F.col("w.pos").alias("item_pos"), rich.alias("rich"),
-    )
+    same = F.col("w.template") == F.col("w.words")
+
+    def row(when: Column, by: str, literal: Column) -> Column:
+        return F.when(when, F.struct(
+            F.col(f"w.{by}").alias("hash"), F.col("w.pos").alias("item_pos"),
+            rich.alias("rich"), literal.alias("literal"),
+        ))
+
+    both = F.array(row(rich, "template", same), row(~rich | ~same, "words", F.lit(True)))
+    return rows.select("item_id", F.inline(F.array_compact(both)))
 
 
 def _document_windows(text: Column, size: int) -> Column:
@@ -163,12 +170,54 @@ def _short_items(docs: DataFrame, items: DataFrame) -> DataFrame | None:
     )
 
 
+def _runs(doc: Column) -> Column:
+    """Runs of the windows at ``at``, which cover all words between: counts and slots.
+
+    ``doc`` has the document's words; word ``i`` of the item stands at ``start + i``.
+    """
+    at, size = F.col("at"), F.least(F.size("tokens"), F.lit(WINDOW))
+    apart = lambda a, b: F.coalesce(b - a > size, F.lit(True))
+    firsts = F.filter(at, lambda p, i: (i == 0) | apart(F.get(at, i - 1), p))
+    lasts = F.filter(at, lambda p, i: apart(p, F.get(at, i + 1)))
+
+    def slots(first: Column, last: Column) -> Column:
+        pairs = F.transform(F.sequence(first, last + size - 1), lambda i: F.struct(
+            F.get("tokens", i).alias("mark"), F.get("raw", i).alias("item"),
+            F.get(doc, F.col("start") + i).alias("doc"),
+        ))
+        return F.filter(pairs, lambda p: F.contains(p.mark, F.lit(MARK)))
+
+    return F.zip_with(firsts, lasts, lambda first, last: F.struct(
+        F.size(F.filter(at, lambda p: p.between(first, last))).alias("n"),
+        F.size(F.filter("rich_at", lambda p: p.between(first, last))).alias("n_rich"),
+        slots(first, last).alias("slots"),
+    ))
+
+
+def _consistent(slots: Column) -> Column:
+    """At least half of the places of repeated names agree with another place of the name.
+
+    The value must be that of half of the name's places or more.
+    """
+
+    def judge(names: Column) -> Column:
+        places = lambda t: F.size(F.filter(names, lambda u: u.item == t.item))
+        equal = lambda t: F.size(F.filter(
+            names, lambda u: (u.item == t.item) & (u.doc == t.doc)
+        ))
+        repeated = F.filter(names, lambda t: places(t) > 1)
+        agree = F.filter(repeated, lambda t: (equal(t) > 1) & (equal(t) * 2 >= places(t)))
+        return F.size(agree) * 2 >= F.size(repeated)
+
+    return bind(F.filter(slots, lambda p: F.contains(p.mark, F.lit(MARK + "p"))), judge)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Items of ``benchmark(item_id, text)`` found in ``docs(doc_id, text)``.
 
     One row per document and item: ``doc_id``, ``text_hash`` (rows that share both are
     one document), ``item_id``, ``start`` (word of the document), ``n_windows`` and
-    ``cover`` (share of the item's windows), ``exact`` (no slot differs). Items of fewer
+    ``cover`` (share of the item's windows), ``exact`` (no slot in them differs). Items of fewer
     than ``WINDOW`` words are looked for as a whole, those under ``LEAST_WORDS`` word for
     word as whole sentences or lines; items of equal id count as one text each. Null and
     empty texts match nothing, and an empty table on either side gives no rows. Long
@@ -199,30 +248,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         if windows.count() <= BROADCAST_WINDOWS:
             windows = F.broadcast(windows)
         return rows.join(windows, "hash").select(
-            "doc_id", "text_hash", "item_id", "item_pos", "rich",
+            "doc_id", "text_hash", "item_id", "item_pos", "rich", "literal",
             (F.col("pos") - F.col("item_pos")).alias("start"),
         )
 
     found = reduce(DataFrame.unionByName, [hits(n) for n in sizes])
     totals = reduce(DataFrame.unionByName, known.values()).groupBy("item_id").agg(
-        F.count("*").alias("windows"), F.count_if("rich").alias("rich_windows")
+        F.countDistinct("item_pos").alias("windows"),
+        F.countDistinct(F.when(F.col("rich"), F.col("item_pos"))).alias("rich_windows"),
     )
     # Copies of a row repeat its hits: places are counted, not rows.
     diagonals = found.groupBy("doc_id", "text_hash", "item_id", "start").agg(
-        F.countDistinct("item_pos").alias("n_windows"),
-        F.countDistinct(F.when(F.col("rich"), F.col("item_pos"))).alias("n_rich"),
-        F.min("item_pos").alias("first"), F.max("item_pos").alias("last"),
+        F.sort_array(F.collect_set("item_pos")).alias("at"),
+        F.collect_set(F.when(F.col("rich"), F.col("item_pos"))).alias("rich_at"),
+        F.size(F.collect_set(F.when(F.col("literal"), F.col("item_pos")))).alias("n_literal"),
     )
 
-    def enough(found: str, of: str) -> Column:
+    def enough(found: Column, of: str) -> Column:
         needed = F.least(F.lit(ENOUGH_WINDOWS), F.ceil(F.col(of) * MIN_COVER))
-        return (F.col(found) > 0) & (F.col(found) >= needed)
+        return (found > 0) & (found >= needed)
 
     # A changed copy need not repeat the windows that only match word for word.
-    likely = enough("n_rich", "rich_windows") | enough("n_windows", "windows")
+    likely = enough(F.size("rich_at"), "rich_windows") | enough(F.size("at"), "windows")
     candidates = (
-        diagonals.join(totals, "item_id").filter(likely)
-        .join(items, "item_id")
+        diagonals.join(totals, "item_id").filter(likely).join(items, "item_id")
     ).alias("c")
     texts = docs.select(
         F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
@@ -231,30 +280,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     same = F.col("c.doc_id").eqNullSafe(F.col("t.doc_id")) & (
         F.col("c.text_hash") == F.col("t.text_hash")
     )
-    from_item = F.col("first") + 1
-    length = F.col("last") - F.col("first") + F.least(F.size("tokens"), F.lit(WINDOW))
-    pairs = F.arrays_zip(
-        F.slice("tokens", from_item, length).alias("mark"),
-        F.slice("raw", from_item, length).alias("item"),
-        F.slice(words(marked_words(F.col("text"))), F.col("start") + from_item, length).alias("doc"),
-    )
-    slots = F.filter(pairs, lambda p: F.contains(p.mark, F.lit(MARK)))
     checked = candidates.join(texts, same).select(
         "c.doc_id", "c.text_hash", F.col("item_id.item_id").alias("item_id"), "start",
-        "n_windows", (F.col("n_windows") / F.col("windows")).alias("cover"),
-        slots.alias("slots"),
+        F.size("at").cast("long").alias("n_windows"), "n_literal", "windows", "rich_windows",
+        (F.size("at") / F.col("windows")).alias("cover"),
+        bind(words(marked_words(F.col("text"))), _runs).alias("runs"),
+    )
+    agreeing = F.filter("runs", lambda r: _consistent(r.slots))
+    total = lambda name: F.aggregate(
+        agreeing, F.lit(0), lambda n, r: n + r[name]
     )
-    # Consistent: as many pairs of values as values of the item.
-    consistent = F.size(F.array_distinct(F.transform("slots", lambda p: F.struct(p.item, p.doc)))) == (
-        F.size(F.array_distinct(F.transform("slots", lambda p: p.item)))
+    accepted = (
+        enough(F.col("n_literal"), "windows")
+        | enough(total("n_rich"), "rich_windows") | enough(total("n"), "windows")
     )
+    differs = F.exists("runs", lambda r: F.exists(r.slots, lambda p: p.item != p.doc))
     best = F.max_by(
         F.struct("start", "n_windows", "cover", "exact"),
         F.struct("n_windows", -F.col("start")),
     )
-    matches = checked.filter(consistent).select(
-        "doc_id", "text_hash", "item_id", "start", "n_windows", "cover",
-        (~F.exists("slots", lambda p: p.item != p.doc)).alias("exact"),
+    matches = checked.filter(accepted).select(
+        "doc_id", "text_hash", "item_id", "start", "n_windows", "cover", (~differs).alias("exact")
     )
     if short is not None:
         matches = matches.unionByName(short.select(

@@ -337,6 +337,22 @@ def test_items_of_slots_and_short_items(spark):
     assert all(r.exact and r.cover == 1 for r in found)
 
 
+def test_slots_that_may_differ(spark):
+    letters = str.maketrans("0123456789", "abcdefghij")
+    more = [prose(71, 30).lower().translate(letters), prose(72, 20).lower().translate(letters)]
+    long = f"the clerk Anna met {more[0]} and then Anna left the town {more[1]}"
+    sums = "a farmer sells 2 apples and 2 pears to each child that comes by the gate"
+    benchmark = spark.createDataFrame([(1, long), (2, sums)], "item_id long, text string")
+    texts = [
+        (1, long.replace("Anna", "Eve", 1)),
+        (2, sums.replace("2 apples", "3 apples").replace("2 pears", "5 pears")),
+        (3, prose(73, 60)),
+    ]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    found = decontaminate.contamination(frame, benchmark).collect()
+    assert {(r.doc_id, r.item_id, r.exact) for r in found} == {(1, 1, False), (2, 2, False)}
+
+
 def test_language(spark, docs, rows, nothing):
     speech = {"xx": "lorem ipsum dolor sit amet consectetur", "yy": "ganz viele worte mit anderem klang"}
     rng = random.Random(3)
