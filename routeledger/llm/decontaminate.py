@@ -40,6 +40,8 @@ SLOTS = [
     (r"(?<=[^.!?:;\"'\s]\s)\p{Lu}[\p{L}'’-]*", MARK + "p"),
     (r"[0-9]+(?:[.,:/][0-9]+)*", MARK + "n"),
 ]
+# White space other than one plain space between words.
+WIDE = r"[\s\p{Z}&&[^ ]][\s\p{Z}]*| [\s\p{Z}]+"
 NO_WORD = r"[^\p{L}\p{N}\x01\x02\s]+"
 # Where a sentence or line ends.
 STOP = r"[.!?:;]+(?=\s|$)|[\r\n]+"
@@ -48,10 +50,12 @@ STOP = r"[.!?:;]+(?=\s|$)|[\r\n]+"
 def marked_words(text: Column) -> Column:
     """The words in lower case and without punctuation, with marks around their slots."""
     text = F.translate(F.coalesce(text, F.lit("")), MARK + END, "  ")
+    # Slots are told by what stands before them, so a copy's line breaks must not matter.
+    text = F.regexp_replace(text, WIDE, " ")
     for pattern, mark in SLOTS:
         text = F.regexp_replace(text, pattern, mark + "$0" + END)
     text = F.lower(F.regexp_replace(text, NO_WORD, ""))
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(text, " +"), lambda w: w != "")
 
 
 def template(tokens: Column) -> Column:
@@ -72,6 +76,7 @@ def sentences(text: Column) -> Column:
     """The words with ``END`` before, between and after sentences and lines."""
     text = F.translate(F.coalesce(text, F.lit("")), MARK + END, "  ")
     text = F.concat(F.lit(END + " "), F.regexp_replace(text, STOP, f" {END} "), F.lit(" " + END))
+    text = F.regexp_replace(text, WIDE, " ")
     text = F.lower(F.regexp_replace(text, NO_WORD, ""))
     text = F.regexp_replace(text, r"\x02(?:\s+\x02)+", END)
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")

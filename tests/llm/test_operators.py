@@ -353,6 +353,19 @@ def test_slots_that_may_differ(spark):
     assert {(r.doc_id, r.item_id, r.exact) for r in found} == {(1, 1, False), (2, 2, False)}
 
 
+def test_case_and_white_space_of_copies(spark):
+    item = "The treaty between France and Spain was signed by King Louis in Paris"
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [
+        item.lower(), item.upper(), item.replace(" France", "  France").replace(" King", "\r\n\tKing"),
+        item.replace("and Spain", "and\u00a0\u00a0Portugal").replace(" King", "\r\n  King").replace("France", "Genoa"),
+        "the treaty was signed by the king in paris between the two of them",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.contamination(frame, benchmark).collect()
+    assert {(r.doc_id, r.exact) for r in found} == {(0, True), (1, True), (2, True), (3, False)}
+
+
 def test_language(spark, docs, rows, nothing):
     speech = {"xx": "lorem ipsum dolor sit amet consectetur", "yy": "ganz viele worte mit anderem klang"}
     rng = random.Random(3)
