@@ -2,7 +2,8 @@
 
 Documents start in a shard dealt by a hash of their id. In each round every group of
 equal texts names the shard that holds most of it and has room, and its other members
-ask to move there. A shard admits as many rows as its quota has room for; who is admitted is read
+ask to move there; those of a group too large for it go to further shards in later
+rounds. A shard admits as many rows as its quota has room for; who is admitted is read
 from a bounded table of counts by shard, strength of the pull and hash bucket, so no
 task ever ranks all rows. At the end surplus rows, those without links first, fill the
 free places, which makes the counts differ by one at most.
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, staged
 
 SHARDS = 16
-ROUNDS = 6
+ROUNDS = 2 * SHARDS  # at most; a large group fills a shard a round, and rounds end when nothing moves
 BUCKETS = 512  # hash buckets in which a shard's applicants are counted
 PULLS = 8  # classes of strength, by powers of two of the members already there
 
@@ -42,22 +43,31 @@ def numbered(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     )
 
 
-def propagate(nodes: DataFrame, room: dict[int, int]) -> DataFrame:
+def propagate(nodes: DataFrame, room: dict[int, int], turn: int = 0) -> DataFrame:
     """One round: linked ``nodes`` with new shards; ``room`` is what each shard may admit.
 
+    Column ``moved`` tells which rows changed; ``turn`` deals the buckets anew.
+
     Members ask to move to the shard that holds most of their group among those with
-    room for all of it; where none has, to the one that holds most.
+    room for all of it; where none has, to the one that holds most among those with any
+    room. There only members on shards that hold less of the group ask, so full shards
+    keep theirs.
     """
     limits = F.create_map(*[F.lit(int(x)) for pair in sorted(room.items()) for x in pair])
     held = nodes.groupBy("grp", "shard").agg(F.count("*").alias("n"))
     group = Window.partitionBy("grp")  # a row per shard at most
     # A shard that can take the whole group comes before one that cannot.
     fits = limits[F.col("shard")] >= F.sum("n").over(group) - F.col("n")
-    rank = F.struct(F.col("fits"), F.col("n").alias("n"), (-F.col("shard")).alias("s"))
+    open_ = limits[F.col("shard")] > 0
+    rank = F.struct(F.col("fits"), F.col("open"), F.col("n").alias("n"), (-F.col("shard")).alias("s"))
     pulls = (
-        held.withColumn("fits", fits).withColumn("best", F.max(rank).over(group))
+        held.withColumn("fits", fits).withColumn("open", open_).withColumn("best", F.max(rank).over(group))
         .withColumn("target", -F.col("best.s"))
-        .filter("shard != target")
+        .filter("shard != target and best.open")
+        # Along this order no two shards can send members to and fro.
+        .filter(F.col("best.fits") | (
+            F.struct(F.col("n"), -F.col("shard")) < F.struct(F.col("best.n"), F.col("best.s"))
+        ))
         .select(
             "grp", "shard", "target", F.col("best.fits").alias("whole"),
             F.least(F.log2(F.col("best.n")).cast("int"), F.lit(PULLS - 1)).alias("pull"),
@@ -67,23 +77,31 @@ def propagate(nodes: DataFrame, room: dict[int, int]) -> DataFrame:
     asked = nodes.join(pulls, ["grp", "shard"], "left").withColumn(
         "bucket",
         F.pmod(
-            F.when(F.col("whole"), F.xxhash64("grp")).otherwise(F.xxhash64("h", "uid")),
+            F.when(F.col("whole"), F.xxhash64("grp", F.lit(turn)))
+            .otherwise(F.xxhash64("h", "uid", F.lit(turn))),
             F.lit(BUCKETS),
         ).cast("int"),
     )
-    # Applicants by shard, strength and bucket: at most shards x PULLS x BUCKETS rows.
-    counted = asked.filter("target is not null").groupBy("target", "pull", "bucket").agg(
-        F.count("*").alias("n")
-    )
-    queue = Window.partitionBy("target").orderBy(F.desc("pull"), "bucket")
+    # Applicants by shard, strength and bucket: at most shards x PULLS x 2 x BUCKETS rows.
+    keys = ["target", "pull", "whole", "bucket"]
+    counted = asked.filter("target is not null").groupBy(*keys).agg(F.count("*").alias("n"))
+    queue = Window.partitionBy("target").orderBy(F.desc("pull"), F.desc("whole"), "bucket")
     admitted = (
         counted.withColumn("upto", F.sum("n").over(queue))
-        .filter(F.col("upto") <= limits[F.col("target")])
-        .select("target", "pull", "bucket", F.lit(True).alias("admitted"))
+        .withColumn("free", limits[F.col("target")] - F.col("upto") + F.col("n"))
+        .withColumn("split", F.col("free") < F.col("n"))
+        .filter("free > 0 and not (whole and split)").select(*keys, "free", "split")
+    )
+    placed = asked.join(F.broadcast(admitted), keys, "left")
+    # The one bucket of single rows that only partly fits is ranked, so a shard gets full.
+    place = Window.partitionBy(*keys).orderBy("h", "uid")
+    partly = placed.filter("split").withColumn("goes", F.row_number().over(place) <= F.col("free"))
+    rest = placed.filter("not coalesce(split, false)").withColumn("goes", F.isnotnull("free"))
+    return rest.unionByName(partly).select(
+        *[c for c in nodes.columns if c not in ("shard", "moved")],
+        F.when(F.col("goes"), F.col("target")).otherwise(F.col("shard")).cast("int").alias("shard"),
+        F.col("goes").alias("moved"),
     )
-    moved = asked.join(F.broadcast(admitted), ["target", "pull", "bucket"], "left")
-    shard = F.when(F.col("admitted"), F.col("target")).otherwise(F.col("shard"))
-    return moved.withColumn("shard", shard.cast("int")).select(*nodes.columns)
 
 
 def shard(docs: DataFrame, *, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -116,13 +134,14 @@ def shard(docs: DataFrame, *, shards: int = SHARDS, rounds: int = ROUNDS) -> Dat
     fixed = by_shard(placed.filter("loose = 1"))
     nodes = placed.filter("loose = 0")
     now = by_shard(nodes)
-    for _ in range(rounds):
+    for turn in range(rounds):
         # Rows without links give way, so only linked ones use up a quota.
         room = {s: max(0, total // shards - now.get(s, 0)) for s in range(shards)}
-        nodes = staged(propagate(nodes, room), "shard-round")
-        before, now = now, by_shard(nodes)
-        if before == now:
+        nodes = staged(propagate(nodes, room, turn), "shard-round")
+        now = by_shard(nodes)
+        if nodes.filter("moved").isEmpty():
             break
+    nodes = nodes.drop("moved")
     counts = {s: fixed.get(s, 0) + now.get(s, 0) for s in range(shards)}
     placed = nodes.unionByName(placed.filter("loose = 1"))
 

@@ -249,6 +249,14 @@ def test_sharding(spark, docs, rows, nothing):
     assert sharding.shard(nothing).count() == 0
 
 
+def test_large_group_fills_few_shards(spark):
+    texts = [(i, prose(i, 10)) for i in range(640)] + [(1000 + i, "hot") for i in range(320)]
+    found = sharding.shard(spark.createDataFrame(texts, "doc_id long, text string")).toPandas()
+    hot = found[found.doc_id >= 1000].groupby("shard").size()
+    assert len(found) == 960 and set(found.groupby("shard").size()) == {60}
+    assert len(hot) == 6
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(5)
     vectors = [(i, rng.normal(size=8).tolist()) for i in range(400)]
