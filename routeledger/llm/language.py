@@ -20,8 +20,8 @@ from .common import held_out, small_batches
 UNKNOWN = "und"
 SAMPLE_DOCS = 300  # training documents per language, those with the smallest id hash
 PIECE_CHARS = 300  # a sampled text is cut into pieces, which are dealt by hash
-DICTIONARY_BYTES = 112_000  # per language
-LANGUAGES = 128  # most frequent labels that get a dictionary
+DICTIONARY_BYTES = 112_000  # per language at most
+ALL_BYTES = 128 * DICTIONARY_BYTES  # shared evenly by more languages, so none is favoured
 LEVEL = 5
 BLOCK_BYTES = 4 * 1024
 MIN_MARGIN = 0.004
@@ -38,20 +38,22 @@ SCHEMA = "lang_pred string, score double, accepted boolean"
 def dictionaries(labelled: DataFrame) -> dict[str, bytes]:
     """A raw-content dictionary per label of ``labelled(doc_id, text, lang)``.
 
-    A bounded sample: of the ``LANGUAGES`` most frequent labels the ``SAMPLE_DOCS``
-    documents with the smallest hash of the id, their whole texts cut into pieces, and
-    of the pieces, in the order of a hash, up to ``DICTIONARY_BYTES``. Rows without
-    text or label teach nothing; no label at all gives no dictionary.
+    A bounded sample: of every label the ``SAMPLE_DOCS`` documents with the smallest hash
+    of the id, their whole texts cut into pieces, and of the pieces, in the order of a
+    hash, up to ``DICTIONARY_BYTES``, or an equal share of ``ALL_BYTES`` (a piece at
+    least) if that is less. Rows without text or label teach nothing; no label at all
+    gives no dictionary.
     """
     rows = labelled.select(
         F.col("lang").alias("lang"), F.col("text").alias("text"),
         F.xxhash64(F.col("doc_id").cast("string")).alias("h"),
     ).filter("lang is not null and text is not null")
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    labels = rows.select("lang").distinct().count()
+    most_bytes = max(PIECE_CHARS, min(DICTIONARY_BYTES, ALL_BYTES // max(1, labels)))
     # Only labels and hashes are ranked; Spark ranks inside each task before it shuffles.
     first = Window.partitionBy("lang").orderBy("h")
     chosen = (
-        rows.select("lang", "h").join(F.broadcast(known.select("lang")), "lang", "left_semi")
+        rows.select("lang", "h")
         .withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE_DOCS)
         .groupBy("lang").agg(F.max("h").alias("most"))
     )
@@ -62,13 +64,13 @@ def dictionaries(labelled: DataFrame) -> dict[str, bytes]:
         .alias("piece"),
     ).distinct()
     dealt = Window.partitionBy("lang").orderBy(F.xxhash64("piece"), "piece")
-    per_language = 4 * DICTIONARY_BYTES // PIECE_CHARS
+    per_language = 4 * most_bytes // PIECE_CHARS
     kept = pieces.withColumn("n", F.row_number().over(dealt)).filter(F.col("n") <= per_language)
     found: dict[str, list[bytes]] = {}
     for lang, piece, _ in kept.orderBy("lang", "n").collect():
         found.setdefault(lang, []).append(plain(piece))
     # A dictionary's end is the cheapest to refer to; all of it is within reach.
-    return {lang: b" ".join(p)[:DICTIONARY_BYTES] for lang, p in found.items()}
+    return {lang: b" ".join(p)[:most_bytes] for lang, p in found.items()}
 
 
 def plain(text: str) -> bytes:

@@ -391,3 +391,18 @@ def test_language(spark, docs, rows, nothing):
     assert language.identify(docs, {}).count() == len(rows)
     assert language.identify(nothing, raw).count() == 0
     assert language.dictionaries(nothing.withColumn("lang", F.lit(None).cast("string"))) == {}
+
+
+def test_every_label_gets_a_dictionary(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    speech = [[word() for _ in range(12)] for _ in range(140)]
+    texts = [
+        (1000 * n + i, " ".join(rng.choices(speech[n], k=40)), f"l{n:03d}")
+        for n in range(140) for i in range(1 + (n < 130))
+    ]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    raw = language.dictionaries(frame)
+    assert set(raw) == {f"l{n:03d}" for n in range(140)}
+    assert sum(map(len, raw.values())) <= language.ALL_BYTES
+    assert all(r.lang_pred == r.lang and r.accepted for r in language.identify(frame, raw).collect())
