@@ -1,10 +1,9 @@
-"""N-gram Jaccard join: an LSH forest of MinHash signatures with exact verification.
+"""N-gram Jaccard join: banded MinHash signatures with exact verification.
 
 Each text becomes its set of five-word shingles; texts with equal sets are one class.
-A class has one label sequence per tree. The sequences of a tree, sorted, form a prefix
-trie, and classes that share a prefix meet in its node. Prefixes are shortened from the
-full sequence, level by level, until a pair at the threshold meets in some tree with the
-target probability; the node at that depth holds whatever met deeper.
+A class has one key per tree, made of ``depth`` MinHash values, and classes that share a
+key meet. The depth is the same for all texts: the largest at which a pair at the threshold
+meets in some tree with the target probability.
 
 Classes that met form groups, whose texts are compared exactly. A group is cut into
 chunks and every pair of chunks is a task of its own, so no task holds a large group; it
