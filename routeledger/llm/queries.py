@@ -13,8 +13,10 @@ from . import (
     language_model,
     licenses,
     lines,
+    manifest,
     near_duplicates,
     packing,
+    resampling,
     sharding,
     substrings,
     topk,
@@ -75,6 +77,14 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.audit(table(spark, folder, "documents"))
+
+
+def op12_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_topk": op2_topk,
@@ -86,4 +96,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
+    "op11_manifest": op11_manifest,
+    "op12_resampling": op12_resampling,
 }
