@@ -16,6 +16,7 @@ from . import (
     manifest,
     near_duplicates,
     packing,
+    personal,
     resampling,
     sharding,
     substrings,
@@ -85,6 +86,10 @@ def op12_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op13_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.digest(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_topk": op2_topk,
@@ -98,4 +103,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_manifest": op11_manifest,
     "op12_resampling": op12_resampling,
+    "op13_personal_data": op13_personal_data,
 }
