@@ -86,7 +86,7 @@ def new_unauthenticated(
 
 
 def remediation(endpoints: DataFrame, files: DataFrame) -> DataFrame:
-    return remedy.remedy_diffs(ops.normalize_rows(endpoints), files)
+    return remedy.diff_texts(remedy.remedy_diffs(ops.normalize_rows(endpoints), files))
 
 
 def run_batch(

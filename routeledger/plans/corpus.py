@@ -25,9 +25,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return rows.repartition(cores)
 
 
-def fill(template: str, **values: Column) -> Column:
+def fill(template: str | Column, **values: Column) -> Column:
     """``template`` with each ``%name%`` replaced by a column."""
-    text = F.lit(template)
+    text = F.lit(template) if isinstance(template, str) else template
     for name, value in values.items():
         text = F.replace(text, F.lit(f"%{name}%"), value.cast("string"))
     return text
@@ -148,56 +148,89 @@ def openapi_specs(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- Python sources ---------------------------------------------------------------
 
-PYTHON_FILE = '''from fastapi import APIRouter
-from deps import SessionDep, CurrentUser
+# Three shapes of module, dealt by the part's key, in a watering service of own making.
+PYTHON_VALVES = '''"Valves of section %k%."
+from fastapi import APIRouter
+from ..shared import Ledger, Warden
 
-r%v% = APIRouter(prefix="/%kind%")
+bed%v% = APIRouter(tags=["water"], prefix="/%kind%")
 
-@r%v%.get("/items/{item_id}")
-def read_%k%(item_id: int%param%):
-    return item_id
 
-@r%v%.api_route(path="/bulk/", methods=["put", "Patch"], dependencies=[Depends(%dep%)])
-async def bulk_%k%(size: int = 3, *, flag: bool = False):
-    return size
+@bed%v%.post(
+    "/valves/{valve}/flow",
+    status_code=202,
+)
+async def set_flow_%k%(valve: int%param%, litres: float = 1.5):
+    return {"valve": valve, "litres": litres}
+
+
+@bed%v%.delete("/valves/{valve}"%deps%)
+def close_%k%(valve: int):
+    return None
+'''
+PYTHON_ROTA = '''from fastapi import APIRouter
+
+# Watering hours.
+PERIODS = ["dawn", "dusk"]
+bed%v% = APIRouter(prefix="/%kind%")
+
+@bed%v%.api_route(path="/rota/", methods=["get", "Head"]%deps%)
+def rota_%k%(period: str = PERIODS[0], *, dry: bool = True%named%):
+    return period
+
+@bed%v%.get("/rota/{day}/")
+@audited
+def day_%k%(day, /, by: Ledger = None):
+    return day
 '''
-PYTHON_LEGACY = '''
-@%caller%.route("/legacy/<int:id>", methods=("GET", "POST"))
+PYTHON_PLOTS = '''from flask import Blueprint
+from .locks import %guard%
+
+plots = Blueprint("plots", __name__, url_prefix="/%kind%")
+
+
+@plots.route("/plot/<int:row>/soil", methods=("GET", "PATCH"))
 @%guard%
-def legacy_%k%(id):
-    return id
+def soil_%k%(row):
+    return row
+
+
+@plots.get("/plot")
+def listing_%k%():
+    return []
 '''
-PYTHON_MAIN = '''from typing import Annotated
+PYTHON_SITE = '''import os
+from typing import Annotated
+
 from fastapi import Depends, FastAPI
 
-app = FastAPI()
-SessionDep = Annotated[str, Depends(get_db)]
-CurrentUser = Annotated[str, Depends(get_current_user)]
-app.include_router(r0, prefix="/v0")
-app.include_router(r1, prefix="/v1")
-app.include_router(r2)
+site = FastAPI(title=os.environ["GARDEN"])
+Ledger = Annotated[dict, Depends(open_ledger)]
+Warden = Annotated[dict, Depends(authenticated_warden)]
+site.include_router(bed2, tags=["plain"])
+site.include_router(bed1, prefix="/south")
+site.include_router(bed0, prefix="/north")
 '''
-PYTHON_LATER = '''from app import app
-app.include_router(r1, prefix="/later")
-app.register_blueprint(bp, url_prefix="/bp")
+PYTHON_LATER = '''from service import site
+site.register_blueprint(plots, url_prefix="/estate")
+site.include_router(bed1, prefix="/south-wing")
 '''
-PARAMS = [
-    ", user=Depends(get_current_user)", ", db=Depends(get_db)", ", user: CurrentUser", "",
+PARAMS = [", by=Security(verify_badge)", ", book=Depends(open_ledger)", ", by: Warden", ""]
+NAMED = [", who=Depends(get_principal)", "", "", ""]
+DEPENDENCIES = [
+    "", ", dependencies=[Depends(badge_token)]", ", dependencies=[Depends(open_ledger)]",
 ]
-DEPENDENCIES = ["get_db", "require_token", "get_settings"]
-CALLERS = ["bp", "r3"]
-GUARDS = ["login_required", "cached"]
+GUARDS = ["login_required", "timed"]
 
 
 def python_parts(spark: SparkSession, folder: str) -> DataFrame:
     """A module per part; every 97th does not parse, every 11th lies under tests/."""
     k, size = F.col("p_partkey"), F.col("p_size")
-    module = fill(
-        PYTHON_FILE, v=k % 5, kind=F.lower("p_type"), k=k,
-        param=pick(size % 4, PARAMS), dep=pick(size % 3, DEPENDENCIES),
-    )
-    legacy = fill(
-        PYTHON_LEGACY, k=k, caller=pick(k % 2, CALLERS), guard=pick(size % 2, GUARDS)
+    shape = fill(
+        pick(k % 3, [PYTHON_VALVES, PYTHON_ROTA, PYTHON_PLOTS]),
+        v=k % 5, kind=F.lower("p_type"), k=k, param=pick(size % 4, PARAMS),
+        named=pick(size % 4, NAMED), deps=pick(size % 3, DEPENDENCIES),
+        guard=pick(size % 2, GUARDS),
     )
     return table(spark, folder, "part").select(
         F.lower("p_brand").alias("repo"),
@@ -205,9 +238,7 @@ def python_parts(spark: SparkSession, folder: str) -> DataFrame:
             F.when(k % 11 == 10, "tests/").otherwise("api/"), F.lit("part_"),
             k.cast("string"), F.lit(".py"),
         ).alias("rel_path"),
-        F.when(k % 97 == 96, F.concat(module, F.lit("\ndef broken(:\n")))
-        .when(size % 5 == 0, F.concat(module, legacy))
-        .otherwise(module)
+        F.when(k % 97 == 96, F.concat(shape, F.lit("\ndef broken(:\n"))).otherwise(shape)
         .alias("content"),
     )
 
@@ -218,7 +249,7 @@ def python_files(spark: SparkSession, folder: str) -> DataFrame:
         "repo",
         F.explode(
             F.array(
-                F.struct(F.lit("main.py").alias("rel_path"), F.lit(PYTHON_MAIN).alias("content")),
+                F.struct(F.lit("service.py").alias("rel_path"), F.lit(PYTHON_SITE).alias("content")),
                 F.struct(F.lit("zz.py").alias("rel_path"), F.lit(PYTHON_LATER).alias("content")),
             )
         ).alias("f"),
@@ -228,32 +259,56 @@ def python_files(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- Java sources -----------------------------------------------------------------
 
-JAVA_FILE = '''package com.acme;
+# Two shapes of controller, dealt by the supplier's key: a ferry's berths and its slips.
+JAVA_BERTHS = '''package net.tides.ferry;
+
+import org.springframework.web.bind.annotation.*;
 
+%typeguard%@RequestMapping("/%nation%")
 @RestController
-@RequestMapping(path = "/%nation%", produces = "application/json")
-%typeguard%public class Ctl%k% {
+class Crossing%k% {
 
-    @GetMapping(
-        value = "/s%k%/{id}",
-        produces = "text/plain"
-    )
-    @PreAuthorize("hasRole('USER')%tail%")
-    public Item one(@PathVariable Long id) {
-        return find(id);
+    private final Board board = new Board();
+
+    @Secured({"PILOT"%tail%})
+    @PutMapping(
+            consumes = "application/json",
+            path = "/c%k%/{berth}/gate")
+    Gate shift(@PathVariable String berth, @RequestBody Gate wanted) {
+        return board.shift(berth, wanted);
     }
 
-    @PostMapping
-    public Item make(@RequestBody Item i) {
-        return i;
+    @DeleteMapping
+    void drop() {
+        board.clear();
     }
 
-    @RequestMapping(value = {"/s%k%/find"}, method = {RequestMethod.GET, RequestMethod.HEAD})
-%comment%    @RolesAllowed("ops")
-    public Item find() {
+    @RequestMapping(method = {RequestMethod.GET, RequestMethod.OPTIONS}, path = "/c%k%/slots/")
+%note%    @PostAuthorize("returnObject.open")
+    Slots slots() {
+        return board.slots();
+    }
+}
+'''
+JAVA_SLIPS = '''package net.tides.quay;
+
+@RestController
+public class Quay%k% {
+
+    @Deprecated
+    @GetMapping("/%nation%/q%k%")
+    @PreAuthorize("hasAuthority('QUAY')")
+    public List<Slip> slips() { return List.of(); }
+
+    @PatchMapping(value = "/%nation%/q%k%/{slip}", name = "/unused")
+
+    @RolesAllowed("late")
+    public Slip mend(@PathVariable int slip) {
         return null;
     }
 }
+
+enum Tide { LOW, HIGH }
 '''
 
 
@@ -261,55 +316,67 @@ def java_files(spark: SparkSession, folder: str) -> DataFrame:
     """A controller per supplier: type-level guards, multi-line and cut-off annotation runs."""
     supplier, nation = table(spark, folder, "supplier"), table(spark, folder, "nation")
     k = F.col("s_suppkey")
+    shape = fill(
+        pick(k % 2, [JAVA_BERTHS, JAVA_SLIPS]), k=k, nation=F.lower("n_name"),
+        typeguard=F.when(k % 5 == 0, '@RolesAllowed("CREW")\n').otherwise(""),
+        tail=F.when(k % 6 == 2, ', "DECK(2"').otherwise(""),
+        note=F.when(k % 4 == 0, "    // moved\n").otherwise(""),
+    )
     return supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.concat(F.lit("java-"), (k % 7).cast("string")).alias("repo"),
-        F.concat(F.lit("src/Ctl"), k.cast("string"), F.lit(".java")).alias("rel_path"),
-        fill(
-            JAVA_FILE, k=k, nation=F.lower("n_name"),
-            typeguard=F.when(k % 5 == 0, '@Secured("ROLE")\n').otherwise(""),
-            tail=F.when(k % 6 == 1, " && (x").otherwise(""),
-            comment=F.when(k % 4 == 0, "    // old\n").otherwise(""),
-        ).alias("content"),
+        F.concat(F.lit("src/C"), k.cast("string"), F.lit(".java")).alias("rel_path"),
+        shape.alias("content"),
     )
 
 
 # --- JavaScript sources -----------------------------------------------------------
 
-JS_FILE = '''const express = require('express');
-const router%m% = express.Router();
+# Three shapes of route file, dealt by the customer's key, in a pottery of own making.
+JS_HEAT = '''import { Router } from "express";
 
-router%m%.get('/c%k%/profile', %guard%(req, res) => {
-  res.json({ ok: true });
-});
+export const shelf%m% = Router();
 
-router%m%
-  .route('/c%k%/things/:id')
-  .post(auth('manage', [1, 2]), validate(x), ctrl.create)
-  .get(ctrl.list);
+shelf%m%.put("/k%k%/:kiln/heat", %guard%async (req, res) => {
+  await res.send(`${req.params.kiln}`);
+});
 
-app.%verb%(`/c%k%/any`, ctrl.authAny);
-module.exports = router%m%;
+shelf%m%.route("/k%k%/glazes")
+  .get(listGlazes)
+  .delete(ensureLoggedIn, dropGlaze);
 '''
-JS_APP = '''const app = express();
-app.use(helmet);
-app.use('/m0', router0);
-app.use('/m1', requireLogin, router1);
-app.use('/m2', auth(), router2);
-app.use('/old', router3);
+JS_CLAY = '''"use strict";
+const shelf%m% = require("express").Router();
+shelf%m%.all("/k%k%/ash", limit({ max: 3, skip: (r) => r.ip === "::1" }), sweep);
+shelf%m%.route("/k%k%/clay/:lot").patch(wedge(1, "a, b)"), protectLot(), weigh).post(weigh);
 '''
-JS_LATER = "app.use('/m3', cors, router3);\n"
-JS_GUARDS = ["requireAuth, ", "", "passport.authenticate('jwt', { session: false }), "]
-JS_VERBS = ["all", "put", "delete", "options"]
+JS_FIRE = '''const shelf%m% = express.Router();
+kiln.%verb%(`/k%k%/any`, handler.authorise);
+shelf%m%.post("/k%k%/fire",
+  passport.authenticate("bearer"),
+  (req, res) => res.sendStatus(204));
+'''
+JS_KILN = '''const kiln = express();
+kiln.use(compress);
+kiln.use("/attic", stamp(), shelf2);
+kiln.use("/loft", verifyPass, shelf1);
+kiln.use("/yard", shelf0);
+kiln.use("/cellar", shelf3);
+'''
+JS_LATER = 'kiln.use("/cellar/new", cors, shelf3);\n'
+JS_GUARDS = ["", "requireLogin, ", "jwtCheck({ aud: 'kiln' }), "]
+JS_VERBS = ["options", "get", "delete", "patch"]
 
 
 def js_customers(spark: SparkSession, folder: str) -> DataFrame:
     k = F.col("c_custkey")
+    shape = fill(
+        pick(k % 3, [JS_HEAT, JS_CLAY, JS_FIRE]), k=k, m=F.floor(k / 3) % 6,
+        guard=pick(F.floor(k / 3) % 3, JS_GUARDS), verb=pick(k % 4, JS_VERBS),
+    )
     return table(spark, folder, "customer").select(
         F.lower("c_mktsegment").alias("repo"),
         F.concat(F.lit("routes/c"), k.cast("string"), F.lit(".js")).alias("rel_path"),
-        fill(
-            JS_FILE, k=k, m=k % 6, guard=pick(k % 3, JS_GUARDS), verb=pick(k % 4, JS_VERBS)
-        ).alias("content"),
+        shape.alias("content"),
     )
 
 
@@ -321,8 +388,8 @@ def js_files(spark: SparkSession, folder: str) -> DataFrame:
         "repo",
         F.explode(
             F.array(
-                F.struct(F.lit("app.js").alias("rel_path"), F.lit(JS_APP).alias("content")),
-                F.struct(F.lit("z/app.js").alias("rel_path"), F.lit(JS_LATER).alias("content")),
+                F.struct(F.lit("kiln.js").alias("rel_path"), F.lit(JS_KILN).alias("content")),
+                F.struct(F.lit("z/more.js").alias("rel_path"), F.lit(JS_LATER).alias("content")),
             )
         ).alias("f"),
     ).select("repo", "f.*")

@@ -6,6 +6,10 @@ rows are written down from the columns it was derived from.
 
 from __future__ import annotations
 
+from .corpus import DEPENDENCIES as PYTHON_DEPENDENCIES
+from .corpus import GUARDS as PYTHON_GUARDS
+from .corpus import NAMED, PARAMS, PYTHON_PLOTS, PYTHON_ROTA, PYTHON_VALVES
+
 ORACLE: dict[str, str] = {}
 
 
@@ -175,34 +179,47 @@ ORACLE["auth_argument"] = _predicate(
 
 _PY = """modules AS (
   SELECT p_partkey AS k, lower(p_brand) AS repo, '/' || lower(p_type) AS kind, p_size AS size,
-    'api/part_' || p_partkey || '.py' AS source_file, 'r' || (p_partkey % 5) AS var
+    'api/part_' || p_partkey || '.py' AS source_file, 'bed' || (p_partkey % 5) AS var
   FROM part WHERE p_partkey % 11 <> 10 AND p_partkey % 97 <> 96),
 cand AS (
-  SELECT repo, source_file, 7 AS line_number, var AS caller, '/items/{item_id}' AS raw_path, kind AS local_prefix,
-    'FastAPI' AS framework, ['GET'] AS methods, size % 4 = 0 AS auth_local,
-    CASE WHEN size % 4 = 0 THEN 'Argument user default: Depends(get_current_user)' END AS auth_info,
-    size % 4 = 2 AS by_alias, 'read' AS what FROM modules
+  SELECT k, size, repo, source_file, 12 AS line_number, var AS caller, '/valves/{valve}/flow' AS raw_path,
+    kind AS local_prefix, 'FastAPI' AS framework, ['POST'] AS methods, size % 4 = 0 AS auth_local,
+    CASE WHEN size % 4 = 0 THEN 'Argument by default: Security(verify_badge)' END AS auth_info,
+    size % 4 = 2 AS by_alias, 'flow' AS what FROM modules WHERE k % 3 = 0
+  UNION ALL
+  SELECT k, size, repo, source_file, 17, var, '/valves/{valve}', kind, 'FastAPI', ['DELETE'], size % 3 = 1,
+    CASE WHEN size % 3 = 1 THEN 'Decorator dependencies: [Depends(badge_token)]' END, false, 'close'
+  FROM modules WHERE k % 3 = 0
+  UNION ALL
+  SELECT k, size, repo, source_file, 8, var, '/rota/', kind, 'FastAPI', ['GET', 'HEAD'],
+    size % 4 = 0 OR size % 3 = 1,
+    nullif(concat_ws('; ', CASE WHEN size % 4 = 0 THEN 'Argument who default: Depends(get_principal)' END,
+      CASE WHEN size % 3 = 1 THEN 'Decorator dependencies: [Depends(badge_token)]' END), ''), false, 'rota'
+  FROM modules WHERE k % 3 = 1
   UNION ALL
-  SELECT repo, source_file, 11, var, '/bulk/', kind, 'FastAPI', ['PUT', 'PATCH'], size % 3 = 1,
-    CASE WHEN size % 3 = 1 THEN 'Decorator dependencies: [Depends(require_token)]' END, false, 'bulk' FROM modules
+  SELECT k, size, repo, source_file, 13, var, '/rota/{day}/', kind, 'FastAPI', ['GET'], false, NULL, false, 'day'
+  FROM modules WHERE k % 3 = 1
   UNION ALL
-  SELECT repo, source_file, 16, CASE WHEN k % 2 = 0 THEN 'bp' ELSE 'r3' END, '/legacy/<int:id>',
-    CASE WHEN k % 2 = 1 AND k % 5 = 3 THEN kind ELSE '' END,
-    CASE WHEN k % 2 = 0 THEN 'Flask' ELSE 'FastAPI' END, ['GET', 'POST'], size % 2 = 0,
-    CASE WHEN size % 2 = 0 THEN 'Flask Decorators: login_required' END, false, 'legacy'
-  FROM modules WHERE size % 5 = 0),
+  SELECT k, size, repo, source_file, 9, 'plots', '/plot/<int:row>/soil', kind, 'Flask', ['GET', 'PATCH'],
+    size % 2 = 0, CASE WHEN size % 2 = 0 THEN 'Flask Decorators: login_required' END, false, 'soil'
+  FROM modules WHERE k % 3 = 2
+  UNION ALL
+  SELECT k, size, repo, source_file, 14, 'plots', '/plot', kind, 'Flask', ['GET'], false, NULL, false, 'listing'
+  FROM modules WHERE k % 3 = 2),
 py AS (
   SELECT repo,
-    CASE caller WHEN 'r0' THEN '/v0' WHEN 'r1' THEN '/later' WHEN 'bp' THEN '/bp' ELSE '' END || local_prefix
-      || CASE what WHEN 'read' THEN '/items/:item_id' WHEN 'bulk' THEN '/bulk' ELSE '/legacy/:id' END AS path,
+    CASE caller WHEN 'bed0' THEN '/north' WHEN 'bed1' THEN '/south-wing' WHEN 'plots' THEN '/estate' ELSE '' END
+      || local_prefix
+      || CASE what WHEN 'flow' THEN '/valves/:valve/flow' WHEN 'close' THEN '/valves/:valve' WHEN 'rota' THEN '/rota'
+           WHEN 'day' THEN '/rota/:day' WHEN 'soil' THEN '/plot/:row/soil' ELSE '/plot' END AS path,
     unnest(methods) AS method, auth_local OR by_alias AS auth_required,
-    CASE WHEN by_alias THEN 'alias dependency: CurrentUser' ELSE auth_info END AS auth_info,
-    source_file, line_number, framework, 'python' AS language, caller, what
+    CASE WHEN by_alias THEN 'alias dependency: Warden' ELSE auth_info END AS auth_info,
+    source_file, line_number, framework, 'python' AS language, caller, what, k, size
   FROM cand)"""
 _COLUMNS = "repo, path, method, auth_required, auth_info, source_file, line_number, framework, language"
 ORACLE["py_prefix"] = """
 SELECT DISTINCT lower(p_brand) AS repo, v.router_var, v.prefix
-FROM part, (VALUES ('r0', '/v0'), ('r1', '/later'), ('bp', '/bp')) AS v(router_var, prefix)"""
+FROM part, (VALUES ('bed0', '/north'), ('bed1', '/south-wing'), ('plots', '/estate')) AS v(router_var, prefix)"""
 ORACLE["py_auth"] = _with(
     _PY,
     select="SELECT repo, source_file AS rel_path, line_number, caller, raw_path, local_prefix, framework, "
@@ -210,7 +227,7 @@ ORACLE["py_auth"] = _with(
 )
 ORACLE["alias_auth"] = _with(
     _PY,
-    select="SELECT repo, 'CurrentUser' AS alias_expr, count(*) AS n_routes FROM cand WHERE by_alias GROUP BY 1",
+    select="SELECT repo, 'Warden' AS alias_expr, count(*) AS n_routes FROM cand WHERE by_alias GROUP BY 1",
 )
 ORACLE["py_endpoints"] = _with(_PY, select=f"SELECT {_COLUMNS} FROM py")
 
@@ -255,19 +272,23 @@ ORACLE["logical_lines_fluent"] = _lines("starts_with(l.bare, '.')")
 # --- Java -------------------------------------------------------------------------
 
 _JAVA = """ctl AS (
-  SELECT s_suppkey AS k, 'java-' || (s_suppkey % 7) AS repo, 'src/Ctl' || s_suppkey || '.java' AS source_file,
-    '/' || lower(n_name) AS prefix, s_suppkey % 5 = 0 AS guarded,
-    CASE WHEN s_suppkey % 5 = 0 THEN 1 ELSE 0 END AS shift, s_suppkey % 6 = 1 AS swallowed,
+  SELECT s_suppkey AS k, 'java-' || (s_suppkey % 7) AS repo, 'src/C' || s_suppkey || '.java' AS source_file,
+    '/' || lower(n_name) AS prefix, s_suppkey % 2 = 0 AND s_suppkey % 5 = 0 AS guarded,
+    CASE WHEN s_suppkey % 5 = 0 THEN 1 ELSE 0 END AS shift, s_suppkey % 6 = 2 AS swallowed,
     s_suppkey % 4 = 0 AS cut_off
   FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 found AS (
-  SELECT *, prefix || '/s' || k || '/:id' AS path, ['GET'] AS methods, 7 + shift AS line_number,
-    CASE WHEN NOT swallowed THEN 'PreAuthorize' END AS guard FROM ctl
+  SELECT *, prefix || '/c' || k || '/:berth/gate' AS path, ['PUT'] AS methods, 12 + shift AS line_number,
+    'Secured' AS guard FROM ctl WHERE k % 2 = 0 AND NOT swallowed
+  UNION ALL
+  SELECT *, prefix, ['DELETE'], 19 + shift, NULL FROM ctl WHERE k % 2 = 0 AND NOT swallowed
+  UNION ALL
+  SELECT *, prefix || '/c' || k || '/slots', ['GET', 'OPTIONS'], 24 + shift,
+    CASE WHEN NOT cut_off THEN 'PostAuthorize' END FROM ctl WHERE k % 2 = 0 AND NOT swallowed
   UNION ALL
-  SELECT *, prefix, ['POST'], 16 + shift, NULL FROM ctl WHERE NOT swallowed
+  SELECT *, prefix || '/q' || k, ['GET'], 7, 'PreAuthorize' FROM ctl WHERE k % 2 = 1
   UNION ALL
-  SELECT *, prefix || '/s' || k || '/find', ['GET', 'HEAD'], 21 + shift,
-    CASE WHEN NOT cut_off THEN 'RolesAllowed' END FROM ctl WHERE NOT swallowed),
+  SELECT *, prefix || '/q' || k || '/:slip', ['PATCH'], 11, NULL FROM ctl WHERE k % 2 = 1),
 java AS (
   SELECT repo, path, unnest(methods) AS method, guarded OR guard IS NOT NULL AS auth_required,
     nullif(concat_ws('; ', CASE WHEN guarded THEN 'class-level authorization' END, 'annotations: ' || guard), '')
@@ -279,24 +300,32 @@ ORACLE["java_endpoints"] = _with(_JAVA, select=f"SELECT {_COLUMNS} FROM java")
 
 ORACLE["js_mounts"] = """
 SELECT DISTINCT lower(c_mktsegment) AS repo, v.router_ident, v.prefix, v.has_auth
-FROM customer, (VALUES ('router0', '/m0', false), ('router1', '/m1', true), ('router3', '/m3', false))
+FROM customer, (VALUES ('shelf0', '/yard', false), ('shelf1', '/loft', true), ('shelf3', '/cellar/new', false))
   AS v(router_ident, prefix, has_auth)"""
 _JS = """cust AS (
   SELECT c_custkey AS k, lower(c_mktsegment) AS repo, 'routes/c' || c_custkey || '.js' AS source_file,
-    (['/m0', '/m1', '', '/m3', '', ''])[c_custkey % 6 + 1] AS prefix,
-    CASE WHEN c_custkey % 6 = 1 THEN 'mount-level middleware on ''router1''' END AS mounted
+    (['/yard', '/loft', '', '/cellar/new', '', ''])[c_custkey // 3 % 6 + 1] AS prefix,
+    CASE WHEN c_custkey // 3 % 6 = 1 THEN 'mount-level middleware on ' || chr(39) || 'shelf1' || chr(39) END AS mounted
   FROM customer),
 declared AS (
-  SELECT *, prefix || '/c' || k || '/profile' AS path, ['GET'] AS methods, 4 AS line_number,
-    (['requireAuth', NULL, 'passport.authenticate(''jwt'', { session: false })'])[k % 3 + 1] AS hit FROM cust
+  SELECT *, prefix || '/k' || k || '/:kiln/heat' AS path, ['PUT'] AS methods, 5 AS line_number,
+    ([NULL, 'requireLogin', 'jwtCheck({ aud: ''kiln'' })'])[k // 3 % 3 + 1] AS hit FROM cust WHERE k % 3 = 0
   UNION ALL
-  SELECT *, prefix || '/c' || k || '/things/:id', ['POST'], 8, 'auth(''manage'', [1, 2])' FROM cust
+  SELECT *, prefix || '/k' || k || '/glazes', ['GET'], 9, NULL FROM cust WHERE k % 3 = 0
   UNION ALL
-  SELECT *, prefix || '/c' || k || '/things/:id', ['GET'], 8, NULL FROM cust
+  SELECT *, prefix || '/k' || k || '/glazes', ['DELETE'], 9, 'ensureLoggedIn' FROM cust WHERE k % 3 = 0
   UNION ALL
-  SELECT * REPLACE (NULL AS mounted), '/c' || k || '/any',
-    CASE k % 4 WHEN 0 THEN ['GET', 'POST', 'PUT', 'DELETE', 'PATCH'] WHEN 1 THEN ['PUT']
-               WHEN 2 THEN ['DELETE'] ELSE ['OPTIONS'] END, 13, NULL FROM cust),
+  SELECT *, prefix || '/k' || k || '/ash', ['GET', 'POST', 'PUT', 'DELETE', 'PATCH'], 3, NULL
+  FROM cust WHERE k % 3 = 1
+  UNION ALL
+  SELECT *, prefix || '/k' || k || '/clay/:lot', ['PATCH'], 4, 'protectLot()' FROM cust WHERE k % 3 = 1
+  UNION ALL
+  SELECT *, prefix || '/k' || k || '/clay/:lot', ['POST'], 4, NULL FROM cust WHERE k % 3 = 1
+  UNION ALL
+  SELECT * REPLACE (NULL AS mounted), '/k' || k || '/any',
+    [(['OPTIONS', 'GET', 'DELETE', 'PATCH'])[k % 4 + 1]], 2, NULL FROM cust WHERE k % 3 = 2
+  UNION ALL
+  SELECT *, prefix || '/k' || k || '/fire', ['POST'], 3, 'passport.authenticate("bearer")' FROM cust WHERE k % 3 = 2),
 js AS (
   SELECT repo, path, unnest(methods) AS method, mounted IS NOT NULL OR hit IS NOT NULL AS auth_required,
     nullif(concat_ws('; ', mounted, 'inline middleware: ' || hit), '') AS auth_info,
@@ -586,33 +615,105 @@ FROM listed""",
 
 # --- remediation ------------------------------------------------------------------
 
-_GUARD = "dependencies=[Depends(verify_token)])"
-ORACLE["remedy_edits"] = _with(
-    _PY,
-    f"""flagged AS (
-  SELECT repo, path, method, framework, caller, what,
+_GUARD = ", dependencies=[Depends(verify_token)])"
+_EDITS = f"""flagged AS (
+  SELECT repo, path, method, framework, caller, what, k, size,
     CASE WHEN source_file LIKE '%7.py' THEN source_file || '.gone' ELSE source_file END AS source_file,
     CASE WHEN source_file LIKE '%3.py' THEN line_number + 1000 ELSE line_number END AS line_number,
     CASE WHEN source_file LIKE '%7.py' THEN 'generic' WHEN source_file LIKE '%3.py' THEN 'out_of_bounds'
-         ELSE 'edit' END AS status
+         ELSE 'edit' END AS status,
+    CASE k % 3 WHEN 0 THEN size % 4 = 1 OR size % 3 <> 0 WHEN 1 THEN size % 4 = 0 OR size % 3 <> 0 END AS imported
   FROM py WHERE NOT auth_required),
 edits AS (
-  SELECT *, 0 AS seq, 'replace' AS op, 6 AS at_line,
-    '@' || caller || '.get("/items/{{item_id}}")' AS old,
-    '@' || caller || '.get("/items/{{item_id}}", {_GUARD}' AS new
-  FROM flagged WHERE status = 'edit' AND what = 'read'
+  SELECT *, 0 AS seq, 'insert_before' AS op, 1 AS at_line, NULL AS old,
+    CASE framework WHEN 'Flask' THEN 'from flask_jwt_extended import jwt_required'
+      ELSE 'from fastapi import Depends' END AS new
+  FROM flagged WHERE status = 'edit' AND NOT coalesce(imported, false)
   UNION ALL
-  SELECT *, 0, 'replace', 14, '@' || caller || '.route("/legacy/<int:id>", methods=("GET", "POST"))',
-    '@' || caller || '.route("/legacy/<int:id>", methods=("GET", "POST"), {_GUARD}'
-  FROM flagged WHERE status = 'edit' AND what = 'legacy' AND framework = 'FastAPI'
+  SELECT * EXCLUDE (at_line, old), CASE WHEN imported THEN 0 ELSE 1 END, 'replace', at_line, old || ')', old || '{_GUARD}'
+  FROM (
+    SELECT *, CASE what WHEN 'close' THEN 16 WHEN 'rota' THEN 7 ELSE 11 END AS at_line,
+      '@' || caller || CASE what WHEN 'close' THEN '.delete("/valves/{{valve}}"'
+        WHEN 'rota' THEN '.api_route(path="/rota/", methods=["get", "Head"]' ELSE '.get("/rota/{{day}}/"' END AS old
+    FROM flagged
+    WHERE status = 'edit' AND (what = 'day' OR what IN ('close', 'rota') AND size % 3 = 0))
+  UNION ALL
+  SELECT *, 1, 'insert_after', CASE what WHEN 'soil' THEN 7 ELSE 13 END, NULL, '@jwt_required()'
+  FROM flagged WHERE status = 'edit' AND framework = 'Flask')"""
+_FLAGGED_KEY = "repo, source_file, line_number, method, path"
+ORACLE["remedy_edits"] = _with(
+    _PY,
+    _EDITS,
+    select=f"""SELECT {_FLAGGED_KEY}, framework, status, seq, op, at_line, old, new FROM edits
+UNION ALL SELECT {_FLAGGED_KEY}, framework, status, NULL, NULL, NULL, NULL, NULL
+FROM flagged ANTI JOIN edits USING ({_FLAGGED_KEY})""",
+)
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _python_lines() -> str:
+    """The lines of every module, as the derived input has them."""
+    shapes = ", ".join(_text(t) for t in (PYTHON_VALVES, PYTHON_ROTA, PYTHON_PLOTS))
+    filled = f"([{shapes}])[k % 3 + 1]"
+    for name, options, every in (
+        ("param", PARAMS, 4), ("named", NAMED, 4), ("deps", PYTHON_DEPENDENCIES, 3), ("guard", PYTHON_GUARDS, 2),
+    ):
+        listed = ", ".join(_text(o) for o in options)
+        filled = f"replace({filled}, '%{name}%', ([{listed}])[size % {every} + 1])"
+    for name, value in (("v", "CAST(k % 5 AS VARCHAR)"), ("kind", "kind[2:]"), ("k", "CAST(k AS VARCHAR)")):
+        filled = f"replace({filled}, '%{name}%', {value})"
+    return f"""files AS (SELECT repo, source_file, string_split(rtrim({filled}, chr(10)), chr(10)) AS body FROM modules),
+file_lines AS (
+  SELECT repo, source_file, unnest(body) AS text, generate_subscripts(body, 1) AS n, len(body) AS n_lines FROM files)"""
+
+
+# Old lines near a change are kept; those in a row form a hunk; both sides are counted.
+ORACLE["remedy_diff"] = _with(
+    _PY,
+    _EDITS,
+    _python_lines(),
+    f"""near AS (
+  SELECT DISTINCT e.repo, e.source_file, e.line_number, e.method, e.path, l.n, l.text
+  FROM edits e JOIN file_lines l ON l.repo = e.repo AND l.source_file = e.source_file
+    AND l.n BETWEEN e.at_line - CASE op WHEN 'insert_after' THEN 2 ELSE 3 END
+      AND e.at_line + CASE op WHEN 'insert_before' THEN 2 ELSE 3 END),
+islands AS (
+  SELECT *, n - row_number() OVER (PARTITION BY {_FLAGGED_KEY} ORDER BY n) AS hunk FROM near),
+diff_lines AS (
+  SELECT {_FLAGGED_KEY}, hunk, n, CASE WHEN r.old IS NULL THEN 1 ELSE 0 END AS slot,
+    CASE WHEN r.old IS NULL THEN ' ' ELSE '-' END || text AS line, 1 AS olds, CASE WHEN r.old IS NULL THEN 1 ELSE 0 END AS news
+  FROM islands LEFT JOIN (SELECT {_FLAGGED_KEY}, at_line AS n, old FROM edits WHERE op = 'replace') r
+    USING ({_FLAGGED_KEY}, n)
   UNION ALL
-  SELECT *, 0, 'insert_before', 1, NULL, 'from flask_jwt_extended import jwt_required'
-  FROM flagged WHERE status = 'edit' AND what = 'legacy' AND framework = 'Flask'
+  SELECT {_FLAGGED_KEY}, hunk, n, CASE op WHEN 'insert_before' THEN 0.5 ELSE 2 END, '+' || new, 0, 1
+  FROM islands JOIN (SELECT {_FLAGGED_KEY}, at_line AS n, op, new FROM edits) e USING ({_FLAGGED_KEY}, n)),
+sums AS (
+  SELECT {_FLAGGED_KEY}, hunk, min(n) AS first, sum(olds) AS olds, sum(news) AS news
+  FROM diff_lines GROUP BY {_FLAGGED_KEY}, hunk),
+counted AS (
+  SELECT *, coalesce(sum(news - olds) OVER (PARTITION BY {_FLAGGED_KEY} ORDER BY hunk
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS moved FROM sums),
+parts AS (
+  SELECT {_FLAGGED_KEY}, hunk, n, slot, line FROM diff_lines
   UNION ALL
-  SELECT *, 1, 'insert_after', 14, NULL, '@jwt_required()'
-  FROM flagged WHERE status = 'edit' AND what = 'legacy' AND framework = 'Flask'
+  SELECT {_FLAGGED_KEY}, hunk, 0, 0, '@@ -' || first || CASE olds WHEN 1 THEN '' ELSE ',' || olds END
+    || ' +' || (first + moved) || CASE news WHEN 1 THEN '' ELSE ',' || news END || ' @@' FROM counted
   UNION ALL
-  SELECT *, NULL, NULL, NULL, NULL, NULL FROM flagged WHERE status <> 'edit' OR what = 'bulk')""",
-    select="SELECT repo, source_file, line_number, method, path, framework, status, seq, op, at_line, old, new "
-    "FROM edits",
+  SELECT DISTINCT {_FLAGGED_KEY}, -1000000, v.n, 0, v.sign || source_file
+  FROM edits, (VALUES (1, '--- a/'), (2, '+++ b/')) v(n, sign)),
+others AS (
+  SELECT {_FLAGGED_KEY}, status, CASE status
+    WHEN 'generic' THEN ['--- a/' || source_file, '+++ b/' || source_file,
+      '@@ -' || line_number || ',3 +' || line_number || ',4 @@',
+      '# Generic Remediation Patch for ' || framework || ' Endpoint', '# Target: ' || method || ' ' || path,
+      '# Action: Inject authentication token validation controls.']
+    WHEN 'out_of_bounds' THEN ['# Error: Line number ' || line_number || ' is out of bounds for ' || source_file]
+    ELSE [NULL] END AS body
+  FROM flagged ANTI JOIN edits USING ({_FLAGGED_KEY}))""",
+    select=f"""SELECT {_FLAGGED_KEY}, 'edit' AS status,
+  row_number() OVER (PARTITION BY {_FLAGGED_KEY} ORDER BY hunk, n, slot) - 1 AS at, line FROM parts
+UNION ALL SELECT {_FLAGGED_KEY}, status, generate_subscripts(body, 1) - 1, unnest(body) FROM others""",
 )

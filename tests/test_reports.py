@@ -2,6 +2,7 @@
 
 import difflib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,10 +119,10 @@ def test_remediation_diffs(project):
     files, _, matches = project
     diffs = {r.path: r.diff for r in remediation(matches.filter("NOT auth_required"), files).collect()}
     # The first file imports Depends already: only the decorator changes.
-    lines = TIDES.splitlines(keepends=True)
+    lines = TIDES.splitlines()
     changed = [*lines]
-    at = lines.index('@tides.patch("/{port}")\n')
-    changed[at] = '@tides.patch("/{port}", dependencies=[Depends(verify_token)])\n'
+    at = lines.index('@tides.patch("/{port}")')
+    changed[at] = '@tides.patch("/{port}", dependencies=[Depends(verify_token)])'
     want = difflib.unified_diff(lines, changed, "a/a.py", "b/a.py", lineterm="")
     assert diffs["/tides/:port"] == "\n".join(want)
     # The second names the guard already: one line below the decorator.
@@ -140,7 +141,7 @@ def test_remediation_inserts_imports_on_the_decorator_line(spark, make_files):
         "repo string, source_file string, line_number int, method string, path string, "
         "framework string, language string",
     )
-    diffs = {(r.source_file, r.line_number): r.diff for r in remedy.remedy_diffs(rows, files).collect()}
+    diffs = {(r.source_file, r.line_number): r.diff for r in remediation(rows, files).collect()}
     x = [line for line in diffs["x.py", 4].splitlines() if line]
     assert "+from fastapi import Depends" in x
     assert "+@app.get(dependencies=[Depends(verify_token)])" in x and "-@app.get()" in x
@@ -150,6 +151,38 @@ def test_remediation_inserts_imports_on_the_decorator_line(spark, make_files):
     assert "# Target: PUT /g" in diffs["gone.py", 3]
 
 
+def test_hunks_match_a_plain_diff(spark):
+    rng = random.Random(6)
+    cases = []
+    for case in range(120):
+        n = rng.randrange(1, 40)
+        places = sorted(rng.sample(range(1, n + 1), min(n, rng.randrange(1, 5))))
+        edits = [(rng.choice(["insert_before", "replace", "insert_after"]), at) for at in places]
+        # Neighbouring places would let a plain diff pair the new lines otherwise.
+        edits = [e for k, e in enumerate(edits) if k == 0 or places[k] > places[k - 1] + 1]
+        edits = [(op, at, f"line {at}" if op == "replace" else None, f"new {at}") for op, at in edits]
+        rng.shuffle(edits)
+        cases.append((case, n, edits))
+    planned = spark.createDataFrame(
+        cases, "id int, n_lines int, edits array<struct<op: string, at_line: int, old: string, new: string>>"
+    )
+    hunks = planned.withColumn("hunks", remedy._hunks(F.col("edits"), F.col("n_lines")))
+    found = hunks.select("id", remedy._diff_lines(F.lit("f"), F.col("hunks")).alias("e")).collect()
+    entries = {r.id: r.e for r in found}
+    for case, n, edits in cases:
+        old = [f"line {k}" for k in range(1, n + 1)]
+        new = []
+        for k, line in enumerate(old, 1):
+            here = {op: text for op, at, _, text in edits if at == k}
+            new += [here["insert_before"]] if "insert_before" in here else []
+            new += [here.get("replace", line)]
+            new += [here["insert_after"]] if "insert_after" in here else []
+        got = [
+            e.text if e.sign in "h@" else e.sign + (e.text or f"line {e.old_line}") for e in entries[case]
+        ]
+        assert got == list(difflib.unified_diff(old, new, "a/f", "b/f", lineterm=""))
+
+
 LAYERS = (
     "app string, layer_id bigint, parent_id bigint, pos int, kind string, path string, "
     "regexp_source string, fast_slash boolean, methods array<string>, name string, "
