@@ -14,6 +14,7 @@ import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import held_out, small_batches
 
@@ -32,7 +33,10 @@ PLAIN = bytes(
     b if b > 127 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)
 )
 
-SCHEMA = "lang_pred string, score double, accepted boolean"
+FOUND = [
+    T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+    T.StructField("accepted", T.BooleanType()),
+]
 
 
 def dictionaries(labelled: DataFrame) -> dict[str, bytes]:
@@ -115,13 +119,13 @@ def identify(docs: DataFrame, raw: dict[str, bytes]) -> DataFrame:
     best; below ``MIN_MARGIN`` the text is not ``accepted`` (a single label always is).
     Only the text is looked at. Ties go to the label that sorts first. Null texts, texts
     without a letter, and any text where ``raw`` is empty are ``und`` with score 0.
-    Columns of ``docs`` with the three names are replaced. Each row is judged alone, so
+    Columns of ``docs`` may have any names; those with the three names are replaced. Each row is judged alone, so
     repeated rows get equal results and an empty table gives none.
     """
     small_batches(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("lang_pred", "score", "accepted")]
     slim = docs.select(F.struct(*[docs[f"`{c}`"] for c in own]).alias("row"))
-    schema = slim.schema.simpleString()[len("struct<") : -1].replace("row:", "row ", 1)
+    schema = T.StructType([slim.schema["row"], *FOUND])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(raw)
@@ -139,7 +143,7 @@ def identify(docs: DataFrame, raw: dict[str, bytes]) -> DataFrame:
                 names=["row", "lang_pred", "score", "accepted"],
             )
 
-    out = slim.mapInArrow(run, f"{schema}, {SCHEMA}")
+    out = slim.mapInArrow(run, schema)
     return out.select("row.*", "lang_pred", "score", "accepted")
 
 

@@ -11,13 +11,15 @@ free places, which makes the counts differ by one at most.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, staged
 
 SHARDS = 16
-ROUNDS = 2 * SHARDS  # at most; a large group fills a shard a round, and rounds end when nothing moves
+LARGE = 1000  # a group with more than this part of all rows is large, so fewer than LARGE are
 BUCKETS = 512  # hash buckets in which a shard's applicants are counted
 PULLS = 8  # classes of strength, by powers of two of the members already there
 
@@ -54,7 +56,7 @@ def propagate(nodes: DataFrame, room: dict[int, int], turn: int = 0) -> DataFram
     keep theirs.
     """
     limits = F.create_map(*[F.lit(int(x)) for pair in sorted(room.items()) for x in pair])
-    held = nodes.groupBy("grp", "shard").agg(F.count("*").alias("n"))
+    held = nodes.groupBy("grp", "shard", "large").agg(F.count("*").alias("n"))
     group = Window.partitionBy("grp")  # a row per shard at most
     # A shard that can take the whole group comes before one that cannot.
     fits = limits[F.col("shard")] >= F.sum("n").over(group) - F.col("n")
@@ -69,12 +71,17 @@ def propagate(nodes: DataFrame, room: dict[int, int], turn: int = 0) -> DataFram
             F.struct(F.col("n"), -F.col("shard")) < F.struct(F.col("best.n"), F.col("best.s"))
         ))
         .select(
-            "grp", "shard", "target", F.col("best.fits").alias("whole"),
+            "grp", "shard", "large", "target", F.col("best.fits").alias("whole"),
             F.least(F.log2(F.col("best.n")).cast("int"), F.lit(PULLS - 1)).alias("pull"),
         )
     )
     # A group that fits applies as one; of a larger one rows apply by themselves.
-    asked = nodes.join(pulls, ["grp", "shard"], "left").withColumn(
+    few = F.broadcast(pulls.filter("large").drop("large"))  # a row per large group and shard
+    on = ["grp", "shard"]
+    met = nodes.filter("large").join(few, on, "left").unionByName(
+        nodes.filter("not large").join(pulls.filter("not large").drop("large"), on, "left")
+    )
+    asked = met.withColumn(
         "bucket",
         F.pmod(
             F.when(F.col("whole"), F.xxhash64("grp", F.lit(turn)))
@@ -104,14 +111,33 @@ def propagate(nodes: DataFrame, room: dict[int, int], turn: int = 0) -> DataFram
     )
 
 
-def shard(docs: DataFrame, *, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def linked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``grp`` occurs again, with ``large``, and the rest.
+
+    Large groups are so few that their names are broadcast; any other group is small
+    enough for one task.
+    """
+    copies = rows.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1")
+    copies = copies.withColumn("large", F.col("n") * LARGE > rows.count()).drop("n")
+    names = F.broadcast(copies.filter("large").select("grp"))
+    others = rows.join(names, "grp", "left_anti")
+    small = copies.filter("not large").select("grp")
+    found = rows.join(names, "grp", "left_semi").withColumn("large", F.lit(True)).unionByName(
+        others.join(small, "grp", "left_semi").withColumn("large", F.lit(False))
+    )
+    return found, others.join(small, "grp", "left_anti").withColumn("large", F.lit(False))
+
+
+def shard(docs: DataFrame, *, shards: int = SHARDS) -> DataFrame:
     """Place each row of ``docs(doc_id, text)`` into one of ``shards`` shards.
 
     Law ``rows``: the shards' counts differ by one at most. Groups are rows with equal
     text (null counts as the empty text); a group stays together unless the quota
-    splits it. Returns ``doc_id``, ``size`` (UTF-8 bytes plus one), ``text_crc32``,
+    splits it. Rounds go on until no row moves: a group that fits moves at once and for
+    good, and any other move goes to a shard that holds at least as much of the group, so
+    the sum of squares of a group's holdings grows with it and has a bound. Returns ``doc_id``, ``size`` (UTF-8 bytes plus one), ``text_crc32``,
     ``law``, ``shard``, ``slot`` (gapless from 0) and ``grown_shard`` (null). Repeated
-    rows are placed each, fewer rows than shards leave shards empty, an empty table
+    rows are placed each, long texts count by their hash and length only, fewer rows than shards leave shards empty, an empty table
     gives no rows, and extra columns are ignored.
     """
     spark = docs.sparkSession
@@ -124,17 +150,18 @@ def shard(docs: DataFrame, *, shards: int = SHARDS, rounds: int = ROUNDS) -> Dat
         F.monotonically_increasing_id().alias("uid"),
     )
     rows = staged(rows.withColumn("h", F.xxhash64("id", "grp")), "shard-rows")
-    copies = rows.groupBy("grp").count().filter("count > 1").select("grp")
     start = rows.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
-    linked = start.join(copies, "grp", "left_semi").withColumn("loose", F.lit(0))
-    loose = start.join(copies, "grp", "left_anti").withColumn("loose", F.lit(1))
-    placed = staged(linked.unionByName(loose), "shard-start")
+    copies, single = linked(start)
+    placed = staged(
+        copies.withColumn("loose", F.lit(0)).unionByName(single.withColumn("loose", F.lit(1))),
+        "shard-start",
+    )
     counts = by_shard(placed)
     total = sum(counts.values())
     fixed = by_shard(placed.filter("loose = 1"))
     nodes = placed.filter("loose = 0")
     now = by_shard(nodes)
-    for turn in range(rounds):
+    for turn in count():
         # Rows without links give way, so only linked ones use up a quota.
         room = {s: max(0, total // shards - now.get(s, 0)) for s in range(shards)}
         nodes = staged(propagate(nodes, room, turn), "shard-round")

@@ -384,7 +384,9 @@ def test_language(spark, docs, rows, nothing):
     frame = spark.createDataFrame([*texts, (999, "no label", None)], "doc_id long, text string, lang string")
     raw = language.dictionaries(language.training_rows(frame))
     assert set(raw) == {"xx", "yy"}
-    found = language.identify(frame.withColumn("row", F.lit(1)), raw).collect()
+    odd = frame.withColumn("row", F.lit(1)).withColumn("a b", F.lit(2)).withColumn("x,y:z", F.lit(3))
+    assert language.identify(odd, raw).columns[:6] == odd.columns
+    found = language.identify(odd, raw).collect()
     assert all(r.lang_pred == r.lang and r.accepted and 0 <= r.score <= 1 for r in found if r.lang)
     plain = {r.doc_id: r for r in language.identify(docs, raw).collect()}
     assert [plain[i].lang_pred for i in (6, 7, 8)] == ["und"] * 3
