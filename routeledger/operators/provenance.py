@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.history import commit_time, short_sha
 from .joins import lookup, stage
+from .renames import renames
 
 # The window used when none is given.
 DEFAULT_WINDOW = "1 week ago"
@@ -267,10 +268,20 @@ def commits_since_date(commits: DataFrame, head: DataFrame, since: Column) -> Da
     return reached.join(recent, ["repo", "sha"], "left_semi")
 
 
-def added_since_ref(head_files: DataFrame, baseline_files: DataFrame) -> DataFrame:
-    """``(repo, path)`` present at the head and absent at the baseline."""
+def added_since_ref(
+    head_files: DataFrame, baseline_files: DataFrame, blobs: DataFrame | None = None
+) -> DataFrame:
+    """``(repo, path)`` present at the head and absent at the baseline.
+
+    Where the file lists name their contents (column ``blob``), a file moved from a path
+    that is gone counts as renamed, not as added; see ``renames``.
+    """
     keys = ["repo", "path"]
-    return head_files.select(*keys).join(baseline_files.select(*keys), keys, "left_anti")
+    new = head_files.select(*keys).join(baseline_files.select(*keys), keys, "left_anti")
+    if "blob" not in head_files.columns or "blob" not in baseline_files.columns:
+        return new
+    moved = renames(head_files, baseline_files, blobs).select(*keys)
+    return new.join(moved, keys, "left_anti")
 
 
 def added_in_commits(file_changes: DataFrame, window: DataFrame) -> DataFrame:

@@ -27,7 +27,8 @@ def window_commits(history: dict, since: str | None) -> tuple[DataFrame, DataFra
     """The commits and added files of the window ``since`` (a ref name or a time).
 
     ``history`` holds the tables commits, refs, blame, file_changes and, for windows
-    from a ref, ref_files ``(repo, ref, path)``. Each repo is resolved by itself: from
+    from a ref, ref_files ``(repo, ref, path)``; with a column ``blob`` there, and blobs
+    ``(repo, blob, lines)``, renamed files do not count as added. Each repo is resolved by itself: from
     the ref of that name where it has one, else from the time. Repos for which it is
     neither have no window and are listed by ``window_rejects``.
     """
@@ -49,7 +50,9 @@ def window_commits(history: dict, since: str | None) -> tuple[DataFrame, DataFra
     if (files := history.get("ref_files")) is not None:
         at_head = files.filter(F.col("ref") == "HEAD").join(named, "repo", "left_semi")
         added = added.unionByName(
-            provenance.added_since_ref(at_head, files.filter(F.col("ref") == since))
+            provenance.added_since_ref(
+                at_head, files.filter(F.col("ref") == since), history.get("blobs")
+            )
         )
     return from_ref.unionByName(from_date), added
 

@@ -605,6 +605,62 @@ def ref_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# What became of a file between ``v1`` and HEAD, by the part's key: it stayed, moved as it
+# was, moved with two lines changed, made way for another text elsewhere, is one of many
+# equal files that moved to new folders under one name, or came anew.
+FATES = ["stayed", "stayed", "moved", "edited", "replaced", "stub", "new", "stub", "moved", "newstub"]
+
+
+def _fate(key: Column) -> Column:
+    return pick(key % 10, FATES)
+
+
+def moving_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``(repo, ref, path, blob, lines)``: all parts' files at ``v1`` and at HEAD."""
+    k = F.col("p_partkey")
+    key = k.cast("string")
+    fate = _fate(k)
+    at = F.explode(
+        F.when(fate.isin("new", "newstub"), F.array(F.lit("HEAD")))
+        .otherwise(F.array(F.lit("v1"), F.lit("HEAD")))
+    )
+    head = F.col("ref") == "HEAD"
+    place = F.when(
+        fate.isin("stub", "newstub"), F.concat(F.when(head, "z").otherwise("a"), key, F.lit("/index.py"))
+    ).otherwise(
+        F.concat(
+            F.when(head & (fate != "stayed"), "svc/").otherwise("app/"),
+            F.when(head & (fate == "edited"), "v2_").otherwise("part_"), key, F.lit(".py"),
+        )
+    )
+    own = [
+        F.concat(F.lit(f"{word} = "), key, F.lit(" "), F.col(column).cast("string"))
+        for word, column in (("name", "p_name"), ("kind", "p_type"), ("size", "p_size"), ("brand", "p_brand"),
+                             ("price", "p_retailprice"), ("label", "p_name"))
+    ]
+    changed = [
+        F.when(head & (fate == "replaced") & F.lit(n < 5) | head & (fate == "edited") & F.lit(n < 2),
+               F.concat(F.lit("# new "), line)).otherwise(line)
+        for n, line in enumerate(own)
+    ]
+    body = F.when(fate.isin("stub", "newstub"), F.array(F.lit("# index"))).otherwise(
+        F.array(F.lit("import os"), *changed, F.lit("os.sync()"))
+    )
+    rows = table(spark, folder, "part").select("*", at.alias("ref"))
+    return rows.select(
+        F.concat(F.lit("h"), (k % 3).cast("string")).alias("repo"), "ref", place.alias("path"),
+        F.sha1(F.array_join(body, "\n").cast("binary")).alias("blob"), body.alias("lines"),
+    )
+
+
+def blobs(files: DataFrame) -> DataFrame:
+    """``(repo, blob, lines)``: each content once, its lines as hashes."""
+    hashes = F.transform("lines", lambda line: F.xxhash64(line))
+    return files.groupBy("repo", "blob").agg(F.first("lines").alias("lines")).select(
+        "repo", "blob", hashes.alias("lines")
+    )
+
+
 def history_endpoints(spark: SparkSession, folder: str) -> DataFrame:
     """Seven endpoints per part, one per line, plus a runtime row at line 0."""
     k = F.col("p_partkey")

@@ -501,6 +501,25 @@ ORACLE["prov_date_window"] = _with(_HISTORY, select="SELECT repo, sha FROM since
 ORACLE["prov_ref_window"] = _with(_HISTORY, select="SELECT repo, sha FROM since_ref")
 ORACLE["prov_added"] = """
 SELECT 'h' || (p_partkey % 3) AS repo, 'svc/api/part_' || p_partkey || '.py' AS path FROM part WHERE p_size > 30"""
+# Equal stubs pair by the order of their paths; the surplus of new ones stays added.
+ORACLE["prov_added_renamed"] = """
+WITH p AS (
+  SELECT 'h' || (p_partkey % 3) AS repo, p_partkey AS k,
+    (['stayed','stayed','moved','edited','replaced','stub','new','stub','moved','newstub'])[p_partkey % 10 + 1] AS fate
+  FROM part),
+now AS (
+  SELECT repo, 'z' || k || '/index.py' AS path, row_number() OVER (PARTITION BY repo ORDER BY 'z' || k || '/index.py') AS n
+  FROM p WHERE fate IN ('stub', 'newstub')),
+before AS (
+  SELECT repo, 'a' || k || '/index.py' AS old_path,
+    row_number() OVER (PARTITION BY repo ORDER BY 'a' || k || '/index.py') AS n
+  FROM p WHERE fate = 'stub')
+SELECT repo, path, CASE WHEN old_path IS NULL THEN 'added' ELSE 'renamed' END AS change, old_path,
+  CASE WHEN old_path IS NOT NULL THEN 1.0::DOUBLE END AS score
+FROM now LEFT JOIN before USING (repo, n)
+UNION ALL SELECT repo, 'svc/part_' || k || '.py', 'renamed', 'app/part_' || k || '.py', 1.0::DOUBLE FROM p WHERE fate = 'moved'
+UNION ALL SELECT repo, 'svc/v2_' || k || '.py', 'renamed', 'app/part_' || k || '.py', 0.75::DOUBLE FROM p WHERE fate = 'edited'
+UNION ALL SELECT repo, 'svc/part_' || k || '.py', 'added', NULL, NULL FROM p WHERE fate IN ('new', 'replaced')"""
 ORACLE["prov_added_date"] = _with(
     _HISTORY, _FILES,
     select="SELECT repo, 'svc/api/part_' || p || '.py' AS path FROM born JOIN since_date USING (k)",

@@ -18,6 +18,7 @@ from ..operators import (
     provenance,
     python_routes,
     remedy,
+    renames,
     report,
 )
 from ..operators.joins import shared_folder, stage
@@ -499,6 +500,19 @@ def prov_added(spark, folder):
     )
 
 
+@query
+def prov_added_renamed(spark, folder):
+    """All files at HEAD only: moved, with whence and how alike, or truly added."""
+    files = corpus.moving_files(spark, folder)
+    now, then = files.filter("ref = 'HEAD'"), files.filter("ref = 'v1'")
+    pairs = renames.renames(now, then, corpus.blobs(files))
+    fresh = now.select("repo", "path").join(then.select("repo", "path"), ["repo", "path"], "left_anti")
+    return fresh.join(pairs, ["repo", "path"], "left").select(
+        "repo", "path", F.when(F.col("old_path").isNull(), "added").otherwise("renamed").alias("change"),
+        "old_path", F.round("score", 6).alias("score"),
+    )
+
+
 @query
 def prov_added_date(spark, folder):
     _, added = batch.window_commits(corpus.history(spark, folder), _SINCE)
