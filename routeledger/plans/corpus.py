@@ -55,6 +55,21 @@ def file_paths(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+TREE_FOLDERS = ["src", "src/tests", "lib/core", "lib/build/x", ".git/hooks", "docs", "out"]
+TREE_SUFFIXES = [".py", ".java", ".TS", ".md", ".js"]
+
+
+def document_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """``(rel_path, content)``: a file per document, some in excluded folders or no sources."""
+    docs = table(spark, folder, "documents")
+    k = F.col("doc_id")
+    path = F.concat(
+        F.lower("source"), F.lit("/"), pick(k % 7, TREE_FOLDERS), F.lit("/d"), k.cast("string"),
+        pick(k % 5, TREE_SUFFIXES),
+    )
+    return docs.select(path.alias("rel_path"), F.col("text").alias("content"))
+
+
 def raw_paths(spark: SparkSession, folder: str) -> DataFrame:
     """Page URLs as route paths in all the spellings that normalise."""
     pages = table(spark, folder, "pages")

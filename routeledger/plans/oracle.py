@@ -46,6 +46,13 @@ def _kept(excluded: str) -> str:
 ORACLE["scan_filter"] = _with(
     _PATHS, _kept(_EXCLUDED), select="SELECT repo, rel_path FROM kept WHERE language IS NOT NULL"
 )
+ORACLE["tree_scan"] = """
+SELECT lower(source) AS repo,
+  (['src', '', 'lib/core', '', '', 'docs', ''])[doc_id % 7 + 1] || '/d' || doc_id
+    || (['.py', '.java', '.TS', '.md', '.js'])[doc_id % 5 + 1] AS rel_path,
+  (['python', 'java', 'javascript', '', 'javascript'])[doc_id % 5 + 1] AS language,
+  length(text) AS n_chars, md5(text) AS digest
+FROM documents WHERE doc_id % 7 IN (0, 2, 5) AND doc_id % 5 <> 3 AND text IS NOT NULL AND source IS NOT NULL"""
 ORACLE["scan_filter_override"] = _with(
     _PATHS, _kept("['src', 'out']"),
     select="SELECT repo, rel_path FROM kept WHERE language IS NOT NULL",

@@ -23,7 +23,7 @@ from ..operators import (
 )
 from ..operators.joins import shared_folder, stage
 from ..operators.logical_lines import logical_lines
-from ..sources import config, files, history, openapi, runtime
+from ..sources import config, files, history, openapi, runtime, trees
 from ..sources.sinks import append_documents
 from . import batch, corpus
 from .scan import scan, scan_errors, staged_js_lines, staged_syntax
@@ -49,6 +49,18 @@ def scan_filter(spark, folder):
     return files.select_sources(corpus.file_paths(spark, folder)).select("repo", "rel_path")
 
 
+@query
+def tree_scan(spark, folder):
+    """Whole documents written as a tree of files, then read back without excluded folders."""
+    root = f"{shared_folder(spark).rstrip('/')}/tree-{uuid.uuid4().hex}"
+    trees.write_files(corpus.document_tree(spark, folder), root)
+    found = files.read_tree(spark, root)
+    return found.select(
+        "repo", "rel_path", files.language_of(F.col("rel_path")).alias("language"),
+        F.length("content").alias("n_chars"), F.md5("content").alias("digest"),
+    )
+
+
 @query
 def scan_filter_override(spark, folder):
     chosen = files.select_sources(corpus.file_paths(spark, folder), ["src", "out"])

@@ -59,30 +59,37 @@ def _source_glob() -> str:
     return "*.{" + ",".join(each) + "}"
 
 
-def read_tree(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
+def read_tree(
+    spark: SparkSession, root: str, repo: str | None = None, excluded: list[str] | None = None
+) -> DataFrame:
     """The source files of a directory tree as ``(repo, rel_path, content)``.
 
-    Other files are never opened. Trees suit single checkouts; keep a fleet's files as a
-    Parquet table of these columns, as listing millions of files is slow. Without ``repo`` the first directory level names the repository. Files that are
-    not UTF-8 have null content and yield no endpoints (see ``unreadable``).
+    Excluded folders are never listed and other files never opened (see ``trees``). Keep a
+    fleet's files as a Parquet table of these columns, as a listing asks for every folder.
+    Without ``repo`` the first directory level names the repository. Files that are not
+    UTF-8 have null content and yield no endpoints (see ``unreadable``). A store that only
+    Spark reads is listed by Spark, which goes into every folder.
     """
-    raw = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", _source_glob()).load(root)
-    )
-    base = root.rstrip("/")
-    inside = F.expr("substring(path, position({base} IN path) + length({base}))".format(
-        base="'" + (base + "/").replace("\\", "\\\\").replace("'", "\\'") + "'"
-    ))
+    from . import trees
+
+    names = EXCLUDED_DIRECTORIES if excluded is None else excluded
+    if trees.reachable(root):
+        found = trees.read_files(trees.list_tree(spark, root, names), root)
+        inside, content = F.col("rel_path"), F.col("content")
+    else:
+        found = (
+            spark.read.format("binaryFile").option("recursiveFileLookup", True)
+            .option("pathGlobFilter", _source_glob()).load(root)
+        )
+        base = F.lit(root.rstrip("/") + "/")
+        inside = F.substr("path", F.instr("path", base) + F.length(base))
+        found = found.filter(~in_excluded_directory(inside, names))
+        content = F.expr("try_validate_utf8(CAST(content AS STRING))")
     if repo is None:
         name, rel = F.substring_index(inside, "/", 1), F.regexp_replace(inside, "^[^/]*/", "")
     else:
         name, rel = F.lit(repo), inside
-    return raw.select(
-        name.alias("repo"),
-        rel.alias("rel_path"),
-        F.expr("try_validate_utf8(CAST(content AS STRING))").alias("content"),
-    )
+    return found.select(name.alias("repo"), rel.alias("rel_path"), content.alias("content"))
 
 
 def unreadable(files: DataFrame) -> DataFrame:
