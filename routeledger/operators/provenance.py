@@ -19,6 +19,9 @@ DEFAULT_WINDOW = "1 week ago"
 # Commits of one repo that a single task may walk (about 30 MB of shas).
 GROUP_LIMIT = 200_000
 
+# Lines of a file that one group of the range join holds.
+RANGE_BIN = 256
+
 _RELATIVE = re.compile(r"^\s*(\d+)\s+(second|minute|hour|day|week|month|year)s?(?:\s+ago)?\s*$")
 
 
@@ -294,6 +297,31 @@ def added_in_commits(file_changes: DataFrame, window: DataFrame) -> DataFrame:
     )
 
 
+def _touched(located: DataFrame, blame: DataFrame) -> DataFrame:
+    """``located`` endpoints with the sha of the range of lines that holds theirs (or null).
+
+    Ranges are cut at multiples of ``RANGE_BIN`` lines, so the join is by equal keys and a
+    long file's ranges are many small groups; a range of a whole file costs a row per bin.
+    """
+    first, last = ("first", "last") if "first" in blame.columns else ("line", "line")
+    spans = blame.select(
+        "repo", F.col("path").alias("_path"), F.col(first).alias("_first"), F.col(last).alias("_last"),
+        F.col("sha").alias("_sha"),
+    )
+    files = located.select("repo", "_path").distinct()
+    near = lookup(spans, files, ["repo", "_path"], "left_semi", spread=["_first"])
+
+    def bin_of(line: Column) -> Column:
+        return F.floor(line / RANGE_BIN).cast("int")
+
+    cut = near.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("_first")), bin_of(F.col("_last")))))
+    at = located.withColumn("_bin", bin_of(F.col("line_number")))
+    keys = ["repo", "_path", "_bin"]
+    inside = F.col("l.line_number").between(F.col("s._first"), F.col("s._last"))
+    same = reduce(Column.__and__, [F.col(f"l.{k}") == F.col(f"s.{k}") for k in keys])
+    return at.alias("l").join(cut.alias("s"), same & inside, "left").select("l.*", "s._sha").drop("_bin")
+
+
 def annotate(
     endpoints: DataFrame,
     blame: DataFrame,
@@ -304,6 +332,9 @@ def annotate(
 ) -> DataFrame:
     """Mark endpoints whose definition line was last touched inside the window.
 
+    ``blame`` holds ranges ``(repo, path, first, last, sha)`` that do not overlap, or a row
+    ``(repo, path, line, sha)`` per line.
+
     ``scan_root`` is the scanned directory inside the repository: one for all, or rows
     ``(repo, scan_root)``, at most one per repo, those without one being scanned at the
     top. Endpoints found at
@@ -319,16 +350,7 @@ def annotate(
         )
     root = F.nullif(F.btrim("_root", F.lit("/")), F.lit(""))
     located = rooted.withColumn("_path", F.concat_ws("/", root, "source_file")).drop("_root")
-    place = ["repo", "_path", "line_number"]
-    lines = blame.select(
-        "repo", F.col("path").alias("_path"), F.col("line").alias("line_number"),
-        F.col("sha").alias("_sha"),
-    )
-    # Blame has a row per source line; only the lines that declare an endpoint go on.
-    declared = located.select(*place).distinct()
-    touched = located.join(
-        lookup(lines, declared, place, "left_semi", spread=["_sha"]), place, "left"
-    )
+    touched = _touched(located, blame)
     # One commit may have touched a third of all lines (an import): spread by file.
     meta = commits.select("repo", F.col("sha").alias("_sha"), "author", "author_time").join(
         window.select("repo", F.col("sha").alias("_sha"), F.lit(True).alias("_in")),

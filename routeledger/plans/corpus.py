@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import normalize_path
+from ..sources import history as history_source
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -590,6 +591,19 @@ def blame_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Each of a part's lines stands for a block of so many lines in the file whose blame is ranges.
+BLOCK_LINES = 12
+
+
+def blame_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """``(repo, path, first, last, sha)``: blocks as blame joins them, a row for a run of one commit."""
+    runs = history_source.blame_ranges(blame_lines(spark, folder))
+    return runs.select(
+        "repo", "path", ((F.col("first") - 1) * BLOCK_LINES + 1).cast("int").alias("first"),
+        (F.col("last") * BLOCK_LINES).cast("int").alias("last"), "sha",
+    )
+
+
 def file_changes(spark: SparkSession, folder: str) -> DataFrame:
     """The first order of a part adds its file, later ones modify it."""
     p = F.col("l_partkey")
@@ -677,19 +691,21 @@ def blobs(files: DataFrame) -> DataFrame:
 
 
 def history_endpoints(spark: SparkSession, folder: str) -> DataFrame:
-    """Seven endpoints per part, one per line, plus a runtime row at line 0."""
-    k = F.col("p_partkey")
+    """Seven endpoints per part, one per block of lines, plus a runtime row at line 0."""
+    k, n = F.col("p_partkey"), F.col("n")
+    within = (n - 1) * BLOCK_LINES + 1 + F.pmod(k + n, F.lit(BLOCK_LINES))
     return table(spark, folder, "part").select(
         F.concat(F.lit("h"), (k % 3).cast("string")).alias("repo"),
         F.concat(F.lit("api/part_"), k.cast("string"), F.lit(".py")).alias("source_file"),
-        F.explode(F.sequence(F.lit(0), F.lit(7))).alias("line_number"),
+        k.alias("p_partkey"),
+        F.explode(F.sequence(F.lit(0), F.lit(7))).alias("n"),
     ).select(
         "repo",
-        F.concat(F.lit("/x/"), F.col("line_number").cast("string")).alias("path"),
+        F.concat(F.lit("/x/"), n.cast("string")).alias("path"),
         F.lit("GET").alias("method"),
-        (F.col("line_number") % 2 == 0).alias("auth_required"),
+        (n % 2 == 0).alias("auth_required"),
         "source_file",
-        "line_number",
+        F.when(n == 0, 0).otherwise(within).cast("int").alias("line_number"),
         F.lit("FastAPI").alias("framework"),
     )
 
@@ -698,7 +714,7 @@ def history(spark: SparkSession, folder: str) -> dict:
     return {
         "commits": commits(spark, folder),
         "refs": refs(spark, folder),
-        "blame": blame_lines(spark, folder),
+        "blame": blame_ranges(spark, folder),
         "file_changes": file_changes(spark, folder),
         "ref_files": ref_files(spark, folder),
     }

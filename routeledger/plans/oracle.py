@@ -504,6 +504,20 @@ _FILES = """mine AS (
       l_orderkey - ((l_orderkey - l_partkey) % 3 + 3) % 3 AS k FROM lineitem)),
 blamed AS (SELECT p, line, max(k) AS k FROM mine GROUP BY p, line),
 born AS (SELECT p, min(k) AS k FROM mine GROUP BY p)"""
+
+
+def _at_line(part: str, n: str) -> str:
+    """The line of a part's n-th endpoint: somewhere in the n-th block of twelve."""
+    return f"CASE WHEN {n} = 0 THEN 0 ELSE ({n} - 1) * 12 + 1 + ({part} + {n}) % 12 END"
+
+
+ORACLE["blame_ranges"] = _with(
+    _HISTORY, _FILES,
+    """apart AS (
+  SELECT p, line, k, line - row_number() OVER (PARTITION BY p, k ORDER BY line) AS run FROM blamed)""",
+    select="SELECT repo, 'svc/api/part_' || p || '.py' AS path, min(line) AS first, max(line) AS last, sha "
+    "FROM apart JOIN log USING (k) GROUP BY repo, p, run, sha",
+)
 ORACLE["prov_date_window"] = _with(_HISTORY, select="SELECT repo, sha FROM since_date")
 ORACLE["prov_ref_window"] = _with(_HISTORY, select="SELECT repo, sha FROM since_ref")
 ORACLE["prov_added"] = """
@@ -533,7 +547,8 @@ ORACLE["prov_added_date"] = _with(
 )
 ORACLE["prov_annotate"] = _with(
     _HISTORY, _FILES,
-    select="""SELECT 'h' || (p_partkey % 3) AS repo, 'api/part_' || p_partkey || '.py' AS source_file, g.line AS line_number,
+    select=f"""SELECT 'h' || (p_partkey % 3) AS repo, 'api/part_' || p_partkey || '.py' AS source_file,
+  {_at_line('p_partkey', 'g.line')} AS line_number,
   s.k IS NOT NULL AS is_new, CASE WHEN s.k IS NULL THEN NULL WHEN p_size > 30 THEN 'added' ELSE 'modified' END
     AS change_type,
   substr(s.sha, 1, 10) AS commit, s.author, strftime(s.made, '%Y-%m-%dT%H:%M:%S+00:00') AS committed_at
@@ -549,7 +564,7 @@ ORACLE["new_unauth"] = _with(
 )
 ORACLE["new_list"] = _with(
     _HISTORY, _FILES, _NEW,
-    select="SELECT repo, 'api/part_' || p || '.py' AS source_file, line AS line_number, 'GET' AS method, "
+    select=f"SELECT repo, 'api/part_' || p || '.py' AS source_file, {_at_line('p', 'line')} AS line_number, 'GET' AS method, "
     "'/x/' || line AS path, line % 2 = 0 AS auth_required, change_type, author FROM fresh",
 )
 ORACLE["blame_parse"] = _with(

@@ -150,6 +150,13 @@ def blame_parse(spark, folder):
 
 # --- column functions -------------------------------------------------------------
 
+@query
+def blame_ranges(spark, folder):
+    """Porcelain text folded to runs of lines of one commit."""
+    records = history.blame_records(corpus.blame_text(spark, folder))
+    return history.blame_ranges(history.blame_lines(records))
+
+
 @query
 def normalized_paths(spark, folder):
     return corpus.raw_paths(spark, folder).select(

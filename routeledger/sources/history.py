@@ -65,6 +65,21 @@ def short_sha(sha: Column) -> Column:
     return F.substring(sha, 1, SHORT_SHA)
 
 
+def blame_ranges(lines: DataFrame) -> DataFrame:
+    """``(repo, path, first, last, sha)``: runs of lines ``(repo, path, line, sha)`` of one commit."""
+    in_order = Window.partitionBy("repo", "path").orderBy("line")
+    goes_on = (F.lag("sha").over(in_order) == F.col("sha")) & (
+        F.lag("line").over(in_order) == F.col("line") - 1
+    )
+    begins = F.when(goes_on, 0).otherwise(1)
+    runs = lines.withColumn("begins", begins).withColumn("run", F.sum("begins").over(in_order))
+    return (
+        runs.groupBy("repo", "path", "run", "sha")
+        .agg(F.min("line").alias("first"), F.max("line").alias("last"))
+        .select("repo", "path", "first", "last", "sha")
+    )
+
+
 def commit_time(epoch: Column) -> Column:
     """Epoch seconds (number or text) as a timestamp; unreadable text is null."""
     return F.timestamp_seconds(epoch.cast("string").try_cast("bigint"))
