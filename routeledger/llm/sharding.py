@@ -76,11 +76,7 @@ def propagate(nodes: DataFrame, room: dict[int, int], turn: int = 0) -> DataFram
         )
     )
     # A group that fits applies as one; of a larger one rows apply by themselves.
-    few = F.broadcast(pulls.filter("large").drop("large"))  # a row per large group and shard
-    on = ["grp", "shard"]
-    met = nodes.filter("large").join(few, on, "left").unionByName(
-        nodes.filter("not large").join(pulls.filter("not large").drop("large"), on, "left")
-    )
+    met = by_group(nodes, pulls, ["target", "whole", "pull"], ["shard"])
     asked = met.withColumn(
         "bucket",
         F.pmod(
@@ -111,21 +107,37 @@ def propagate(nodes: DataFrame, room: dict[int, int], turn: int = 0) -> DataFram
     )
 
 
-def linked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose ``grp`` occurs again, with ``large``, and the rest.
+def by_group(rows: DataFrame, facts: DataFrame, names: list[str], more: list[str]) -> DataFrame:
+    """``rows`` with the columns ``names`` of ``facts``, of equal ``grp`` and ``more`` (or null).
 
-    Large groups are so few that their names are broadcast; any other group is small
-    enough for one task.
+    Both have the flag ``large``. The facts of large groups are broadcast, as such groups
+    are fewer than ``LARGE``; any other group is small enough for one task, and the rows of
+    large ones go through that join under a key of their own, dealt evenly.
     """
-    copies = rows.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1")
-    copies = copies.withColumn("large", F.col("n") * LARGE > rows.count()).drop("n")
-    names = F.broadcast(copies.filter("large").select("grp"))
-    others = rows.join(names, "grp", "left_anti")
-    small = copies.filter("not large").select("grp")
-    found = rows.join(names, "grp", "left_semi").withColumn("large", F.lit(True)).unionByName(
-        others.join(small, "grp", "left_semi").withColumn("large", F.lit(False))
+    def named(which: str, mark: str, key: str) -> DataFrame:
+        found = facts.filter(which)
+        return found.select(F.col("grp").alias(key), *more, *[F.col(c).alias(mark + c) for c in names])
+
+    alone = F.encode(F.col("uid").cast("string"), "utf-8")
+    keyed = rows.withColumn("key", F.when(F.col("large"), alone).otherwise(F.col("grp")))
+    few = F.broadcast(named("large", "few_", "grp"))
+    both = keyed.join(few, ["grp", *more], "left").join(
+        named("not large", "one_", "key"), ["key", *more], "left"
+    )
+    return both.select(
+        *rows.columns,
+        *[F.when(F.col("large"), F.col(f"few_{c}")).otherwise(F.col(f"one_{c}")).alias(c) for c in names],
     )
-    return found, others.join(small, "grp", "left_anti").withColumn("large", F.lit(False))
+
+
+def linked(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``large`` and ``loose``, which is 1 where no other row has the ``grp``."""
+    copies = rows.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1")
+    copies = copies.select("grp", (F.col("n") * LARGE > rows.count()).alias("large"), F.lit(0).alias("found"))
+    names = F.broadcast(copies.filter("large").select("grp", "large"))
+    flagged = rows.join(names, "grp", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    found = by_group(flagged, copies, ["found"], [])
+    return found.withColumn("loose", F.coalesce("found", F.lit(1))).drop("found")
 
 
 def shard(docs: DataFrame, *, shards: int = SHARDS) -> DataFrame:
@@ -151,11 +163,7 @@ def shard(docs: DataFrame, *, shards: int = SHARDS) -> DataFrame:
     )
     rows = staged(rows.withColumn("h", F.xxhash64("id", "grp")), "shard-rows")
     start = rows.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
-    copies, single = linked(start)
-    placed = staged(
-        copies.withColumn("loose", F.lit(0)).unionByName(single.withColumn("loose", F.lit(1))),
-        "shard-start",
-    )
+    placed = staged(linked(start), "shard-start")
     counts = by_shard(placed)
     total = sum(counts.values())
     fixed = by_shard(placed.filter("loose = 1"))
