@@ -441,7 +441,9 @@ def runtime_dumps(spark: SparkSession, folder: str, *keys: str) -> DataFrame:
 def router_layers(spark: SparkSession, folder: str) -> DataFrame:
     """Router stacks: per nation a router inside its region's router, routes per supplier.
 
-    Every app is a region; ``use`` layers stand before, between and after the routes.
+    Every app is a region; ``use`` layers stand before, between and after the routes. Two
+    more apps hold all line items as routes of one level, with guards between the orders,
+    and all suppliers as routers, each inside that of a third of its key.
     """
     text, names = "string", "array<string>"
     none = F.lit(None)
@@ -506,8 +508,41 @@ def router_layers(spark: SparkSession, folder: str) -> DataFrame:
     late = nation.select(
         app, *layer(nid + 2, nid, F.lit(50), "use", name=F.lit("audit"))
     )
+    item, order = table(spark, folder, "lineitem"), table(spark, folder, "orders")
+    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    guard = F.col("o_orderkey") * 8
+    s = F.col("s_suppkey")
+    app_name = lambda name: F.lit(name).alias("app")
+    wide = [
+        item.select(
+            app_name("wide"),
+            *layer(line, none, line, "route", path=F.concat(F.lit("/w"), line.cast(text), F.lit("/")),
+                   methods=F.array(F.lit("put")), handlers=F.array(F.lit("pack"))),
+        ),
+        order.filter(F.col("o_orderkey") % 50 == 7).select(
+            app_name("wide"),
+            *layer(guard, none, guard, "use",
+                   name=F.concat(F.lit("guard"), (F.floor(F.col("o_orderkey") / 50) % 5).cast(text))),
+        ),
+    ]
+    deep = [
+        supplier.select(
+            app_name("deep"),
+            *layer(s * 4 + 1, F.when(s > 0, F.floor(s / 3) * 4 + 1), s * 2 + 1, "router",
+                   source=F.concat(F.lit(r"^\/d"), s.cast(text), F.lit(r"\/?(?=\/|$)"))),
+        ),
+        supplier.select(
+            app_name("deep"),
+            *layer(s * 4 + 2, s * 4 + 1, F.lit(0), "use", name=F.concat(F.lit("m"), (s % 7).cast(text))),
+        ),
+        supplier.select(
+            app_name("deep"),
+            *layer(s * 4 + 3, s * 4 + 1, F.lit(1), "route", path=F.lit("/leaf"),
+                   methods=F.array(F.lit("post")), handlers=F.array(F.lit("requireAuth"), F.lit("m3"))),
+        ),
+    ]
     result = routes.unionByName(late)
-    for frame in top + nations:
+    for frame in top + nations + wide + deep:
         result = result.unionByName(frame)
     return result
 

@@ -402,7 +402,18 @@ FROM (
 GROUP BY 1, 2, 3""",
 )
 ORACLE["router_flatten"] = """
-WITH before AS (
+WITH RECURSIVE guards AS (
+  SELECT 'guard' || (o_orderkey // 50 % 5) AS name, min(o_orderkey * 8) AS pos
+  FROM orders WHERE o_orderkey % 50 = 7 GROUP BY 1),
+ordered AS (SELECT list({'name': name, 'pos': pos} ORDER BY pos) AS g FROM guards),
+deep AS (
+  SELECT s_suppkey AS s, '/d' || s_suppkey AS prefix, ['m' || (s_suppkey % 7)] AS mw FROM supplier WHERE s_suppkey = 0
+  UNION ALL
+  SELECT s_suppkey, prefix || '/d' || s_suppkey, list_append(mw, 'm' || (s_suppkey % 7))
+  FROM supplier JOIN deep ON s = s_suppkey // 3 AND s_suppkey > 0),
+named AS (
+  SELECT s, prefix, mw || ['requireAuth', 'm3'] AS mw FROM deep),
+before AS (
   SELECT n.n_nationkey, n.n_regionkey, list('mw' || e.n_nationkey ORDER BY e.n_nationkey) AS mw
   FROM nation n JOIN nation e ON e.n_regionkey = n.n_regionkey AND e.n_nationkey <= n.n_nationkey
   GROUP BY 1, 2)
@@ -411,7 +422,15 @@ SELECT 'app' || n_regionkey AS app, '/r' || n_regionkey || '/n' || n_nationkey |
     || CASE WHEN s_suppkey * 2 + 1 > 50 THEN ',audit' ELSE '' END || ',requireAuth' AS middleware
 FROM supplier JOIN before ON s_nationkey = n_nationkey
 UNION ALL
-SELECT 'app' || r_regionkey, '/health', unnest(['GET', 'HEAD']), 'helmet' FROM region"""
+SELECT 'app' || r_regionkey, '/health', unnest(['GET', 'HEAD']), 'helmet' FROM region
+UNION ALL
+SELECT 'wide', '/w' || (l_orderkey * 8 + l_linenumber), 'PUT', array_to_string(list_append(
+  list_transform(list_filter(coalesce(g, []), lambda x: x.pos < l_orderkey * 8 + l_linenumber), lambda x: x.name),
+  'pack'), ',')
+FROM lineitem, ordered
+UNION ALL
+SELECT 'deep', prefix || '/leaf', 'POST', array_to_string(list_filter(mw, lambda x, i: list_position(mw, x) = i), ',')
+FROM named"""
 
 # --- comparison -------------------------------------------------------------------
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,77 +95,91 @@ def supersede(static: DataFrame, runtime: DataFrame) -> DataFrame:
     return static.filter(~is_js).unionByName(kept).unionByName(runtime)
 
 
-def flatten_router(layers: DataFrame) -> DataFrame:
-    """Router-stack layers to ``(app, path, method, middleware)``.
+def _clean(names: Column) -> Column:
+    return F.filter(names, lambda n: (n != "") & ~n.isin(NOISE_NAMES))
 
-    ``layers`` holds ``(app, layer_id, parent_id, pos, kind, path, regexp_source,
-    fast_slash, methods, name, handlers)`` with kind route, router or use. Middleware
-    of a ``use`` layer applies to the later siblings and everything below them. One
-    window gives each layer the middleware of its own level; each round then walks
-    one mount level down, so the rounds number the depth of mounts, not the layers.
-    """
-    def clean(names):
-        return F.filter(names, lambda n: (n != "") & ~n.isin(NOISE_NAMES))
 
-    earlier = (
-        Window.partitionBy("app", "parent_id")
-        .orderBy("pos")
-        .rowsBetween(Window.unboundedPreceding, -1)
+def _levels(layers: DataFrame) -> DataFrame:
+    """``(app, level, names, starts)``: middleware of each level, in order of first use.
+
+    A name that was used before at its level changes nothing further down, so a level has
+    an entry per distinct name, however many layers it holds.
+    """
+    firsts = (
+        layers.filter((F.col("kind") == "use") & (F.col("name") != "") & ~F.col("name").isin(NOISE_NAMES))
+        .groupBy("app", "level", "name").agg(F.min("pos").alias("pos"))
     )
-    usable = (
-        (F.col("kind") == "use") & (F.col("name") != "") & ~F.col("name").isin(NOISE_NAMES)
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "name")))
+    return (
+        firsts.groupBy("app", "level").agg(ordered.alias("u"))
+        .select("app", "level", F.col("u.name").alias("names"), F.col("u.pos").alias("starts"))
     )
-    local = layers.withColumn(
-        "local", F.collect_list(F.when(usable, F.col("name"))).over(earlier)
-    ).filter(F.col("kind") != "use")
-    local = stage(
-        local.select(
-            "app",
-            "layer_id",
-            "parent_id",
-            "kind",
-            "local",
-            F.when(F.col("kind") == "router", mount_prefix(F.col("regexp_source"), F.col("fast_slash")))
-            .otherwise(F.col("path"))
-            .alias("step"),
-            "methods",
-            clean(F.coalesce("handlers", F.array().cast("array<string>"))).alias("own"),
+
+
+def _mount_chains(routers: DataFrame) -> DataFrame:
+    """``(app, level, chain)`` per router: its mounts from the outermost, each as a pointer.
+
+    Pointer doubling: after a round a router knows twice as many of its mounts, so the
+    rounds are the logarithm of the nesting. Routers below no top level router go.
+    """
+    state = stage(
+        routers.select(
+            "app", F.col("layer_id").cast("string").alias("level"), F.col("level").alias("up"),
+            F.array(F.struct("step", "inherits")).alias("chain"),
         ),
-        "router-layers",
+        "mounts",
     )
-    routers = local.filter(F.col("kind") == "router")
-    open_level = routers.filter(F.col("parent_id").isNull()).select(
-        "app",
-        F.col("layer_id").alias("parent_id"),
-        join_router_path(F.lit(""), F.col("step")).alias("prefix"),
-        F.col("local").alias("inherited"),
-    )
-    levels = []
-    mounted = routers.count()
-    while True:
-        level = stage(open_level, "router-level")
-        if level.isEmpty():
-            break
-        if len(levels) >= mounted:
+    rounds = state.count().bit_length() + 1
+    while not state.filter("up <> ''").isEmpty():
+        if rounds == 0:
             raise ValueError("a router layer is its own ancestor")
-        levels.append(level)
-        open_level = routers.join(level, ["app", "parent_id"]).select(
-            "app",
-            F.col("layer_id").alias("parent_id"),
-            join_router_path(F.col("prefix"), F.col("step")).alias("prefix"),
-            F.concat("inherited", "local").alias("inherited"),
+        rounds -= 1
+        above = state.select(
+            "app", F.col("level").alias("up"), F.col("up").alias("further"), F.col("chain").alias("before")
         )
+        known = lookup(state.filter("up <> ''"), above, ["app", "up"], "inner", spread=["level"])
+        grown = known.select("app", "level", F.col("further").alias("up"), F.concat("before", "chain").alias("chain"))
+        state = stage(state.filter("up = ''").unionByName(grown), "mounts")
+    return state.drop("up")
+
+
+def flatten_router(layers: DataFrame) -> DataFrame:
+    """Router-stack layers to ``(app, path, method, middleware)``.
 
-    routes = local.filter(F.col("kind") == "route")
-    top = routes.filter(F.col("parent_id").isNull()).select(
-        "*", F.lit("").alias("prefix"), F.array().cast("array<string>").alias("inherited")
+    ``layers`` holds ``(app, layer_id, parent_id, pos, kind, path, regexp_source,
+    fast_slash, methods, name, handlers)`` with kind route, router or use. Middleware
+    of a ``use`` layer applies to the later siblings and everything below them. A layer
+    only learns how many of its level's names stand before it; the names themselves are
+    joined once per router and once per route, so a level may hold any number of layers.
+    """
+    leveled = layers.withColumn("level", F.coalesce(F.col("parent_id").cast("string"), F.lit("")))
+    names = stage(_levels(leveled), "levels")
+    known = lookup(
+        leveled.filter(F.col("kind").isin("route", "router")), names, ["app", "level"], spread=["layer_id"]
+    )
+    none = F.array().cast("array<string>")
+    # The names that stand before a layer are a head of its level's list.
+    before = F.size(F.filter(F.coalesce("starts", F.array().cast("array<int>")), lambda p: p < F.col("pos")))
+    known = known.withColumn("inherits", F.slice(F.coalesce("names", none), F.lit(1), before))
+    routers = known.filter("kind = 'router'").select(
+        "app", "layer_id", "level", "inherits",
+        mount_prefix(F.col("regexp_source"), F.col("fast_slash")).alias("step"),
+    )
+    chains = _mount_chains(routers).select(
+        "app", "level",
+        F.aggregate(
+            "chain", F.lit(""), lambda path, mount: join_router_path(path, mount["step"])
+        ).alias("prefix"),
+        F.array_distinct(F.flatten(F.transform("chain", lambda mount: mount["inherits"]))).alias("inherited"),
     )
-    found = top
-    for level in levels:
-        found = found.unionByName(routes.join(level, ["app", "parent_id"]))
-    return found.select(
+    routes = known.filter("kind = 'route'")
+    below = lookup(routes.filter("level <> ''"), chains, ["app", "level"], "inner", spread=["layer_id"])
+    top = routes.filter("level = ''").withColumn("prefix", F.lit("")).withColumn("inherited", none)
+    return top.unionByName(below).select(
         "app",
-        join_router_path(F.col("prefix"), F.col("step")).alias("path"),
+        join_router_path(F.col("prefix"), F.col("path")).alias("path"),
         F.explode(F.transform("methods", F.upper)).alias("method"),
-        F.array_distinct(F.concat("inherited", "local", "own")).alias("middleware"),
+        F.array_distinct(
+            F.concat("inherited", "inherits", _clean(F.coalesce("handlers", none)))
+        ).alias("middleware"),
     )
