@@ -5,9 +5,13 @@ changed keeps its template. Windows of the templates are hashed and joined; wind
 one diagonal of a document and an item are a candidate, and the slots of each run of
 them are compared: a name of the item must stand for one name of the document in most of
 its places. Numbers and units are parameters of their own and may differ from place to
-place. Where enough windows are equal word for word, slots do not matter. Windows that are placeholders mostly say little as templates; they are joined by their
-literal words only, and items of a few words are found as whole sentences or lines. Everything
-is a DataFrame expression.
+place. Where enough windows are equal word for word, slots do not matter. Windows that are
+placeholders mostly say little as templates; they are joined by their literal words only.
+A capital that starts a line may be a name in a wrapped sentence or a sentence's first
+word, so its windows are joined in both readings. Items of a few words are found as whole
+sentences or lines, and inside sentences if the corpus holds their words rarely. Scripts
+without spaces count a character as a word. Everything is a DataFrame expression, and one
+pass over a text makes the windows of all sizes.
 """
 
 from __future__ import annotations
@@ -18,13 +22,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bind
+from .common import staged
 
 WINDOW = 8
-LEAST_WORDS = 4  # shorter items are found as whole sentences or lines, not inside them
+LEAST_WORDS = 4  # shorter items need to be rare, or whole sentences or lines
+PHRASE_WORDS = 3  # items of fewer words are ordinary phrases inside a sentence
+RARE_TEXTS = 10  # different texts that may hold a short item inside a sentence,
+RARE_SHARE = 0.001  # or this share of all, before its words are an ordinary phrase
 ENOUGH_WINDOWS = 5  # windows on one diagonal that always suffice, i.e. 12 words
 MIN_COVER = 0.5  # share of a short item's windows that suffices otherwise
 MIN_PLAIN = 0.5  # share of plain words below which a template says too little to be joined
-BROADCAST_WINDOWS = 1_000_000  # benchmark windows up to which they are broadcast
+BROADCAST_BYTES = 64 << 20  # benchmark windows up to which they are broadcast
 
 # Units that may follow a number.
 UNITS = (
@@ -34,14 +42,23 @@ UNITS = (
 ).split()
 
 MARK, END = "\x01", "\x02"  # around a slot's own characters, the first with a letter for its type
+LINE = "\x03"  # before a line's first word
 # In this order, each within one word, so a text and its template have equal word counts.
 SLOTS = [
-    (r"(?<=[0-9]\p{Punct}?\s)(?i:" + "|".join(UNITS) + r")(?!\p{L})", MARK + "u"),
+    (r"(?<=[0-9]\p{Punct}?\s\x03?)(?i:" + "|".join(UNITS) + r")(?!\p{L})", MARK + "u"),
     (r"(?<=[^.!?:;\"'\s]\s)\p{Lu}[\p{L}'’-]*", MARK + "p"),
+    # After a line break it is a name or a sentence's first word.
+    (r"(?<=[^.!?:;\"'\s]\s\x03)\p{Lu}[\p{L}'’-]*", MARK + "q"),
     (r"[0-9]+(?:[.,:/][0-9]+)*", MARK + "n"),
 ]
 # White space other than one plain space between words.
 WIDE = r"[\s\p{Z}&&[^ ]][\s\p{Z}]*| [\s\p{Z}]+"
+BREAKS = r"[\r\n\x85\u2028\u2029]+"
+# Thai, Lao, Burmese, Khmer, Japanese and Chinese characters, which stand without spaces.
+UNSPACED = (
+    r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF"
+    r"\x{20000}-\x{3FFFF}]"
+)
 NO_WORD = r"[^\p{L}\p{N}\x01\x02\s]+"
 # Where a sentence or line ends.
 STOP = r"[.!?:;]+(?=\s|$)|[\r\n]+"
@@ -49,9 +66,11 @@ STOP = r"[.!?:;]+(?=\s|$)|[\r\n]+"
 
 def marked_words(text: Column) -> Column:
     """The words in lower case and without punctuation, with marks around their slots."""
-    text = F.translate(F.coalesce(text, F.lit("")), MARK + END, "  ")
-    # Slots are told by what stands before them, so a copy's line breaks must not matter.
-    text = F.regexp_replace(text, WIDE, " ")
+    text = F.translate(F.coalesce(text, F.lit("")), MARK + END + LINE, "   ")
+    text = F.regexp_replace(text, UNSPACED, " $0 ")
+    # Slots are told by what stands before them, so white space is made plain first.
+    text = F.regexp_replace(F.regexp_replace(text, BREAKS, f" {LINE} "), WIDE, " ")
+    text = F.regexp_replace(text, f"(?: ?{LINE} ?)+", f" {LINE}")
     for pattern, mark in SLOTS:
         text = F.regexp_replace(text, pattern, mark + "$0" + END)
     text = F.lower(F.regexp_replace(text, NO_WORD, ""))
@@ -59,9 +78,19 @@ def marked_words(text: Column) -> Column:
 
 
 def template(tokens: Column) -> Column:
-    """Of ``marked_words``: a slot becomes its placeholder."""
+    """Of ``marked_words``: a slot becomes its placeholder, a line's capital that of a name."""
+    return F.transform(tokens, lambda t: F.when(
+        F.contains(t, F.lit(MARK)), F.translate(
+            F.regexp_replace(F.replace(t, F.lit(MARK + "q"), F.lit(MARK + "p")), "(\x01.)[^\x02]*\x02", "$1"),
+            END, "",
+        )
+    ).otherwise(t))
+
+
+def line_starts_as_words(tokens: Column) -> Column:
+    """``marked_words`` in which a line's capital is no name."""
     return F.transform(tokens, lambda t: F.when(
-        F.contains(t, F.lit(MARK)), F.regexp_replace(t, "(\x01.)[^\x02]*\x02", "$1")
+        F.contains(t, F.lit(MARK + "q")), F.regexp_replace(t, "\x01q([^\x02]*)\x02", "$1")
     ).otherwise(t))
 
 
@@ -74,7 +103,8 @@ def words(tokens: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """The words with ``END`` before, between and after sentences and lines."""
-    text = F.translate(F.coalesce(text, F.lit("")), MARK + END, "  ")
+    text = F.translate(F.coalesce(text, F.lit("")), MARK + END + LINE, "   ")
+    text = F.regexp_replace(text, UNSPACED, " $0 ")
     text = F.concat(F.lit(END + " "), F.regexp_replace(text, STOP, f" {END} "), F.lit(" " + END))
     text = F.regexp_replace(text, WIDE, " ")
     text = F.lower(F.regexp_replace(text, NO_WORD, ""))
@@ -99,21 +129,27 @@ def rolled(tokens: Column, size: int) -> Column:
 
 
 def _window_table(items: DataFrame, size: int) -> DataFrame:
-    """Windows of the items of that size, by template unless that is thin, and by words."""
+    """Windows of the items of that size: by template unless that is thin, and by words."""
     exact = size < WINDOW
     chosen = items.filter(F.size("tokens") == size if exact else F.size("tokens") >= size)
-    plain = F.transform("tokens", lambda t: (~F.contains(t, F.lit(MARK))).cast("int"))
-    total = F.transform(
-        F.sequence(F.lit(0), F.size("tokens") - size),
-        lambda i: F.aggregate(F.slice(plain, i + 1, size), F.lit(0), lambda a, x: a + x),
-    )
+
+    def plain(tokens: str) -> Column:
+        ones = F.transform(tokens, lambda t: (~F.contains(t, F.lit(MARK))).cast("int"))
+        return F.transform(
+            F.sequence(F.lit(0), F.size(tokens) - size),
+            lambda i: F.aggregate(F.slice(ones, i + 1, size), F.lit(0), lambda a, x: a + x),
+        )
+
     rows = chosen.select(
         "item_id", F.explode(F.arrays_zip(
             rolled(F.col("tokens"), size).alias("template"), rolled(F.col("raw"), size).alias("words"),
-            total.alias("plain"), F.sequence(F.lit(0), F.size("tokens") - size).alias("pos"),
+            rolled(F.col("tokens_b"), size).alias("other"), plain("tokens").alias("plain"),
+            plain("tokens_b").alias("plain_other"),
+            F.sequence(F.lit(0), F.size("tokens") - size).alias("pos"),
         )).alias("w"),
     )
     rich = F.col("w.plain") >= MIN_PLAIN * size
+    rich_other = F.col("w.plain_other") >= MIN_PLAIN * size
     same = F.col("w.template") == F.col("w.words")
 
     def row(when: Column, by: str, literal: Column) -> Column:
@@ -122,27 +158,55 @@ def _window_table(items: DataFrame, size: int) -> DataFrame:
             rich.alias("rich"), literal.alias("literal"),
         ))
 
-    both = F.array(row(rich, "template", same), row(~rich | ~same, "words", F.lit(True)))
-    return rows.select("item_id", F.inline(F.array_compact(both)))
+    each = F.array(
+        row(rich, "template", same), row(~rich | ~same, "words", F.lit(True)),
+        row((F.col("w.other") != F.col("w.template")) & (F.col("w.other") != F.col("w.words")) & rich_other,
+            "other", F.lit(False)),
+    )
+    return rows.select("item_id", F.lit(size).alias("size"), F.inline(F.array_compact(each)))
+
 
+def _document_windows(text: Column, sizes: list[int], literal_sizes: list[int]) -> Column:
+    """``(size, hash, pos)`` of the windows by template and, where they differ, by words.
 
-def _document_windows(text: Column, size: int) -> Column:
-    """Hash and place of the windows of templates and, where they differ, of words."""
+    ``literal_sizes`` are windows by words alone. The text is made words once for all.
+    """
+    none = F.array().cast("array<bigint>")
 
-    def both(by_template: Column, by_words: Column) -> Column:
-        at = lambda h, i: F.struct(h.alias("hash"), i.alias("pos"))
-        return F.concat(F.transform(by_template, at), F.filter(
-            F.transform(by_words, at), lambda w: w.hash != F.get(by_template, w.pos)
+    def entries(hashes: Column, size: int) -> Column:
+        return F.transform(hashes, lambda h, i: F.struct(
+            F.lit(size).alias("size"), h.alias("hash"), i.alias("pos")
         ))
 
-    return bind(marked_words(text), lambda tokens: bind(
-        rolled(template(tokens), size),
-        lambda by_template: bind(rolled(words(tokens), size), lambda w: both(by_template, w)),
-    ))
+    def each(first: Column, other: Column, raw: Column, size: int) -> Column:
+        def unlike(hashes: Column, known: Column) -> Column:
+            return F.filter(entries(hashes, size), lambda w: w.hash != F.get(known, w.pos))
+
+        second = F.when(F.size(other) > 0, rolled(other, size)).otherwise(none)
+        return bind(rolled(first, size), lambda a: F.concat(
+            entries(a, size), unlike(second, a), unlike(rolled(raw, size), a)
+        ))
+
+    def every(tokens: Column) -> Column:
+        in_lines = F.exists(tokens, lambda t: F.contains(t, F.lit(MARK + "q")))
+        other = F.when(in_lines, template(line_starts_as_words(tokens))).otherwise(
+            F.array().cast("array<string>")
+        )
+        return bind(template(tokens), lambda first: bind(other, lambda b: bind(
+            words(tokens), lambda raw: F.concat(
+                *[each(first, b, raw, size) for size in sizes],
+                *[entries(rolled(raw, size), size) for size in literal_sizes],
+            ),
+        )))
+
+    return bind(marked_words(text), every)
 
 
 def _short_items(docs: DataFrame, items: DataFrame) -> DataFrame | None:
-    """Whole sentences or lines of ``docs`` that are items of under ``LEAST_WORDS`` words."""
+    """Whole sentences or lines of ``docs`` that are items of under ``LEAST_WORDS`` words.
+
+    See ``_rare_phrases`` for such items inside a sentence.
+    """
     short = items.filter(F.size("raw").between(1, LEAST_WORDS - 1)).select(
         "item_id", F.size("sentences").alias("size"), "sentences"
     )
@@ -175,6 +239,22 @@ def _short_items(docs: DataFrame, items: DataFrame) -> DataFrame | None:
     )
 
 
+def _rare_phrases(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """``hits`` of short items inside sentences, of those items that few different texts hold."""
+    texts = docs.select(F.xxhash64("text")).distinct().count()
+    held = hits.groupBy("item_id").agg(F.countDistinct("text_hash").alias("held"))
+    rare = held.filter(F.col("held") <= max(RARE_TEXTS, RARE_SHARE * texts)).select("item_id")
+    found = hits.join(F.broadcast(rare), "item_id", "left_semi")
+    return found.groupBy("doc_id", "text_hash", "item_id").agg(F.min("start").alias("start"))
+
+
+def _broadcast(windows: DataFrame) -> DataFrame:
+    """``windows``, to be broadcast if their bytes, which are summed first, are few."""
+    width = F.octet_length(F.to_json(F.struct("*"))) + 64
+    held = windows.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(windows) if held <= BROADCAST_BYTES else windows
+
+
 def _runs(doc: Column) -> Column:
     """Runs of the windows at ``at``, which cover all words between: counts and slots.
 
@@ -224,41 +304,54 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     one document), ``item_id``, ``start`` (word of the document), ``n_windows`` and
     ``cover`` (share of the item's windows), ``exact`` (no slot in them differs). Items of fewer
     than ``WINDOW`` words are looked for as a whole, those under ``LEAST_WORDS`` word for
-    word as whole sentences or lines; items of equal id count as one text each. Null and
-    empty texts match nothing, and an empty table on either side gives no rows. Long
-    texts are read whole.
+    word: as whole sentences or lines, and those of ``PHRASE_WORDS`` or more also inside
+    sentences, unless more than ``RARE_TEXTS`` texts and ``RARE_SHARE`` of all hold them.
+    Items of equal id count as one text each. Null and empty texts match nothing, and an
+    empty table on either side gives no rows. Long texts are read whole, copies of a row
+    give one result, and columns besides those named may have any names.
     """
     items = benchmark.select(
         F.col("item_id").alias("item_id"), F.xxhash64("text").alias("item_hash"),
         marked_words(F.col("text")).alias("marked"), sentences(F.col("text")).alias("sentences"),
     ).dropDuplicates(["item_id", "item_hash"]).select(
         F.struct("item_id", "item_hash").alias("item_id"), template(F.col("marked")).alias("tokens"),
-        words(F.col("marked")).alias("raw"), "sentences",
+        template(line_starts_as_words(F.col("marked"))).alias("tokens_b"), words(F.col("marked")).alias("raw"), "sentences",
+    )
+    whole = _short_items(docs, items)
+    phrases = items.filter(F.size("raw").between(PHRASE_WORDS, LEAST_WORDS - 1)).select(
+        "item_id", F.size("raw").alias("size"), "raw"
     )
-    short = _short_items(docs, items)
+    short_sizes = [r[0] for r in phrases.select("size").distinct().collect()]
     items = items.filter(F.size("tokens") >= LEAST_WORDS).drop("sentences")
     sizes = [
         r[0] for r in items.select(F.least(F.size("tokens"), F.lit(WINDOW))).distinct().collect()
     ]
-    if not sizes:
-        sizes = [WINDOW]
-    known = {n: _window_table(items, n) for n in sizes}
-
-    def hits(size: int) -> DataFrame:
-        rows = docs.select(
-            F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
-            F.inline(_document_windows(F.col("text"), size)),
+    known = reduce(DataFrame.unionByName, [_window_table(items, n) for n in sizes or [WINDOW]])
+    seen = [
+        phrases.filter(F.col("size") == n).select(
+            "item_id", "size", rolled(F.col("raw"), n)[0].alias("hash"), F.lit(0).alias("item_pos"),
+            F.lit(False).alias("rich"), F.lit(True).alias("literal"),
         )
-        windows = known[size]
-        if windows.count() <= BROADCAST_WINDOWS:
-            windows = F.broadcast(windows)
-        return rows.join(windows, "hash").select(
-            "doc_id", "text_hash", "item_id", "item_pos", "rich", "literal",
-            (F.col("pos") - F.col("item_pos")).alias("start"),
-        )
-
-    found = reduce(DataFrame.unionByName, [hits(n) for n in sizes])
-    totals = reduce(DataFrame.unionByName, known.values()).groupBy("item_id").agg(
+        for n in short_sizes
+    ]
+    wanted = reduce(DataFrame.unionByName, [known, *seen])
+    rows = docs.select(
+        F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
+        F.inline(_document_windows(F.col("text"), sizes or [WINDOW], short_sizes)),
+    )
+    hits = rows.join(_broadcast(wanted), ["size", "hash"]).select(
+        "doc_id", "text_hash", "item_id", "item_pos", "rich", "literal", "size",
+        (F.col("pos") - F.col("item_pos")).alias("start"),
+    )
+    # Hits are few beside the windows, and short items' rarity needs them a second time.
+    if short_sizes:
+        hits = staged(hits, "benchmark-hits")
+    found = hits.filter(F.col("size") >= LEAST_WORDS).drop("size")
+    short = whole
+    if short_sizes:
+        inside = _rare_phrases(hits.filter(F.col("size") < LEAST_WORDS), docs)
+        short = inside if short is None else short.unionByName(inside)
+    totals = known.groupBy("item_id").agg(
         F.countDistinct("item_pos").alias("windows"),
         F.countDistinct(F.when(F.col("rich"), F.col("item_pos"))).alias("rich_windows"),
     )

@@ -162,6 +162,54 @@ def test_prefixes_are_shortened_until_the_recall():
     assert 1 - (1 - 0.8**depth) ** 32 >= 0.9999 > 1 - (1 - 0.8 ** (depth + 1)) ** 32
 
 
+def test_contamination_of_lines_phrases_and_unspaced_scripts(spark):
+    benchmark = spark.createDataFrame(
+        [
+            (1, "What is 3 times 9 plus one"), (2, "Who wrote hamlet"), (3, "中国的首都是哪里？"),
+            (4, "The treaty between France and Spain was signed by King Louis in Paris"),
+            (5, "ประเทศไทยมีกี่จังหวัด"), (6, "of the day"),
+        ],
+        "item_id long, text string",
+    )
+    texts = [
+        (1, "Exercise one\nWhat is 3 times 9 plus one"), (2, "I asked who wrote hamlet and left"),
+        (3, "请问中国的首都是哪里？谢谢"), (4, "The treaty between\r\n  France and Spain was signed by King Louis in Paris"),
+        (5, "Exercise two\n\n  What is 14 times 2 plus one\nmore"), (6, "ถาม ประเทศไทยมีกี่จังหวัด ครับ"),
+        (7, "我们明天去北京的首都机场"), (8, "Exercise one\nWhy is the sky blue at noon in May"),
+    ] + [(100 + i, f"the end of the day number {'x' * i}") for i in range(20)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").withColumn("a b", F.lit(1))
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contamination(frame, benchmark).collect()}
+    assert found == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 1), (6, 5)}
+
+
+def test_contamination_finds_every_literal_copy(spark):
+    rng = random.Random(12)
+    vocabulary = ["Anna", "rome", "12", "3.5", "kg", "run", "the", "Of", "blue", "x-ray", "it's", "Paris", "river", "go"]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.randrange(4, 25)))) for k in range(30)]
+    texts = []
+    for k in range(120):
+        words = [f"{rng.choice('abc')}{rng.randrange(10**6)}" for _ in range(rng.randrange(3, 60))]
+        if k % 2:
+            at = rng.randrange(len(words))
+            copy = rng.choice(items)[1].split()
+            copy = [w.lower() for w in copy] if rng.random() < 0.3 else copy
+            words[at:at] = [w + rng.choice(["", "", "\n", ","]) for w in copy]
+        texts.append((k, rng.choice([" ", "\n", "  "]).join(words)))
+    bare = lambda t: re.findall(r"[\w\x02-]+", re.sub(r"[^\w\s]", "", t.lower()))
+    want = set()
+    for k, text in texts:
+        w = bare(text)
+        for i, item in items:
+            n = len(bare(item))
+            want |= {(k, i)} if any(w[p : p + n] == bare(item) for p in range(len(w) - n + 1)) else set()
+    found = decontaminate.contamination(
+        spark.createDataFrame(texts, "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string"),
+    )
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert want and want <= got and all(k % 2 for k, _ in got)
+
+
 def test_packing(docs, rows, nothing):
     from tokenizers import Tokenizer
 
@@ -340,7 +388,8 @@ def test_items_of_slots_and_short_items(spark):
         spark.createDataFrame(texts, "doc_id long, text string"),
         spark.createDataFrame(items, "item_id long, text string"),
     ).collect()
-    want = {(i, i, 4) for i in range(1, 6)} | {(15, 5, 0)}
+    # Three words that the corpus holds rarely count inside a sentence too.
+    want = {(i, i, 4) for i in range(1, 6)} | {(15, 5, 0), (14, 4, 2)}
     assert {(r.doc_id, r.item_id, r.start) for r in found} == want
     assert all(r.exact and r.cover == 1 for r in found)
 
