@@ -5,13 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-SALTS = 16
 BROADCAST_BYTES = 32 * 1024 * 1024
 ROW_OVERHEAD = 64
 
+# Rows of one key that a task should join, and the most keys that are heavy at once.
+KEY_ROWS = 1_000_000
+HEAVY_KEYS = 10_000
+
+
+def heavy_keys(left: DataFrame, on: list[str]) -> DataFrame:
+    """``(*on, _tasks)``: keys with more rows than one task should join, and how many should.
+
+    Rows are counted by key with map-side combining. The bound grows with the table, so
+    fewer than ``HEAVY_KEYS`` keys are heavy whatever its size.
+    """
+    bound = max(KEY_ROWS, left.count() // HEAVY_KEYS)
+    counted = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > bound)
+    return counted.select(*on, F.ceil(F.col("_n") / bound).cast("int").alias("_tasks"))
+
 
 def lookup(
     left: DataFrame,
@@ -24,23 +38,24 @@ def lookup(
 ) -> DataFrame:
     """Join ``left`` to ``right``, which holds at most one row per key.
 
-    ``right`` is staged and its bytes are summed: up to ``BROADCAST_BYTES`` it is
-    broadcast, so ``left`` is not shuffled at all. Beyond, or where the caller knows
-    it to be large (``small=False``), the left rows are spread over ``SALTS`` buckets
-    by a hash of ``spread`` (columns that vary within one key), so a key holding a
-    third of all rows ends up in many tasks, and both sides are sort-merged.
+    ``right`` is staged, which sums its bytes on the way: up to ``BROADCAST_BYTES`` it is
+    broadcast, so ``left`` is not shuffled at all. Beyond, or where the caller knows it to
+    be large (``small=False``), both sides are sort-merged. The rows of a heavy key are
+    then spread over as many tasks as its count asks for, by a hash of ``spread`` (columns
+    that vary within one key), and its one right row is copied to each; other keys are
+    neither spread nor copied.
     """
     if small:
-        right = stage(right, "lookup")
-        width = F.octet_length(F.to_json(F.struct("*"))) + ROW_OVERHEAD
-        if (right.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES:
+        right, held = measured(right, "lookup")
+        if held <= BROADCAST_BYTES:
             return left.join(F.broadcast(right), on, how)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(SALTS)).cast("int")
-    salted_left = left.withColumn("_salt", salt)
-    salted_right = right.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    ).hint("merge")
-    return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
+    heavy = F.broadcast(stage(heavy_keys(left, on), "heavy-keys"))
+    tasks = F.coalesce("_tasks", F.lit(1))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), tasks).cast("int")
+    salted_left = left.join(heavy, on, "left").withColumn("_salt", salt).drop("_tasks")
+    copies = F.explode(F.sequence(F.lit(0), tasks - 1))
+    salted_right = right.join(heavy, on, "left").withColumn("_salt", copies).drop("_tasks")
+    return salted_left.join(salted_right.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -61,6 +76,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def measured(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``stage(df, name)`` and about how many bytes its rows take, summed while writing."""
+    seen = Observation()
+    width = F.octet_length(F.to_json(F.struct("*"))) + ROW_OVERHEAD
+    staged = stage(df.observe(seen, F.sum(width).alias("bytes")), name)
+    return staged, seen.get["bytes"] or 0
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import compare as ops
 from ..operators import provenance, remedy, report
 from ..operators.joins import stage
-from ..sources.sinks import append_documents, append_endpoints
+from ..sources.sinks import append_documents, append_endpoints, read_endpoints
 from .scan import scan
 
 
@@ -101,31 +101,33 @@ def run_batch(
     since: str | None = None,
     registry: DataFrame | None = None,
     new_only: bool = False,
+    batch: str | None = None,
 ) -> dict:
     """Scan, optionally attribute and compare, and append the results under ``out``.
 
-    Attribution is skipped without ``history``, comparison without ``registry``.
+    Each result is a dataset of batches (see ``sinks``): a ``batch`` that is run again
+    replaces its rows, without a name every run adds its own. Attribution is skipped without ``history``, comparison without ``registry``.
     Returns the written tables, read back.
     """
     spark = files.sparkSession
     endpoints = scan(files, config, runtime=runtime)
     if history is not None and since:
         endpoints = annotate_since(endpoints, history, since)
-        append_endpoints(window_rejects(history, since), f"{out}/window_rejects")
+        append_endpoints(window_rejects(history, since), f"{out}/window_rejects", batch)
     endpoints = stage(endpoints, "endpoints")
-    append_endpoints(endpoints, f"{out}/endpoints")
+    append_endpoints(endpoints, f"{out}/endpoints", batch)
     written = {"endpoints": endpoints}
     if registry is None:
         return written
     result = compare(endpoints, registry, files.select("repo").distinct())
     matches = stage(result["matches"], "matches")
     posture = stage(ops.posture(matches, registry, files.select("repo").distinct()), "posture")
-    append_endpoints(report.findings(matches), f"{out}/findings")
-    append_endpoints(posture, f"{out}/posture")
+    append_endpoints(report.findings(matches), f"{out}/findings", batch)
+    append_endpoints(posture, f"{out}/posture", batch)
     gates = ops.gate(matches, new_only and bool(since), files.select("repo").distinct())
-    append_endpoints(gates, f"{out}/gate")
+    append_endpoints(gates, f"{out}/gate", batch)
     for fmt in ("json", "sarif"):
-        append_documents(report.render(matches, posture, fmt), f"{out}/{fmt}")
+        append_documents(report.render(matches, posture, fmt), f"{out}/{fmt}", batch)
     return written | {
-        name: spark.read.parquet(f"{out}/{name}") for name in ("findings", "posture", "gate")
+        name: read_endpoints(spark, f"{out}/{name}") for name in ("findings", "posture", "gate")
     }

@@ -655,6 +655,10 @@ ORACLE["sarif_written"] = _with(
   greatest(count(rule_id) - 1, 0) AS followers
 FROM repos LEFT JOIN findings USING (repo) GROUP BY repo""",
 )
+ORACLE["append_twice"] = _with(
+    _OBSERVED,
+    select="SELECT repo, path, method, source_file, line_number, framework, auth_required FROM observed",
+)
 ORACLE["report_json"] = _with(
     *_COMPARED, _POSTURE,
     """listed AS (

@@ -24,7 +24,7 @@ from ..operators import (
 from ..operators.joins import shared_folder, stage
 from ..operators.logical_lines import logical_lines
 from ..sources import config, files, history, openapi, runtime, trees
-from ..sources.sinks import append_documents
+from ..sources.sinks import append_documents, append_endpoints, read_documents, read_endpoints
 from . import batch, corpus
 from .scan import scan, scan_errors, staged_js_lines, staged_syntax
 
@@ -660,13 +660,27 @@ def sarif_written(spark, folder):
     lines = report.sarif_documents(compare.match(endpoints, known), _repos(endpoints, known))
     path = f"{shared_folder(spark)}/sarif-{uuid.uuid4().hex}"
     append_documents(lines, path)
-    return spark.read.schema("value string, repo string").text(path).groupBy("repo").agg(
+    return read_documents(spark, path).groupBy("repo").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.count_if(F.startswith("value", F.lit('{"$schema"'))).alias("documents"),
         F.count_if(F.startswith("value", F.lit(","))).alias("followers"),
     )
 
 
+@query
+def append_twice(spark, folder):
+    """Three batches of endpoints, one run twice and one cut off before it was run whole."""
+    rows = corpus.observed_endpoints(spark, folder)
+    path = f"{shared_folder(spark).rstrip('/')}/endpoints-{uuid.uuid4().hex}"
+    parts = [rows.filter(F.pmod("line_number", F.lit(3)) == n) for n in range(3)]
+    parts[1].limit(100).write.parquet(f"{path}/data/attempt=cut-off")
+    for n in (0, 1, 2, 0):
+        append_endpoints(parts[n], path, f"part {n}")
+    return read_endpoints(spark, path).select(
+        "repo", "path", "method", "source_file", "line_number", "framework", "auth_required"
+    )
+
+
 @query
 def report_json(spark, folder):
     """JSON reports: a row per document with its counts and per list entry."""

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from routeledger import compare, remediation, run_batch, scan
 from routeledger.operators import compare as ops
-from routeledger.operators import remedy, report
+from routeledger.operators import joins, remedy, report
 from routeledger.sources import openapi, runtime
+from routeledger.sources.sinks import append_documents, append_endpoints, read_documents, read_endpoints
 from routeledger.streaming.jobs import redact_stream, rescan_stream
 from tests.harbor import DESK, TIDES
 
@@ -231,15 +232,44 @@ def test_unreadable_dumps_are_rejected(spark):
 def test_batch_job(spark, project, tmp_path):
     files, known, _ = project
     written = run_batch(files, str(tmp_path), registry=known)
-    assert spark.read.parquet(f"{tmp_path}/endpoints").count() == 9
+    assert read_endpoints(spark, f"{tmp_path}/endpoints").count() == 9
     assert written["posture"].first().shadow_count == 5
     assert written["findings"].count() == 10
-    files_in_order = sorted((tmp_path / "sarif" / "repo=r").glob("part-*"))
+    files_in_order = sorted((tmp_path / "sarif").glob("data/attempt=*/repo=r/part-*"))
     text = "".join(p.read_text() for p in files_in_order)
     assert len(json.loads(text)["runs"][0]["results"]) == 10
     assert set(run_batch(files, f"{tmp_path}/bare")) == {"endpoints"}
 
 
+def test_batches_replace_themselves(spark, tmp_path):
+    path = str(tmp_path / "set")
+    rows = lambda *n: spark.createDataFrame([(i,) for i in n], "i int")
+    append_endpoints(rows(1, 2), path, "a")
+    append_endpoints(rows(9), path)
+    rows(7, 7).write.parquet(f"{path}/data/attempt=cut-off")
+    assert sorted(r.i for r in read_endpoints(spark, path).collect()) == [1, 2, 9]
+    append_endpoints(rows(1, 3), path, "a")
+    assert sorted(r.i for r in read_endpoints(spark, path).collect()) == [1, 3, 9]
+    lines = spark.createDataFrame([("r", 0, 0, 0, "x"), ("s", 0, 0, 0, "y")], "repo string, section int, at int, copy int, line string")
+    for _ in range(2):
+        append_documents(lines, f"{path}-docs", "d")
+    assert {tuple(r) for r in read_documents(spark, f"{path}-docs").collect()} == {("x", "r"), ("y", "s")}
+
+
+def test_heavy_keys_are_spread_by_their_weight(spark, monkeypatch):
+    monkeypatch.setattr(joins, "KEY_ROWS", 40)
+    left = spark.createDataFrame([("hot" if i % 3 == 0 else f"k{i % 50}", i) for i in range(600)], "k string, i int")
+    heavy = {r.k: r._tasks for r in joins.heavy_keys(left, ["k"]).collect()}
+    assert heavy == {"hot": 5}
+    right = spark.createDataFrame([("hot", 1), ("k7", 2), ("none", 3)], "k string, v int")
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        got = joins.lookup(left, right, ["k"], how, spread=["i"], small=False)
+        want = left.join(right, ["k"], how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), how
+    got = joins.lookup(left, right.limit(0), ["k"], spread=["i"])
+    assert got.count() == 600
+
+
 def test_streams(spark, project, tmp_path):
     files, _, _ = project
     spark.createDataFrame([("mail a@b.co",)], "text string").write.parquet(f"{tmp_path}/in")
