@@ -366,6 +366,36 @@ SELECT 'rt-' || (user_id % 10) AS repo, 'srv/app' || (event_id % 4) || '.js' AS
 FROM events WHERE event_id % 5 IN (1, 2)"""
 ORACLE["runtime_routes"] = _with(_RUNTIME, select=f"SELECT {_COLUMNS} FROM rt")
 
+ORACLE["endpoints_runtime"] = _with(
+    _PY, _JAVA, _JS, _ALL, _RUNTIME,
+    f"""live AS (
+  SELECT * REPLACE (CASE WHEN replace(repo, 'rt-', '')::INT % 2 = 0 THEN 'building' ELSE 'furniture' END AS repo)
+  FROM rt)""",
+    select=f"""SELECT {_COLUMNS} FROM every_row
+WHERE language <> 'javascript' OR repo NOT IN (SELECT repo FROM live)
+UNION ALL SELECT {_COLUMNS} FROM live""",
+)
+_BRAND = "CAST(regexp_extract(repo, '([0-9]+)', 1) AS INT) % 3"
+# Under the keyword "ledger" alone, what the usual words found is gone and Ledger is an alias.
+ORACLE["endpoints_configured"] = _with(
+    _PY,
+    f"""told AS (SELECT *, {_BRAND} AS lists FROM py),
+judged AS (
+  SELECT * EXCLUDE (auth_info), CASE
+    WHEN lists = 0 AND what = 'soil' AND size % 2 = 1 THEN 'Flask Decorators: timed'
+    WHEN lists <> 1 THEN auth_info
+    WHEN what = 'flow' AND size % 4 = 1 THEN 'Argument book default: Depends(open_ledger)'
+    WHEN what = 'flow' AND size % 4 = 2 THEN 'alias dependency: Warden'
+    WHEN what = 'close' AND size % 3 = 2 THEN 'Decorator dependencies: [Depends(open_ledger)]'
+    WHEN what = 'rota' THEN nullif(concat_ws('; ',
+      CASE WHEN size % 4 = 0 THEN 'Argument who default: Depends(get_principal)' END,
+      CASE WHEN size % 3 = 2 THEN 'Decorator dependencies: [Depends(open_ledger)]' END), '')
+    WHEN what = 'day' THEN 'alias dependency: Ledger' END AS auth_info
+  FROM told)""",
+    select="SELECT repo, path, method, auth_info IS NOT NULL AS auth_required, auth_info, source_file, line_number, "
+    "framework, language FROM judged",
+)
+
 _OBSERVED = """observed AS (
   SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'mono' ELSE 'svc-' || (l_suppkey % 40) END AS repo,
     '/v' || (CAST(l_quantity AS INT) % 3) || '/p' || (l_partkey % 150)
@@ -655,6 +685,12 @@ ORACLE["sarif_written"] = _with(
   greatest(count(rule_id) - 1, 0) AS followers
 FROM repos LEFT JOIN findings USING (repo) GROUP BY repo""",
 )
+ORACLE["batch_written"] = _with(
+    _JS,
+    select="""SELECT repo, count(*) AS n_endpoints, count(*) + count(*) FILTER (WHERE NOT auth_required) AS n_findings,
+  count(*) + count(*) FILTER (WHERE NOT auth_required) + 2 AS n_sarif_lines,
+  count(*) + count(*) FILTER (WHERE NOT auth_required) AS violations, false AS passed FROM js GROUP BY repo""",
+)
 ORACLE["append_twice"] = _with(
     _OBSERVED,
     select="SELECT repo, path, method, source_file, line_number, framework, auth_required FROM observed",

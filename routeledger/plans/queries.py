@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -340,8 +341,32 @@ def endpoints_all(spark, folder):
     return scan(corpus.all_files(spark, folder)).select(*_ENDPOINT)
 
 
+@query
+def endpoints_configured(spark, folder):
+    """Python endpoints under word lists that repos extend, replace or leave as they are."""
+    brand = corpus.table(spark, folder, "part").select(F.lower("p_brand").alias("repo")).distinct()
+    n = F.regexp_extract("repo", "([0-9]+)", 1).cast("int") % 3
+    texts = brand.filter(n < 2).select(
+        "repo",
+        corpus.pick(n, ['{"extend_keywords": ["timed"]}', '{"auth": {"keywords": ["ledger"]}}'])
+        .alias("config_json"),
+    )
+    lists = stage(config.resolve_config(config.read_config_json(texts)), "lists")
+    return scan(corpus.python_files(spark, folder), lists).select(*_ENDPOINT)
+
+
 # --- runtime ----------------------------------------------------------------------
 
+@query
+def endpoints_runtime(spark, folder):
+    """A scan of all files with inventories that replace two repos' JavaScript rows."""
+    number = F.replace("repo", F.lit("rt-"), F.lit("")).cast("int")
+    dumps = corpus.runtime_dumps(spark, folder).withColumn(
+        "repo", corpus.pick(number % 2, ["building", "furniture"])
+    )
+    return scan(corpus.all_files(spark, folder), runtime=runtime.read_dumps(dumps)).select(*_ENDPOINT)
+
+
 @query
 def runtime_routes(spark, folder):
     return runtime.runtime_endpoints(
@@ -709,6 +734,23 @@ def report_json(spark, folder):
     return heads.unionByName(entries, allowMissingColumns=True)
 
 
+@query
+def batch_written(spark, folder):
+    """A batch job run twice under one name: what its datasets hold of each scanned repo."""
+    out = f"{shared_folder(spark).rstrip('/')}/batch-{uuid.uuid4().hex}"
+    sources = stage(corpus.js_files(spark, folder), "sources")
+    known = openapi.registry(corpus.openapi_specs(spark, folder))
+    for _ in range(2):
+        written = batch.run_batch(sources, out, registry=known, batch="nightly")
+    counts = [
+        read_endpoints(spark, f"{out}/endpoints").groupBy("repo").agg(F.count(F.lit(1)).alias("n_endpoints")),
+        written["findings"].groupBy("repo").agg(F.count(F.lit(1)).alias("n_findings")),
+        read_documents(spark, f"{out}/sarif").groupBy("repo").agg(F.count(F.lit(1)).alias("n_sarif_lines")),
+        written["gate"].select("repo", "violations", "passed"),
+    ]
+    return reduce(lambda a, b: a.join(b, "repo"), counts)
+
+
 # --- remediation ------------------------------------------------------------------
 
 def _flagged(spark, folder) -> tuple[DataFrame, DataFrame]:
