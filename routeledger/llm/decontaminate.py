@@ -44,20 +44,20 @@ UNITS = (
 MARK, END = "\x01", "\x02"  # around a slot's own characters, the first with a letter for its type
 LINE = "\x03"  # before a line's first word
 # In this order, each within one word, so a text and its template have equal word counts.
+# Each pattern begins with what is rare, as what stands before is dear to look at.
 SLOTS = [
-    (r"(?<=[0-9]\p{Punct}?\s\x03?)(?i:" + "|".join(UNITS) + r")(?!\p{L})", MARK + "u"),
-    (r"(?<=[^.!?:;\"'\s]\s)\p{Lu}[\p{L}'’-]*", MARK + "p"),
+    (r"([0-9]\p{Punct}?\s\x03?)((?i:" + "|".join(UNITS) + r"))(?!\p{L})", f"$1{MARK}u$2{END}"),
     # After a line break it is a name or a sentence's first word.
-    (r"(?<=[^.!?:;\"'\s]\s\x03)\p{Lu}[\p{L}'’-]*", MARK + "q"),
-    (r"[0-9]+(?:[.,:/][0-9]+)*", MARK + "n"),
+    (r"\p{Lu}(?<=[^.!?:;\"'\s]\s\x03?\p{Lu})[\p{L}'’-]*", f"{MARK}p$0{END}"),
+    (r"[0-9]+(?:[.,:/][0-9]+)*", f"{MARK}n$0{END}"),
 ]
 # White space other than one plain space between words.
 WIDE = r"[\s\p{Z}&&[^ ]][\s\p{Z}]*| [\s\p{Z}]+"
 BREAKS = r"[\r\n\x85\u2028\u2029]+"
 # Thai, Lao, Burmese, Khmer, Japanese and Chinese characters, which stand without spaces.
 UNSPACED = (
-    r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF"
-    r"\x{20000}-\x{3FFFF}]"
+    r"[\u0E00-\x{3FFFF}&&[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF"
+    r"\x{20000}-\x{3FFFF}]]"
 )
 NO_WORD = r"[^\p{L}\p{N}\x01\x02\s]+"
 # Where a sentence or line ends.
@@ -70,9 +70,10 @@ def marked_words(text: Column) -> Column:
     text = F.regexp_replace(text, UNSPACED, " $0 ")
     # Slots are told by what stands before them, so white space is made plain first.
     text = F.regexp_replace(F.regexp_replace(text, BREAKS, f" {LINE} "), WIDE, " ")
-    text = F.regexp_replace(text, f"(?: ?{LINE} ?)+", f" {LINE}")
-    for pattern, mark in SLOTS:
-        text = F.regexp_replace(text, pattern, mark + "$0" + END)
+    text = F.regexp_replace(F.replace(text, F.lit(f"{LINE} "), F.lit(LINE)), f"{LINE}{LINE}+", LINE)
+    for pattern, marked in SLOTS:
+        text = F.regexp_replace(text, pattern, marked)
+    text = F.replace(text, F.lit(f"{LINE}{MARK}p"), F.lit(f"{MARK}q"))
     text = F.lower(F.regexp_replace(text, NO_WORD, ""))
     return F.filter(F.split(text, " +"), lambda w: w != "")
 
@@ -182,22 +183,24 @@ def _document_windows(text: Column, sizes: list[int], literal_sizes: list[int])
         def unlike(hashes: Column, known: Column) -> Column:
             return F.filter(entries(hashes, size), lambda w: w.hash != F.get(known, w.pos))
 
+        # An empty reading is like the first one everywhere.
         second = F.when(F.size(other) > 0, rolled(other, size)).otherwise(none)
+        third = F.when(F.size(raw) > 0, rolled(raw, size)).otherwise(none)
         return bind(rolled(first, size), lambda a: F.concat(
-            entries(a, size), unlike(second, a), unlike(rolled(raw, size), a)
+            entries(a, size), unlike(second, a), unlike(third, a)
         ))
 
     def every(tokens: Column) -> Column:
-        in_lines = F.exists(tokens, lambda t: F.contains(t, F.lit(MARK + "q")))
-        other = F.when(in_lines, template(line_starts_as_words(tokens))).otherwise(
-            F.array().cast("array<string>")
-        )
-        return bind(template(tokens), lambda first: bind(other, lambda b: bind(
-            words(tokens), lambda raw: F.concat(
-                *[each(first, b, raw, size) for size in sizes],
-                *[entries(rolled(raw, size), size) for size in literal_sizes],
-            ),
-        )))
+        empty = F.array().cast("array<string>")
+        has = lambda mark: F.exists(tokens, lambda t: F.contains(t, F.lit(mark)))
+        first = F.when(has(MARK), template(tokens)).otherwise(tokens)
+        other = F.when(has(MARK + "q"), template(line_starts_as_words(tokens))).otherwise(empty)
+        raw = F.when(has(MARK), words(tokens)).otherwise(empty)
+        literal = lambda a, c: F.when(F.size(c) > 0, c).otherwise(a)
+        return bind(first, lambda a: bind(other, lambda b: bind(raw, lambda c: F.concat(
+            *[each(a, b, c, size) for size in sizes],
+            *[entries(rolled(literal(a, c), size), size) for size in literal_sizes],
+        ))))
 
     return bind(marked_words(text), every)
 
