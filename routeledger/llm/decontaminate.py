@@ -168,26 +168,24 @@ def _window_table(items: DataFrame, size: int) -> DataFrame:
 
 
 def _document_windows(text: Column, sizes: list[int], literal_sizes: list[int]) -> Column:
-    """``(size, hash, pos)`` of the windows by template and, where they differ, by words.
+    """``(hash, pos)`` of the windows by template and, where they differ, by words.
 
     ``literal_sizes`` are windows by words alone. The text is made words once for all.
     """
     none = F.array().cast("array<bigint>")
 
-    def entries(hashes: Column, size: int) -> Column:
-        return F.transform(hashes, lambda h, i: F.struct(
-            F.lit(size).alias("size"), h.alias("hash"), i.alias("pos")
-        ))
+    def entries(hashes: Column) -> Column:
+        return F.transform(hashes, lambda h, i: F.struct(h.alias("hash"), i.alias("pos")))
 
     def each(first: Column, other: Column, raw: Column, size: int) -> Column:
         def unlike(hashes: Column, known: Column) -> Column:
-            return F.filter(entries(hashes, size), lambda w: w.hash != F.get(known, w.pos))
+            return F.filter(entries(hashes), lambda w: w.hash != F.get(known, w.pos))
 
         # An empty reading is like the first one everywhere.
         second = F.when(F.size(other) > 0, rolled(other, size)).otherwise(none)
         third = F.when(F.size(raw) > 0, rolled(raw, size)).otherwise(none)
         return bind(rolled(first, size), lambda a: F.concat(
-            entries(a, size), unlike(second, a), unlike(third, a)
+            entries(a), unlike(second, a), unlike(third, a)
         ))
 
     def every(tokens: Column) -> Column:
@@ -199,7 +197,7 @@ def _document_windows(text: Column, sizes: list[int], literal_sizes: list[int])
         literal = lambda a, c: F.when(F.size(c) > 0, c).otherwise(a)
         return bind(first, lambda a: bind(other, lambda b: bind(raw, lambda c: F.concat(
             *[each(a, b, c, size) for size in sizes],
-            *[entries(rolled(literal(a, c), size), size) for size in literal_sizes],
+            *[entries(rolled(literal(a, c), size)) for size in literal_sizes],
         ))))
 
     return bind(marked_words(text), every)
@@ -342,7 +340,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
         F.inline(_document_windows(F.col("text"), sizes or [WINDOW], short_sizes)),
     )
-    hits = rows.join(_broadcast(wanted), ["size", "hash"]).select(
+    # A window's hash tells its length as well; one long key is the cheapest to look up.
+    hits = rows.join(_broadcast(wanted), "hash").select(
         "doc_id", "text_hash", "item_id", "item_pos", "rich", "literal", "size",
         (F.col("pos") - F.col("item_pos")).alias("start"),
     )
