@@ -1,5 +1,6 @@
 """Comparison, gate, documents, remediation, runtime inventories and jobs."""
 
+import datetime
 import difflib
 import json
 import random
@@ -12,7 +13,7 @@ from routeledger.operators import compare as ops
 from routeledger.operators import joins, remedy, report
 from routeledger.sources import openapi, runtime
 from routeledger.sources.sinks import append_documents, append_endpoints, read_documents, read_endpoints
-from routeledger.streaming.jobs import redact_stream, rescan_stream
+from routeledger.streaming.jobs import open_counts, open_counts_stream, redact_stream, rescan_stream
 from tests.harbor import DESK, TIDES
 
 SPEC = {
@@ -284,3 +285,20 @@ def test_streams(spark, project, tmp_path):
         changes, lambda: spark.read.parquet(f"{tmp_path}/files"), f"{tmp_path}/scans", f"{tmp_path}/c2"
     ).awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/scans").count() == 9
+
+
+def test_open_counts_in_windows(spark, tmp_path):
+    schema = "repo string, is_new boolean, auth_required boolean, committed_at timestamp"
+    def at(minute):
+        return datetime.datetime(2024, 5, 1, 12) + datetime.timedelta(minutes=minute)
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.random() < 0.8, rng.random() < 0.4, at(rng.randrange(600))) for _ in range(300)]
+    rows += [("a", True, False, None), ("a", None, False, at(5)), ("a", True, None, at(5))]
+    late = ("b", True, False, at(-600))
+    for part in (rows, [late, ("b", True, False, at(1000))]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        open_counts_stream(source, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(120)
+    got = {(r.repo, r.window_start, r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    table = open_counts(spark.createDataFrame(rows, schema))
+    assert got == {(r.repo, r.window_start, r.n) for r in table.collect()} and len(got) > 10
