@@ -115,7 +115,9 @@ def test_tree(spark, tmp_path):
     }.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_bytes(content)
-    tree = files.read_tree(spark, str(tmp_path))
+    tree = files.read_tree(spark, str(tmp_path), excluded=[])
+    pruned = files.read_tree(spark, str(tmp_path))
+    assert {(r.repo, r.rel_path) for r in tree.exceptAll(pruned).collect()} == {("one", "tests/t.py")}
     assert {(r.repo, r.rel_path) for r in tree.collect()} == {
         ("one", "api/Main.PY"), ("one", "bad.py"), ("one", "tests/t.py"), ("two", "w.mjs")
     }
