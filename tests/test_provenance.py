@@ -153,3 +153,28 @@ def test_scan_root_of_each_repo(spark):
     roots = spark.createDataFrame([("r", "svc/")], "repo string, scan_root string")
     found = provenance.annotate(endpoints, blame, commits, commits.select("repo", "sha"), added, roots)
     assert {(r.repo, r.is_new) for r in found.collect()} == {("r", True), ("s", True)}
+
+
+def test_a_long_history_shrinks_to_its_limit(spark, monkeypatch):
+    """Runs, merged branches and dead ends are merged away, so no large history needs chains."""
+    def chains(*_):
+        raise AssertionError("not contracted")
+
+    monkeypatch.setattr(provenance, "_reachable_by_chains", chains)
+    graph = {0: []}
+    for i in range(1, 2000):
+        # Every fourth commit is a branch of one; every fifth branch is never merged.
+        merges = [i - 1] if i % 4 == 0 and (i - 1) % 20 != 19 else []
+        graph[i] = [i - 2, *merges] if i % 4 == 0 else [i - 1]
+    rows = [("long", f"s{c}", [f"s{p}" for p in ps]) for c, ps in graph.items()]
+    # A repo without a start, a row that comes twice and one without parents take part.
+    rows += [("idle", f"s{c}", [f"s{p}" for p in ps]) for c, ps in graph.items()]
+    rows += [rows[7], ("long", "apart", None)]
+    commits = spark.createDataFrame(rows, "repo string, sha string, parents array<string>")
+    starts = [("long", "head", 1998), ("long", "base", 1000), ("long", "base", 1003)]
+    frame = spark.createDataFrame(
+        [(r, label, f"s{c}") for r, label, c in starts], "repo string, label string, sha string"
+    )
+    found = [(r.label, r.sha) for r in provenance.reachable(commits, frame, 100).collect()]
+    want = {(label, f"s{c}") for _, label, start in starts for c in ancestors(graph, start)}
+    assert len(found) == len(want) and set(found) == want
