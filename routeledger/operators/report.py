@@ -98,19 +98,20 @@ def _null_kept(value: Column) -> Column:
 
 
 def _list_lines(items: DataFrame) -> DataFrame:
-    """Lines of list entries ``(repo, section, at, line)``, all but the first after a comma.
+    """Lines of list entries ``(repo, section, at)``, all but the first after a comma.
 
-    ``at`` orders a section and holds the line itself, so only equal rows tie; they are
+    ``at`` orders a section and ends in the line itself, so only equal rows tie; they are
     counted and told apart by ``copy``. First entries are found with partial aggregation
-    and joined back on the whole key, so a repo with most entries is spread like any.
+    and joined back on the whole key, by which the counted rows are dealt already, so a repo
+    with most entries is spread like any.
     """
-    counted = items.groupBy("repo", "section", "at", "line").agg(F.count(F.lit(1)).alias("n"))
+    counted = items.groupBy("repo", "section", "at").agg(F.count(F.lit(1)).alias("n"))
     first = (
         items.groupBy("repo", "section").agg(F.min("at").alias("at"))
         .withColumn("leads", F.lit(True))
     )
     numbered = counted.join(first, ["repo", "section", "at"], "left").select(
-        "repo", "section", "at", "line", "leads",
+        "repo", "section", "at", F.col("at.line").alias("line"), "leads",
         F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"),
     )
     leads = F.col("leads").isNotNull() & (F.col("copy") == 1)
@@ -159,7 +160,7 @@ def sarif_documents(matches: DataFrame, repos: DataFrame | None = None) -> DataF
         f'"runs":[{{"tool":{json.dumps(driver)},"results":['
     )
     items = findings(matches).withColumn("line", _null_kept(sarif_result())).select(
-        "repo", F.lit(1).alias("section"), _at("rule_order").alias("at"), "line"
+        "repo", F.lit(1).alias("section"), _at("rule_order").alias("at")
     )
     named = (items if repos is None else repos).select("repo").distinct()
     frame = named.withColumn("fixed", _fixed((0, F.lit(head)), (2, F.lit("]}]}"))))
@@ -189,7 +190,7 @@ def report_documents(matches: DataFrame, posture: DataFrame) -> DataFrame:
         lambda s: s.isNotNull(),
     )
     items = matches.withColumn("line", entry).select(
-        "repo", F.explode(sections).alias("section"), _at().alias("at"), "line"
+        "repo", F.explode(sections).alias("section"), _at().alias("at")
     )
     head = F.concat(
         F.lit('{"parsed_routes_count":'), "parsed_routes_count",

@@ -302,3 +302,18 @@ def test_open_counts_in_windows(spark, tmp_path):
     got = {(r.repo, r.window_start, r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     table = open_counts(spark.createDataFrame(rows, schema))
     assert got == {(r.repo, r.window_start, r.n) for r in table.collect()} and len(got) > 10
+
+
+def test_counted_report_lines_are_dealt_once(spark):
+    """Equal lines are counted by the key of the join that marks the first one, copies as rows."""
+    rows = [("r", "/a", "GET", False, "x.py", 1)] * 2 + [("r", "/b", "GET", True, "x.py", 2), ("s", "/c", "GET", False, None, 3)]
+    endpoints = spark.createDataFrame(
+        rows, "repo string, path string, method string, auth_required boolean, source_file string, line_number int"
+    )
+    matches = ops.normalize_rows(endpoints).withColumn("status", F.lit("shadow"))
+    lines = report.sarif_documents(matches)
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(repo" in x and "at#" in x]
+    assert dealt and not any("line#" in x for x in dealt)
+    got = sorted((r.repo, r.copy, r.line[:2]) for r in lines.filter("section = 1").collect())
+    assert got == [("r", 1, ",{"), ("r", 1, ",{"), ("r", 1, '{"'), ("r", 2, ",{"), ("r", 2, ",{"), ("s", 1, ",{"), ("s", 1, '{"')]
