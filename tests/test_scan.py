@@ -1,8 +1,12 @@
 """End-to-end scans of small source trees."""
 
+import ast
+
+import pyarrow as pa
 import pytest
 
 from routeledger import scan
+from routeledger.operators import python_syntax
 from routeledger.sources import files
 from tests.harbor import CRANES, DESK, PILOTS, QUAY, TIDES
 
@@ -124,3 +128,20 @@ def test_tree(spark, tmp_path):
     assert [r.rel_path for r in files.unreadable(tree).collect()] == ["bad.py"]
     found = {(r.repo, r.method, r.path) for r in scan(tree).collect()}
     assert found == {("one", "GET", "/buoys"), ("two", "PUT", "/winch")}
+
+
+def test_syntax_leaves_the_worker_in_slices(monkeypatch):
+    monkeypatch.setattr(python_syntax, "FILES", 2)
+    texts = ["import flask\n@bp.get('/x', dependencies=[a, b])\ndef f(q=Depends(u)):\n    pass\n", "def (", None, "", "x = 1"]
+    batch = pa.RecordBatch.from_pydict({"repo": ["r"] * 5, "rel_path": list("abcde"), "content": texts})
+    slices = list(python_syntax._read_batches(iter([batch])))
+    assert [s.num_rows for s in slices] == [2, 2, 1]
+    rows = [r for s in slices for r in s.to_pylist()]
+    assert [r["error"] for r in rows] == [None, "SyntaxError", None, None, None]
+    assert rows[0]["modules"] == ["flask"] and rows[0]["functions"][0]["exprs"][0]["text"] == "Depends(u)"
+
+
+def test_the_walk_keeps_the_order_of_the_nodes_it_yields():
+    tree = ast.parse("a = Router(x, prefix='/p')\n@a.get('/q', y)\nasync def f(z: int = Depends(g)): return [z]\n")
+    full = [n for n in ast.walk(tree) if not isinstance(n, python_syntax._LEAVES)]
+    assert list(python_syntax._walk(tree)) == full
