@@ -4,9 +4,11 @@ import ast
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from routeledger import scan
 from routeledger.operators import python_syntax
+from routeledger.plans import corpus
 from routeledger.sources import files
 from tests.harbor import CRANES, DESK, PILOTS, QUAY, TIDES
 
@@ -130,6 +132,16 @@ def test_tree(spark, tmp_path):
     assert found == {("one", "GET", "/buoys"), ("two", "PUT", "/winch")}
 
 
+def test_tests_of_a_query_run_behind_the_spread_of_a_small_table(spark, tmp_path):
+    rows = spark.range(50).selectExpr("id AS p_partkey", "concat('part ', id) AS p_name")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    table = corpus.table(spark, str(tmp_path), "part")
+    found = table.filter(F.upper("p_name").rlike("7$"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("upper(") < plan.index("Repartition")
+    assert found.count() == 5 and table.count() == 50
+
+
 def test_syntax_leaves_the_worker_in_slices(monkeypatch):
     monkeypatch.setattr(python_syntax, "FILES", 2)
     texts = ["import flask\n@bp.get('/x', dependencies=[a, b])\ndef f(q=Depends(u)):\n    pass\n", "def (", None, "", "x = 1"]
