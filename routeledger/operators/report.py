@@ -101,14 +101,16 @@ def _list_lines(items: DataFrame) -> DataFrame:
     """Lines of list entries ``(repo, section, at)``, all but the first after a comma.
 
     ``at`` orders a section and ends in the line itself, so only equal rows tie; they are
-    counted and told apart by ``copy``. First entries are found with partial aggregation
-    and joined back on the whole key, by which the counted rows are dealt already, so a repo
-    with most entries is spread like any.
+    counted and told apart by ``copy``. First entries are found among the counted rows with
+    partial aggregation, so the lines are made and dealt once, and joined back on the whole
+    key, by which the rows are dealt already, so a repo with most entries is spread like any.
     """
     counted = items.groupBy("repo", "section", "at").agg(F.count(F.lit(1)).alias("n"))
+    # Both readers share one exchange: the sum keeps ``n`` in the plan of this one, and past
+    # the filter, true for every row, the test of the join's keys does not go down.
     first = (
-        items.groupBy("repo", "section").agg(F.min("at").alias("at"))
-        .withColumn("leads", F.lit(True))
+        counted.filter(F.spark_partition_id() >= 0).groupBy("repo", "section").agg(F.min("at").alias("at"), F.sum("n").alias("total"))
+        .select("repo", "section", "at", (F.col("total") > 0).alias("leads"))
     )
     numbered = counted.join(first, ["repo", "section", "at"], "left").select(
         "repo", "section", "at", F.col("at.line").alias("line"), "leads",
@@ -159,8 +161,9 @@ def sarif_documents(matches: DataFrame, repos: DataFrame | None = None) -> DataF
         f'{{"$schema":{json.dumps(SARIF_SCHEMA)},"version":{json.dumps(SARIF_VERSION)},'
         f'"runs":[{{"tool":{json.dumps(driver)},"results":['
     )
+    # A plain literal would be left out of the join's keys, and the rows dealt once more.
     items = findings(matches).withColumn("line", _null_kept(sarif_result())).select(
-        "repo", F.lit(1).alias("section"), _at("rule_order").alias("at")
+        "repo", F.explode(F.array(F.lit(1))).alias("section"), _at("rule_order").alias("at")
     )
     named = (items if repos is None else repos).select("repo").distinct()
     frame = named.withColumn("fixed", _fixed((0, F.lit(head)), (2, F.lit("]}]}"))))

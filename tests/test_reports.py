@@ -317,3 +317,22 @@ def test_counted_report_lines_are_dealt_once(spark):
     assert dealt and not any("line#" in x for x in dealt)
     got = sorted((r.repo, r.copy, r.line[:2]) for r in lines.filter("section = 1").collect())
     assert got == [("r", 1, ",{"), ("r", 1, ",{"), ("r", 1, '{"'), ("r", 2, ",{"), ("r", 2, ",{"), ("s", 1, ",{"), ("s", 1, '{"')]
+
+
+def test_report_lines_are_made_once_for_both_readers(spark):
+    """The search for first entries reads the counted rows' exchange, which the join needs as it is."""
+    rows = [("r", "/a", "GET", False, "x.py", 1), (None, "/b", "GET", True, "x.py", 2)]
+    endpoints = spark.createDataFrame(
+        rows, "repo string, path string, method string, auth_required boolean, source_file string, line_number int"
+    ).filter(F.col("line_number") + F.rand() >= 0)
+    matches = ops.normalize_rows(endpoints).withColumn("status", F.lit("shadow"))
+    lines = report.sarif_documents(matches, spark.createDataFrame([("r",)], "repo string"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(repo" in x and "at#" in x]
+    assert sum("ReusedExchange" not in x for x in dealt) == 2 and "ReusedExchange" in plan
+    got = sorted((r.repo or "", r.line[:2]) for r in lines.filter("section = 1").collect())
+    assert got == [("", ",{"), ("r", ",{"), ("r", '{"')]
