@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from routeledger.operators import provenance
+from routeledger.operators import joins, provenance
 from routeledger.plans import batch
 
 
@@ -178,3 +178,20 @@ def test_a_long_history_shrinks_to_its_limit(spark, monkeypatch):
     found = [(r.label, r.sha) for r in provenance.reachable(commits, frame, 100).collect()]
     want = {(label, f"s{c}") for _, label, start in starts for c in ancestors(graph, start)}
     assert len(found) == len(want) and set(found) == want
+
+
+def test_a_costly_left_side_is_worked_out_once(spark, monkeypatch):
+    """On the way without a broadcast the left side is counted, spread and joined."""
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    seen = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    left = spark.range(40).selectExpr("id % 4 AS k", "id").mapInArrow(pass_on, "k bigint, id bigint")
+    right = spark.range(3).selectExpr("id AS k")
+    found = joins.lookup(left, right, ["k"], "left_semi", spread=["id"], costly=True)
+    assert sorted(r.id for r in found.collect()) == [n for n in range(40) if n % 4 < 3]
+    assert seen.value == 40
