@@ -35,18 +35,21 @@ def append_endpoints(rows: DataFrame, path: str, batch: str | None = None) -> No
     _commit(rows.sparkSession, path, batch, attempt)
 
 
-def append_documents(lines: DataFrame, path: str, batch: str | None = None) -> None:
+def append_documents(
+    lines: DataFrame, path: str, batch: str | None = None, compression: str | None = None
+) -> None:
     """One text document per repository under ``repo=…``, as a batch.
 
     ``lines`` holds ``(repo, section, at, copy, line)``. They are ordered by range, so a
-    large document spans several files, to be read one after the other by name.
+    large document spans several files, to be read one after the other by name. With
+    ``compression`` (``gzip``) each file holds its text packed, and readers unpack it.
     """
     order = ["repo", "section", "at", "copy"]
     attempt, folder = _attempt(path)
     (
         lines.repartitionByRange(*order).sortWithinPartitions(*order)
         .select("repo", F.col("line").alias("value"))
-        .write.partitionBy("repo").text(folder)
+        .write.partitionBy("repo").text(folder, compression=compression)
     )
     _commit(lines.sparkSession, path, batch, attempt)
 

@@ -2,6 +2,7 @@
 
 import datetime
 import difflib
+import gzip
 import json
 import random
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from routeledger import compare, remediation, run_batch, scan
 from routeledger.operators import compare as ops
 from routeledger.operators import joins, remedy, report
+from routeledger.plans import queries
 from routeledger.sources import openapi, runtime
 from routeledger.sources.sinks import append_documents, append_endpoints, read_documents, read_endpoints
 from routeledger.streaming.jobs import open_counts, open_counts_stream, redact_stream, rescan_stream
@@ -336,3 +338,44 @@ def test_report_lines_are_made_once_for_both_readers(spark):
     assert sum("ReusedExchange" not in x for x in dealt) == 2 and "ReusedExchange" in plan
     got = sorted((r.repo or "", r.line[:2]) for r in lines.filter("section = 1").collect())
     assert got == [("", ",{"), ("r", ",{"), ("r", '{"')]
+
+
+def test_written_sarif_logs_are_packed(spark, tmp_path, monkeypatch):
+    """The query's documents hold every result, in a fraction of their text's bytes."""
+    n = F.col("id")
+    spark.range(1500).select(
+        n.alias("l_orderkey"), (n * 7 % 400).alias("l_partkey"), (n % 50).alias("l_suppkey"),
+        (n % 7).cast("int").alias("l_linenumber"), (n % 50).cast("double").alias("l_quantity"),
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(5).select(n.alias("r_regionkey")).write.parquet(f"{tmp_path}/region.parquet")
+    monkeypatch.setattr(queries, "shared_folder", lambda spark: str(tmp_path))
+    counts = queries.sarif_written(spark, str(tmp_path)).collect()
+    held = packed = 0
+    for row in counts:
+        parts = [p.read_bytes() for p in sorted(tmp_path.glob(f"sarif-*/data/attempt=*/repo={row.repo}/part-*"))]
+        text = b"".join(map(gzip.decompress, parts))
+        results = json.loads(text)["runs"][0]["results"]
+        assert len(text.splitlines()) == row.n_lines == len(results) + 2 and row.documents == 1
+        held, packed = held + len(text), packed + sum(map(len, parts))
+    assert len(counts) > 40 and sum(r.followers for r in counts) > 700 and packed * 3 < held
+
+
+def test_packed_documents_hold_the_plain_text(spark, tmp_path):
+    """Plain and packed batches of a dataset are read alike and replace each other."""
+    rows = [(repo, 1, at, copy, f"{at} é,{copy}") for repo in "rs" for at in range(200) for copy in (1, 2)]
+    lines = spark.createDataFrame(rows, "repo string, section int, at int, copy int, line string")
+    path = str(tmp_path / "docs")
+    texts = {}
+    for codec in (None, "gzip"):
+        append_documents(lines, path, "nightly", compression=codec)
+        seen = sorted((r.repo, r.value) for r in read_documents(spark, path).collect())
+        assert seen == sorted((r[0], r[4]) for r in rows)
+        unpack = gzip.decompress if codec else bytes
+        new = {p for p in (tmp_path / "docs").glob("data/attempt=*/repo=*/part-*") if (p.suffix == ".gz") == bool(codec)}
+        texts[codec] = {
+            repo: b"".join(unpack(p.read_bytes()) for p in sorted(new) if p.parent.name == f"repo={repo}") for repo in "rs"
+        }
+    assert texts[None] == texts["gzip"] and texts[None]["r"].startswith("0 é,1\n0 é,2\n".encode())
+    append_documents(lines.filter("repo = 's'"), path, compression="gzip")
+    append_documents(lines.filter("repo = 'r'"), path, "other")
+    assert read_documents(spark, path).count() == 1600
